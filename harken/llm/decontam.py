@@ -60,13 +60,16 @@ def _hashed(df: DataFrame, text: Column, *keep: str) -> DataFrame:
     return df.select(*keep, F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("hashes"))
 
 
-def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """One row per distinct window: m (its words), h1, h2, fp, items (distinct ids as strings, sorted)."""
+def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame | None:
+    """One row per distinct window: m (its words), h1, h2, fp, items (distinct ids as strings, sorted); None without words."""
     df = _hashed(benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), text_of(text_col).alias("t")), F.col("t"), "item")
+    lengths = df.where("n > 0").select(F.least("n", F.lit(WINDOW)).alias("m")).distinct().collect()  # ten at most
+    if not lengths:
+        return None
     out = None
-    for m in range(1, WINDOW + 1):
+    for m in sorted(r["m"] for r in lengths):
         own = df.where(F.col("n") >= WINDOW if m == WINDOW else F.col("n") == m)
-        own = _fingerprints(own, m).select("item", "hashes", F.posexplode(f"fp{m}").alias("i", "fp"))
+        own = _fingerprints(own, m).select("item", "hashes", F.posexplode_outer(f"fp{m}").alias("i", "fp"))  # explode() would infer a filter that computes fp again, nested
         own = own.select(F.lit(m).alias("m"), _gram("hashes", F.col("i"), m, 1).alias("h1"), _gram("hashes", F.col("i"), m, 2).alias("h2"), "fp", "item")
         out = own if out is None else out.unionByName(own)
     return out.groupBy("m", "h1", "h2").agg(F.min("fp").alias("fp"), F.array_sort(F.collect_set("item")).alias("items"))
@@ -81,7 +84,8 @@ def _constant(values: list[str], kind: str = "") -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", block: int = BLOCK) -> DataFrame:
     """``docs`` with n_words, hit_words (their places, ascending), items (ids as strings, sorted) and contaminated."""
-    windows = benchmark_windows(benchmark, item_col).orderBy("m", "h1", "h2").collect()  # of the benchmark only
+    held = benchmark_windows(benchmark, item_col)
+    windows = held.orderBy("m", "h1", "h2").collect() if held is not None else []  # of the benchmark only
     df = docs.select(nested(docs).alias("row"), text_of(text_col).alias("t"))
     df = _hashed(df, F.col("t"), "row")
     found: list[Column] = []

@@ -46,7 +46,7 @@ BASE_RULES = (
 )
 METHOD_RULES = (
     Rule("word_length", "mean_word_chars", low=1.5, high=25.0),
-    Rule("symbols", "symbols_per_word", high=0.9),
+    Rule("symbols", "symbols_per_word", high=0.3),
     Rule("duplicate_lines", "dup_line_ratio", high=0.5),
     Rule("stop_words", "stop_word_ratio", low=0.005),
 )

@@ -35,6 +35,30 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes that go to a Python worker at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker gets at once, whatever the texts' length: few rows, and few bytes where Spark can tell."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}", None)
+        if now is not None and not 0 < int(now.rstrip("bB")) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
+def strips(texts: list[str | None], most: int = 1 << 20) -> list[tuple[int, int]]:
+    """Runs of texts of about ``most`` characters; a longer text is a run of its own."""
+    out, lo, held = [], 0, 0
+    for i, x in enumerate(texts):
+        n = len(x or "")
+        if held and held + n > most:
+            out.append((lo, i))
+            lo, held = i, 0
+        held += n
+    return [*out, (lo, len(texts))] if len(texts) > lo else out
+
+
 def text_of(col: str | Column) -> Column:
     """The text as a string, null as the empty string."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
@@ -54,3 +78,12 @@ def restore(df: DataFrame, docs: DataFrame, row: str, extra: dict[str, Column])
     names = {k.lower() for k in extra}
     kept = [F.col(row).getField(c).alias(c) for c in docs.columns if c.lower() not in names]
     return df.select(*kept, *[v.alias(k) for k, v in extra.items()])
+
+
+def sealed(df: DataFrame, keep: str, name: str, value: Column) -> DataFrame:
+    """``keep`` and ``value`` as column ``name``, computed once per row.
+
+    A filter on a computed column is moved below the projections that compute it, with their expressions inlined, each as often as it
+    is named; nested array expressions grow out of hand there. No filter moves below a generator, so a generator of one row stops that.
+    """
+    return df.select(keep, F.explode_outer(F.array(value)).alias(name))

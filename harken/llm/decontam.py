@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import nested, restore, text_of
+from .common import nested, restore, sealed, text_of
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word is a run of ASCII digits, lower-case ASCII letters and anything beyond ASCII.
@@ -111,5 +111,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     df = df.select("row", "n", (F.concat(*found) if found else nothing).alias("hits"))
     places = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["i"], x["i"] + x["m"] - 1)))))
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["items"]))))
-    df = df.select("row", "n", places.alias("places"), items.alias("items"))
-    return restore(df, docs, "row", {"n_words": F.col("n").cast("long"), "hit_words": F.col("places"), "items": F.col("items"), "contaminated": F.size("places") > 0})
+    df = sealed(df, "row", "x", F.struct(F.col("n").cast("long").alias("n"), places.alias("places"), items.alias("items")))
+    x = F.col("x")
+    return restore(df, docs, "row", {"n_words": x["n"], "hit_words": x["places"], "items": x["items"], "contaminated": F.size(x["places"]) > 0})

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SOLID, nested, restore, text_of, words
+from .common import SOLID, nested, restore, sealed, text_of, words
 
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -89,8 +89,10 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         ).alias("hashes"),
     )
     stop = F.filter(F.col("w"), lambda x: F.lower(F.rtrim(x, F.lit(".,;:!?"))).isin(STOP_WORDS))
-    df = df.select(
+    return sealed(
+        df,
         "row",
+        "m",
         F.struct(
             F.col("n").cast("long").alias("n_words"),
             F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
@@ -99,9 +101,8 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
             (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
             F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), _repeats("w", "hashes")).otherwise(0).cast("long").alias("n_repeat_words"),
             F.size(stop).cast("long").alias("n_stop_words"),
-        ).alias("m"),
+        ),
     )
-    return df
 
 
 def _ratios(m: str) -> dict[str, Column]:

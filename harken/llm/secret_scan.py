@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, text_of
+from .common import bounded_batches, shared_path, text_of
 
 
 @dataclass(frozen=True)
@@ -119,6 +119,7 @@ def secrets(docs: DataFrame, ledger: str | None = None, rules: tuple[SecretRule,
     ``ledger`` is a folder in shared storage, made if it is missing; None takes a fresh one.
     """
     spark, version = docs.sparkSession, rule_version(rules)
+    bounded_batches(spark)
     ledger = ledger or shared_path(spark, "secret-ledger")
     paths = docs.select(F.col(id_col).alias("id"), F.sha2(F.encode(text_of(text_col), "UTF-8"), 256).alias("blob"))
     texts = docs.select(F.sha2(F.encode(text_of(text_col), "UTF-8"), 256).alias("blob"), text_of(text_col).alias("text"))

@@ -24,6 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import bounded_batches
+
 #: Fixed value: how the byte-level pre-tokenizer splits a text.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Contractions of three characters; their two-character prefixes split before the letter.
@@ -194,6 +196,7 @@ def token_counts(docs: DataFrame, limit: int = 512, tokenizer: str | None = None
     little-endian int32 from prefix 0 on.
     """
     docs = docs.select(id_col, text_col)
+    bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, text_of, written
+from .common import bounded_batches, shared_path, text_of, written
 
 #: Fixed values of the zstandard seekable format.
 SKIPPABLE, SEEK_FRAME, SEEK_FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -180,6 +180,7 @@ class TokenReader:
 def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the files and returns their manifest, itself a table in shared storage: part, path, n_docs, n_ids."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     folder = folder or shared_path(spark, "token-files")
     total = docs.agg(F.sum(F.octet_length(text_of(text_col)) + 1)).first()[0] or 0
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))

@@ -36,7 +36,7 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 #: Rows and bytes that go to a Python worker at once.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2500, 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -15,23 +15,24 @@ read, so none can clash.
 
 from __future__ import annotations
 
+import gc
 import json
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from .chunks import chunked
 from .common import bounded_batches
 
 #: Fixed value: how the byte-level pre-tokenizer splits a text.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Contractions of three characters; their two-character prefixes split before the letter.
 LONG_CONTRACTIONS = ("'re", "'ve", "'ll")
-#: White space next to a blank: only there does a piece reach over a cut before a blank.
-LOOSE = regex.compile(r" \s|\s ")
 #: Entries that each worker's caches hold at most before they start anew, and the longest chunk they keep.
 CACHE, CACHE_CHARS = 500_000, 64
 
@@ -58,7 +59,8 @@ class PrefixCounter:
         self.pieces = regex.compile(PIECES)
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.good: dict[tuple[bytes, bytes], bool] = {}
-        self.tables: dict[str, np.ndarray] = {}
+        self.tables: dict[str, bytes] = {}
+        self.states: dict[bytes, tuple[list[bytes], list[int]]] = {}
         self.chunks: dict[str, bytes] = {}
 
     def merge(self, text: bytes) -> list[bytes]:
@@ -83,78 +85,87 @@ class PrefixCounter:
     def follows(self, u: bytes, t: bytes) -> bool:
         """Whether t can stand after u (or first, where u is empty) in an encoding."""
         if (ok := self.good.get((u, t))) is None:
-            if len(self.good) > 4 * CACHE:
+            if len(self.good) > CACHE:
                 self.good.clear()
             ok = self.good[u, t] = self.merge(u + t) == ([u, t] if u else [t])
         return ok
 
-    def piece(self, text: str) -> np.ndarray:
+    def piece(self, text: str) -> list[int]:
         """Counts at each code point of one piece: entry i is the count of its first i + 1 code points."""
         b = text.encode("utf-8", "surrogatepass")
-        n, tails, vocab, good = len(b), self.tails, self.vocab, self.good
-        last, count = [b""] * (n + 1), [0] * (n + 1)
-        for p in range(1, n + 1):
+        n, tails, vocab, good, states = len(b), self.tails, self.vocab, self.good, self.states
+        last, count, known = [b""], [0], n - 1 if n <= CACHE_CHARS else 0
+        while known > 0:  # the longest prefix that another piece began with
+            if (state := states.get(b[:known])) is not None:
+                last, count = state[0][: known + 1], state[1][: known + 1]
+                break
+            known -= 1
+        for p in range(known + 1, n + 1):
             k = p - 1
             while k >= 0 and b[k:p] in tails:
                 k -= 1
             for k in range(k + 1, p):  # the longest token first
                 if (t := b[k:p]) in vocab and (ok if (ok := good.get((last[k], t))) is not None else self.follows(last[k], t)):
-                    last[p], count[p] = t, count[k] + 1
+                    last.append(t)
+                    count.append(count[k] + 1)
                     break
+        if n <= CACHE_CHARS:
+            if len(states) > CACHE:
+                states.clear()
+            state = (last, count)
+            for p in range(known + 1, n + 1):
+                states[b[:p]] = state
         if n == len(text):
-            return np.array(count[1:], dtype=np.int32)
-        ends = np.flatnonzero((np.frombuffer(b + b"a", dtype=np.uint8)[1:] & 0xC0) != 0x80)
-        out = np.array(count[1:], dtype=np.int32)[ends]
+            out = count[1:]
+        else:
+            out = [c for c, x in zip(count[1:], b[1:] + b"a", strict=True) if x & 0xC0 != 0x80]
         if text in LONG_CONTRACTIONS:
             out[1] = 2
         return out
 
+    def counts(self, piece: str) -> list[int] | bytes:
+        """As piece(), remembered for short pieces."""
+        c = self.tables.get(piece)
+        if c is None:
+            c = self.piece(piece)
+            if len(piece) <= CACHE_CHARS:
+                if len(self.tables) > CACHE:
+                    self.tables.clear()
+                c = self.tables[piece] = bytes(c)
+        return c
+
     def plain(self, text: str) -> np.ndarray:
         """Counts at each code point of a text without special strings."""
         parts, base, run = [], 0, None
         for piece in self.pieces.findall(text):
-            c = self.tables.get(piece)
-            if c is None:
-                c = self.piece(piece)
-                if piece in LONG_CONTRACTIONS:
-                    c = np.array([1, 2, c[2]], dtype=np.int32)
-                if len(piece) <= CACHE_CHARS:
-                    if len(self.tables) > CACHE:
-                        self.tables.clear()
-                    self.tables[piece] = c
-            part = c + base
+            c = self.counts(piece)
+            part = np.frombuffer(c, dtype=np.uint8).astype(np.int32) if isinstance(c, bytes) else np.array(c, dtype=np.int32)
+            part += base
             if piece[0].isspace() and run is not None:  # the run of white space up to here, were it cut here
-                part[0] = run[0] + self.piece(run[1] + piece[0])[-1]
+                part[0] = run[0] + self.counts(run[1] + piece[0])[-1]
             run = (base, piece) if piece.isspace() else None
             parts.append(part)
-            base += int(c[-1])
+            base += c[-1]
         return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
 
     def chunk(self, text: str) -> bytes:
         """As plain(), of a short text, one byte per count, and remembered."""
         if len(self.chunks) > CACHE:
             self.chunks.clear()
-        c = self.chunks[text] = self.plain(text).astype(np.uint8).tobytes()
-        return c
-
-    def unmarked(self, text: str) -> np.ndarray:
-        if not text or LOOSE.search(text):
-            return self.plain(text)
-        # No piece reaches over a blank here, so the text is the sum of its chunks from blank to blank.
-        first, *rest = text.split(" ")
-        names = [" " + w for w in rest]
-        if first:
-            names.insert(0, first)
-        lens = np.fromiter(map(len, names), dtype=np.int64, count=len(names))
-        if lens.max() > CACHE_CHARS:
-            parts = [self.plain(x) for x in names]
-            totals = np.fromiter((c[-1] for c in parts), dtype=np.int32, count=len(parts))
-            flat = np.concatenate(parts)
+        pieces = self.pieces.findall(text)
+        if len(pieces) == 1:
+            c = bytes(self.counts(pieces[0]))
+        elif not any(map(str.isspace, pieces)):
+            out, base = [], 0
+            for piece in pieces:
+                own = self.counts(piece)
+                out += [x + base for x in own] if base else own
+                base = out[-1]
+            c = bytes(out)
         else:
-            got, chunk = self.chunks.get, self.chunk
-            flat = np.frombuffer(b"".join([got(x) or chunk(x) for x in names]), dtype=np.uint8).astype(np.int32)
-            totals = flat[np.cumsum(lens) - 1]
-        return flat + np.repeat(np.cumsum(totals, dtype=np.int32) - totals, lens)
+            c = self.plain(text).astype(np.uint8).tobytes()
+        self.chunks[text] = c
+        return c
 
     def table(self, text: str) -> np.ndarray:
         """Entry p is the exact token count of the first p code points, for p from 0 to the text's length."""
@@ -165,13 +176,37 @@ class PrefixCounter:
                 parts += [open_.astype(np.int32), np.array([base + 1], dtype=np.int32)]
                 base, before = base + 1, ""
             elif part:
-                c = self.unmarked(part)
+                c = self.plain(part)
                 parts.append(c + base)
                 base, before = base + int(c[-1]), part
         return np.concatenate(parts)
 
-    def total(self, text: str) -> int:
-        return int(self.table(text)[-1])
+    def answers(self, texts: pa.Array, budget: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each text its count and the most code points whose prefix has at most ``budget`` tokens.
+
+        Chunks' tables are made once per distinct chunk. A text's table is theirs, each raised by what stands before it; counts at the ends of
+        chunks only grow, so the longest prefix within the budget ends in the first chunk that goes beyond it.
+        """
+        c = chunked(texts, self.special)
+        tables = [(self.chunks.get(x) or self.chunk(x)) if len(x) <= CACHE_CHARS else self.plain(x) for x in c.chunks]
+        total = np.fromiter((int(t[-1]) if len(t) else 0 for t in tables), dtype=np.int64, count=len(tables))
+        chars = np.fromiter(map(len, c.chunks), dtype=np.int64, count=len(tables))
+        ends = np.concatenate([[0], np.cumsum(total[c.codes])])
+        at = np.concatenate([[0], np.cumsum(chars[c.codes])])
+        n_tokens, fits = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+        for i, lo, hi in zip(c.rows.tolist(), c.bounds[:-1].tolist(), c.bounds[1:].tolist(), strict=True):
+            n_tokens[i] = ends[hi] - ends[lo]
+            if n_tokens[i] <= budget:
+                fits[i] = at[hi] - at[lo]
+            else:
+                k = int(np.searchsorted(ends[lo : hi + 1], ends[lo] + budget, side="right")) - 1 + lo  # chunk k goes beyond
+                left = budget - int(ends[k] - ends[lo])
+                inside = [p + 1 for p, x in enumerate(tables[c.codes[k]]) if x <= left]
+                fits[i] = at[k] - at[lo] + (inside[-1] if inside else 0)
+        for i, text in zip(c.whole.tolist(), texts.take(pa.array(c.whole)).to_pylist(), strict=True):
+            table = self.table(text or "")
+            n_tokens[i], fits[i] = table[-1], cut(table, budget)
+        return n_tokens, fits
 
 
 @lru_cache(maxsize=2)
@@ -200,17 +235,13 @@ def token_counts(docs: DataFrame, limit: int = 512, tokenizer: str | None = None
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # the caches are millions of small objects without cycles; walking them costs a third of the time
         dp = counter(tokenizer)
         for batch in batches:
-            n_bytes, n_tokens, fits, blobs = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                table = dp.table(text or "")
-                n_bytes.append(len((text or "").encode("utf-8", "surrogatepass")))
-                n_tokens.append(int(table[-1]))
-                fits.append(len(table) - 1 if table[-1] <= limit else cut(table, limit))
-                if tables:
-                    blobs.append(table.astype("<i4").tobytes())
-            cols = [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_()), pa.array(fits, pa.int64())]
+            n_bytes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
+            blobs = [dp.table(x or "").astype("<i4").tobytes() for x in batch.column(1).to_pylist()] if tables else []
+            n_tokens, fits = dp.answers(batch.column(1), limit)
+            cols = [batch.column(0), n_bytes, pa.array(n_tokens), pa.array(n_tokens > limit), pa.array(fits)]
             names = [id_col, "n_bytes", "n_tokens", "over_limit", "fit_chars"]
             if tables:
                 cols, names = [*cols, pa.array(blobs, pa.binary())], [*names, "prefix_counts"]

@@ -31,7 +31,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shared_path, text_of, written
+from .chunks import chunked
+from .common import bounded_batches, shared_path, strips, text_of, written
 
 #: Fixed values of the zstandard seekable format.
 SKIPPABLE, SEEK_FRAME, SEEK_FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -39,19 +40,15 @@ SKIPPABLE, SEEK_FRAME, SEEK_FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 FRAME_IDS = 65_536
 #: UTF-8 bytes of text that go to one file, on average.
 FILE_BYTES = 32 << 20
-#: Distinct chunks of text whose ids a worker keeps, and their longest length.
-CACHE, CACHE_CHARS = 400_000, 64
 
 
 class Encoder:
-    """The tokenizers library, asked once for each chunk of text between blanks that recurs.
+    """The tokenizers library, given each distinct chunk of a batch once, all of them as one text.
 
-    The byte-level pre-tokenizer never joins what stands before a blank to what follows it, except in runs of white
-    space; texts with such runs go to the library whole.
+    Every chunk of that text but the first begins with its only blank, so a token that begins with a blank begins a chunk.
     """
 
     def __init__(self, path: str | None):
-        import regex
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -61,32 +58,43 @@ class Encoder:
             path = public_tokenizers.path("byte_bpe_50k.json")
         self.library = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.loose = regex.compile(r" \s|\s ")
-        self.chunks: dict[str, bytes] = {}
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.leads = np.zeros(self.library.get_vocab_size(), dtype=bool)
+        for token, i in self.library.get_vocab().items():
+            self.leads[i] = token.startswith("\u0120")  # the file's character for a blank
+
+    def raw(self, texts: list[str]) -> list[np.ndarray]:
+        out = []
+        for lo, hi in strips(texts):  # the library's own results are large
+            out += [np.array(e.ids, dtype=self.dtype) for e in self.library.encode_batch_fast(texts[lo:hi], add_special_tokens=False)]
+        return out
 
-    def raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def led(self, chunks: list[str]) -> list[np.ndarray]:
+        """Ids of chunks that begin with a blank: arrays of ids of runs of chunks, as one text each."""
+        return self.raw(["".join(chunks[lo:hi]) for lo, hi in strips(chunks, 1 << 18)])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text as little-endian integers of ``dtype``."""
-        if len(self.chunks) > CACHE:
-            self.chunks.clear()
-        out: list[Any] = [None] * len(texts)
-        whole, split = [], {}
-        for i, text in enumerate(texts):
-            first, *rest = text.split(" ")
-            names = [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
-            if self.loose.search(text) or max(map(len, names), default=0) > CACHE_CHARS:
-                whole.append(i)
-            else:
-                split[i] = names
-        got = self.chunks
-        missing = list({x for names in split.values() for x in names if x not in got})
-        got.update(zip(missing, self.raw(missing), strict=True))
-        for i, names in split.items():
-            out[i] = b"".join([got[x] for x in names])
-        for i, b in zip(whole, self.raw([texts[i] for i in whole]), strict=True):
-            out[i] = b
+        c = chunked(texts, self.special)
+        runs = self.led(c.chunks[: c.n_led])
+        led = np.concatenate(runs) if runs else np.zeros(0, dtype=self.dtype)
+        starts = np.flatnonzero(self.leads[led])
+        if len(starts) != c.n_led:
+            raise ValueError("the vocabulary joins chunks over blanks")
+        own = self.raw(c.chunks[c.n_led :])
+        ids = np.concatenate([led, *own])
+        lens = np.concatenate([np.diff(np.append(starts, len(led))), np.array([len(x) for x in own], dtype=np.int64)])
+        starts = np.concatenate([[0], np.cumsum(lens)])[:-1]
+        n = lens[c.codes]
+        ends = np.cumsum(n)
+        data = ids[np.repeat(starts[c.codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        cut = np.concatenate([[0], ends])[c.bounds]
+        out: list[Any] = [b""] * len(texts)
+        for i, lo, hi in zip(c.rows.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            out[i] = data[lo:hi].tobytes()
+        if len(c.whole):
+            for i, x in zip(c.whole.tolist(), self.raw([t or "" for t in texts.take(pa.array(c.whole)).to_pylist()]), strict=True):
+                out[i] = x.tobytes()
         return out
 
 
@@ -107,7 +115,7 @@ class TokenWriter:
         self.frames: list[tuple[int, int, int]] = []  # compressed size, size, checksum
         self.index: list[tuple[int, int, int, int, int]] = []  # id, null, frame, offset, length
         self.total = 0
-        self.press = zstandard.ZstdCompressor(level=3, write_checksum=True, write_content_size=True)
+        self.press = zstandard.ZstdCompressor(level=1, write_checksum=True, write_content_size=True)
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         n = len(ids) // self.dtype.itemsize
@@ -200,7 +208,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | No
                 fs.create_dir(os.path.dirname(at), recursive=True)
                 out = fs.open_output_stream(at, compression=None)
                 writer = TokenWriter(out, enc.dtype)
-            for doc_id, ids in zip(batch.column(1).to_pylist(), enc.encode(batch.column(2).to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column(1).to_pylist(), enc.encode(batch.column(2)), strict=True):
                 writer.add(doc_id, ids + end)
         if writer is not None:
             writer.close()

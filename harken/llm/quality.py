@@ -52,20 +52,10 @@ METHOD_RULES = (
 )
 
 
-def _repeats(w: str, hashes: str) -> Column:
-    """Words inside a window that occurs twice or more. Windows are sorted by hash; neighbours are compared in full."""
-    ranked = F.array_sort(F.transform(F.col(hashes), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-
-    def same(a: Column, b: Column) -> Column:
-        return (a["h"] == b["h"]) & (F.slice(F.col(w), a["i"] + 1, WINDOW) == F.slice(F.col(w), b["i"] + 1, WINDOW))
-
-    def twice(s: Column) -> Column:
-        before = F.transform(s, lambda x, k: F.when((k > 0) & same(x, F.get(s, F.greatest(k - 1, F.lit(0)))), True).otherwise(F.coalesce(same(x, F.get(s, k + 1)), F.lit(False))))
-        return F.transform(F.filter(F.arrays_zip(s.alias("s"), before.alias("b")), lambda z: z["b"]), lambda z: z["s"]["i"])
-
-    # aggregate() binds the sorted array to a name, so that it is made once
-    starts = F.aggregate(F.array(ranked), F.array().cast("array<int>"), lambda acc, s: twice(s))
-    return F.size(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.sequence(i, i + (WINDOW - 1))))))
+def _same(a: Column, b: Column) -> Column:
+    """Whether two places of windows hold equal windows: by hash, then word by word."""
+    equal = (a["h"] == b["h"]) & (F.slice(F.col("w"), a["i"] + 1, WINDOW) == F.slice(F.col("w"), b["i"] + 1, WINDOW))
+    return F.coalesce(equal, F.lit(False))
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -88,6 +78,11 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
             F.transform(F.sequence(F.lit(0), F.size("w") - WINDOW), lambda i: F.xxhash64(*[F.get(F.col("w"), i + k) for k in range(WINDOW)])),
         ).alias("hashes"),
     )
+    again = F.size(F.array_distinct("hashes")) < F.size("hashes")
+    df = df.select("*", F.when(again, F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("ranked"))
+    near = lambda k: F.get(F.col("ranked"), k)
+    df = df.select("row", "t", "w", "lines", "n", F.filter("ranked", lambda x, k: _same(x, near(k - 1)) | _same(x, near(k + 1))).alias("twice"))
+    inside = F.array_distinct(F.flatten(F.transform("twice", lambda x: F.sequence(x["i"], x["i"] + (WINDOW - 1)))))
     stop = F.filter(F.col("w"), lambda x: F.lower(F.rtrim(x, F.lit(".,;:!?"))).isin(STOP_WORDS))
     return sealed(
         df,
@@ -99,7 +94,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
             F.regexp_count("t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
             F.size("lines").cast("long").alias("n_lines"),
             (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-            F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), _repeats("w", "hashes")).otherwise(0).cast("long").alias("n_repeat_words"),
+            F.when(F.col("twice").isNotNull(), F.size(inside)).otherwise(0).cast("long").alias("n_repeat_words"),
             F.size(stop).cast("long").alias("n_stop_words"),
         ),
     )

@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Labels that stand before a two-letter country suffix and belong to the suffix.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -75,38 +77,36 @@ def rule_of(host: Column, path: Column, rules: tuple[UrlRule, ...] = RULES) -> t
     return name, verdict
 
 
-def _strength(counts: DataFrame) -> DataFrame:
-    """The level's prior strength (pseudo-counts), in one row, by the method of moments, between 1 and 1000.
+def _strength(counts: DataFrame) -> float:
+    """The level's prior strength (pseudo-counts) by the method of moments, between 1 and 1000: one number.
 
     With children i of n_i labels and rate p_i around their parents' means m_i, the excess of sum n (p - m)^2 over the
     binomial expectation estimates the correlation rho of a beta-binomial, whose strength is 1 / rho - 1.
     """
     p, n, m = F.col("bad") / F.col("n"), F.col("n"), F.col("parent_mean")
     var = m * (1 - m)
-    sums = counts.groupBy("level").agg(
-        F.sum(n * (p - m) * (p - m)).alias("seen"),
-        F.sum(var).alias("binomial"),
-        F.sum(var * (n - 1)).alias("slope"),
-    )
-    rho = F.when(F.col("slope") > 0, (F.col("seen") - F.col("binomial")) / F.col("slope"))
-    rho = F.greatest(F.lit(1 / 1001), F.least(F.lit(0.5), F.coalesce(rho, F.lit(0.5))))
-    return sums.select("level", (1 / rho - 1).alias("strength"))
+    seen, binomial, slope = counts.agg(F.sum(n * (p - m) * (p - m)), F.sum(var), F.sum(var * (n - 1))).first()
+    rho = (seen - binomial) / slope if slope else 0.5
+    return 1 / max(1 / 1001, min(0.5, rho)) - 1
 
 
 def reputations(outcomes: DataFrame) -> DataFrame:
-    """From rows (host, bad 0/1): one row per host with labels, and per domain and suffix, keyed by (level, name)."""
+    """From rows (host, bad 0/1): one row per host with labels, and per domain and suffix, keyed by (level, name).
+
+    A table in shared storage; only one number per level reaches the driver.
+    """
+    spark = outcomes.sparkSession
     labelled = outcomes.where(F.col("bad").isNotNull() & (F.col("host") != "")).groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
     labelled = labelled.withColumn("suffix", suffix_of("host")).withColumn("domain", domain_of("host", "suffix"))
-    mean = (F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)
-    parents = labelled.agg(mean.alias("parent_mean")).select(F.lit("").alias("root"), "parent_mean")
-    labelled, out = labelled.withColumn("root", F.lit("")), None
-    for level, up in (("suffix", "root"), ("domain", "suffix"), ("host", "domain")):
-        counts = labelled.groupBy(level, up).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-        counts = counts.join(F.broadcast(parents) if up == "root" else parents, up).withColumn("level", F.lit(level))
-        shrunk = counts.join(F.broadcast(_strength(counts)), "level")  # broadcast tables here have one row
-        s = F.col("strength")
-        alpha, beta = F.col("bad") + s * F.col("parent_mean"), F.col("n") - F.col("bad") + s * (1 - F.col("parent_mean"))
-        rows = shrunk.select("level", F.col(level).alias("name"), F.col("n").alias("n_labels"), alpha.alias("alpha"), beta.alias("beta"))
+    labelled = written(spark, labelled, "url-labels")
+    n, bad = labelled.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
+    out, parents = None, None
+    for level, up in (("suffix", None), ("domain", "suffix"), ("host", "domain")):
+        counts = labelled.groupBy(level, *[up] * bool(up)).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+        counts = counts.join(parents, up) if up else counts.withColumn("parent_mean", F.lit((bad + 1) / (n + 2)))
+        s, mean = _strength(counts), F.col("parent_mean")
+        alpha, beta = F.col("bad") + s * mean, F.col("n") - F.col("bad") + s * (1 - mean)
+        rows = written(spark, counts.select(F.lit(level).alias("level"), F.col(level).alias("name"), F.col("n").alias("n_labels"), alpha.alias("alpha"), beta.alias("beta")), "url-reputation")
         parents = rows.select(F.col("name").alias(level), (F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("parent_mean"))
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -128,7 +128,8 @@ def host_bounds(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
         own = rep.where(F.col("level") == level).select(F.col("name").alias(key), F.struct("alpha", "beta").alias(f"_{level}_rep"))
         df = df.join(own, key, "left")
     best = F.coalesce("_host_rep", "_domain_rep", "_suffix_rep")
-    return df.select("host", F.coalesce(lower_bound(best["alpha"], best["beta"]), F.lit(0.0)).alias("bad_rate_bound"))
+    bounds = df.select("host", F.coalesce(lower_bound(best["alpha"], best["beta"]), F.lit(0.0)).alias("bad_rate_bound"))
+    return written(hosts.sparkSession, bounds, "host-bounds")  # so that the join with all pages can split a hot host
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[UrlRule, ...] = RULES, limit: float = LIMIT) -> DataFrame:

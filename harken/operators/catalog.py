@@ -11,7 +11,7 @@ NO_CATEGORY = ("clothing", "clothing shoes & jewelry", "clothing, shoes & jewelr
 
 
 def coarse_category(categories: Column) -> Column:
-    parts = F.flatten(F.transform(F.coalesce(categories, F.array().cast("array<string>")), lambda c: F.transform(F.split(c, ","), F.trim)))
+    parts = F.flatten(F.transform(F.coalesce(categories, F.array().cast("array<string>")), lambda c: F.transform(F.split(c, ","), lambda p: F.trim(p))))
     parts = F.filter(parts, lambda p: (p != "") & ~F.lower(p).isin(*NO_CATEGORY))
     last = F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2)
     return F.when(F.size(parts) > 0, F.array_join(last, " ")).otherwise("clothing item")

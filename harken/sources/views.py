@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from harken.functions.text import MATERIALS
 
-CATALOG = T.StructType.fromDDL(
+CATALOG = (
     "parent_asin string, title string, features array<string>, description array<string>, price string, categories array<string>, details map<string,string>, average_rating double, rating_number double, store string"
 )
-SESSIONS = T.StructType.fromDDL(
+SESSIONS = (
     "sample_id string, scenario_type string, user_profile struct<purchase_frequency:string,average_prior_rating:double,rating_style:string,preference_tags:array<string>,summary:string>, ground_truth struct<parent_asin:string>, "
     "intent_card struct<target_category:string,hard_constraints:array<string>,soft_preferences:array<string>>, behavior struct<scenario_type:string,override:struct<turn:int,old_value:string,new_value:string,message:string>>, free_form struct<initial_message:string>"
 )
@@ -22,10 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Lines of JSON; blank lines are skipped, and a catalog row without an id is dropped."""
     df = spark.read.schema(schema).json(path)
-    key = schema.fieldNames()[0]
+    key = schema.split()[0]
     return df.where(F.col(key).isNotNull() & (F.col(key) != ""))
 
 

@@ -87,3 +87,15 @@ def test_transcript_against_a_played_session(spark):
     for r in transcripts(df).orderBy("sample_id", "turn").collect():
         got.setdefault(r.sample_id, []).append(r.message)
     assert got == want
+
+
+def test_jsonl_round_trip(spark, tmp_path):
+    from harken.sources.views import CATALOG, append_registry, read_jsonl, write_jsonl
+
+    (tmp_path / "in.jsonl").write_text('{"parent_asin": "A", "details": {"Zeta": "1", "Alpha": 2}, "price": 9.5}\n\n{"title": "no id"}\n')
+    rows = read_jsonl(spark, f"file://{tmp_path}/in.jsonl", CATALOG)
+    got = rows.selectExpr("parent_asin", "transform(map_entries(details), e -> e.key || e.value) as d", "price").collect()
+    assert [(r.parent_asin, r.d, r.price) for r in got] == [("A", ["Zeta1", "Alpha2"], "9.5")]
+    write_jsonl(rows, f"file://{tmp_path}/out")
+    append_registry(rows, f"file://{tmp_path}/out")
+    assert read_jsonl(spark, f"file://{tmp_path}/out", CATALOG).count() == 2

@@ -98,13 +98,14 @@ def constraints(read: DataFrame) -> DataFrame:
 
     A first reading stays if its text is new to the session; a further one if no earlier row has its attribute and value.
     """
-    each = read.select("sample_id", "turn", F.posexplode("texts").alias("part", "text"))
-    each = each.select("sample_id", "turn", "part", "text", F.posexplode(tx.pairs(F.col("text"))).alias("reading", "p")).select("sample_id", "turn", "part", "reading", "text", "p.attribute", "p.value")
+    each = read.select("sample_id", "turn", F.posexplode_outer("texts").alias("part", "text")).where("text is not null")
+    readings = each.select("text").distinct().select("text", F.posexplode_outer(tx.pairs(F.col("text"))).alias("reading", "p")).where("p is not null")
+    each = each.join(readings.select("text", "reading", "p.attribute", "p.value"), "text")  # each distinct text is read once
     order = ["turn", "part", "reading"]
     by_text = Window.partitionBy("sample_id", F.col("reading") == 0, "text").orderBy(*order)
     by_value = Window.partitionBy("sample_id", "attribute", "value").orderBy(*order)
     df = each.withColumn("_t", F.row_number().over(by_text)).withColumn("_v", F.row_number().over(by_value))
-    return df.where(F.when(F.col("reading") == 0, F.col("_t") == 1).otherwise(F.col("_v") == 1)).drop("_t", "_v")
+    return df.where(F.when(F.col("reading") == 0, F.col("_t") == 1).otherwise(F.col("_v") == 1)).select("sample_id", "turn", "part", "reading", "text", "attribute", "value")
 
 
 def overrides(read: DataFrame) -> DataFrame:

@@ -121,9 +121,9 @@ def weights(held: DataFrame, read: DataFrame) -> DataFrame:
 
 
 def stalls(read: DataFrame, held: DataFrame) -> DataFrame:
-    """(sample_id, turn, gained, stalls): rows gained in a turn, and turns in a row without any."""
+    """(sample_id, turn, gained, stalls): rows gained in a turn, and turns in a row without any; the first turn never stalls."""
     gained = held.groupBy("sample_id", "turn").agg(F.count(F.lit(1)).alias("gained"))
     df = read.select("sample_id", "turn").join(gained, ["sample_id", "turn"], "left").withColumn("gained", F.coalesce("gained", F.lit(0)))
     upto = Window.partitionBy("sample_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     last = F.max(F.when(F.col("gained") > 0, F.col("turn"))).over(upto)
-    return df.select("sample_id", "turn", "gained", (F.col("turn") - F.coalesce(last, F.lit(0))).alias("stalls"))
+    return df.select("sample_id", "turn", "gained", (F.col("turn") - F.coalesce(last, F.lit(1))).alias("stalls"))

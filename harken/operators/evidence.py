@@ -1,4 +1,7 @@
-"""Evidence: which items a constraint speaks for. Sparse: only matching pairs are rows; all others share one constant."""
+"""Evidence: which items a constraint speaks for. Sparse: only matching pairs are rows; all others share one constant.
+
+``also`` names columns that texts and items must agree in, such as a category; they are join keys and stay in the result.
+"""
 
 from __future__ import annotations
 
@@ -15,9 +18,9 @@ def bounded(strength: Column, gain: float = EXACT_GAIN) -> Column:
     return F.log(F.greatest(F.lit(L_MIN), F.exp(gain * (strength - 1))))
 
 
-def exact(texts: DataFrame, index: DataFrame) -> DataFrame:
+def exact(texts: DataFrame, index: DataFrame, *also: str) -> DataFrame:
     """(text, parent_asin) of items whose card holds the text."""
-    return texts.join(index.select("parent_asin", F.explode("card").alias("text")).distinct(), "text")
+    return texts.join(index.select("parent_asin", *also, F.explode("card").alias("text")).distinct(), ["text", *also])
 
 
 def attribute(pairs: DataFrame, item_pairs: DataFrame) -> DataFrame:
@@ -25,24 +28,24 @@ def attribute(pairs: DataFrame, item_pairs: DataFrame) -> DataFrame:
     return pairs.join(item_pairs, ["attribute", "value"])
 
 
-def overlap(texts: DataFrame, index: DataFrame, floor: float = FLOOR) -> DataFrame:
+def overlap(texts: DataFrame, index: DataFrame, *also: str, floor: float = FLOOR) -> DataFrame:
     """(text, parent_asin, share): the share of the text's tokens that the item has, from the floor on."""
     want = texts.withColumn("_t", tx.tokens(F.col("text"))).where(F.size("_t") > 0)
-    want = want.select("text", F.size("_t").alias("n"), F.explode("_t").alias("token"))
-    have = index.select("parent_asin", F.explode(tx.tokens(F.concat_ws(" ", F.array_join("spec", " "), "title"))).alias("token"))
-    df = want.join(have, "token").groupBy("text", "parent_asin").agg((F.count(F.lit(1)) / F.max("n")).alias("share"))
+    want = want.select("text", *also, F.size("_t").alias("n"), F.explode("_t").alias("token"))
+    have = index.select("parent_asin", *also, F.explode(tx.tokens(F.concat_ws(" ", F.array_join("spec", " "), "title"))).alias("token"))
+    df = want.join(have, ["token", *also]).groupBy("text", *also, "parent_asin").agg((F.count(F.lit(1)) / F.max("n")).alias("share"))
     return df.where(F.col("share") >= floor)
 
 
-def softcard(texts: DataFrame, index: DataFrame, floor: float = FLOOR) -> DataFrame:
+def softcard(texts: DataFrame, index: DataFrame, *also: str, floor: float = FLOOR) -> DataFrame:
     """(text, parent_asin, best): the best Jaccard similarity with a card string, from the floor on, exact matches left out."""
     want = texts.withColumn("_t", tx.tokens(F.col("text"))).where(F.size("_t") > 0)
-    want = want.select("text", F.size("_t").alias("n"), F.explode("_t").alias("token"))
-    strings = index.select("parent_asin", "card", F.posexplode("card").alias("at", "s"))
-    have = strings.select("parent_asin", "at", F.size(tx.tokens(F.col("s"))).alias("m"), F.explode(tx.tokens(F.col("s"))).alias("token"))
-    shared = want.join(have, "token").groupBy("text", "parent_asin", "at").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"), F.max("m").alias("m"))
-    best = shared.groupBy("text", "parent_asin").agg(F.max(F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).alias("best"))
-    return best.where(F.col("best") >= floor).join(exact(texts, index), ["text", "parent_asin"], "left_anti")
+    want = want.select("text", *also, F.size("_t").alias("n"), F.explode("_t").alias("token"))
+    strings = index.select("parent_asin", *also, "card", F.posexplode("card").alias("at", "s"))
+    have = strings.select("parent_asin", *also, "at", F.size(tx.tokens(F.col("s"))).alias("m"), F.explode(tx.tokens(F.col("s"))).alias("token"))
+    shared = want.join(have, ["token", *also]).groupBy("text", *also, "parent_asin", "at").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"), F.max("m").alias("m"))
+    best = shared.groupBy("text", *also, "parent_asin").agg(F.max(F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).alias("best"))
+    return best.where(F.col("best") >= floor).join(exact(texts, index, *also), ["text", "parent_asin"], "left_anti")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:

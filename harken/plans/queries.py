@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harken.functions import text as tx
+from harken.operators import belief as bf
 from harken.operators import catalog as cat
 from harken.operators import category as ctg
 from harken.operators import dialogue as dlg
 from harken.operators import evidence as ev
 from harken.operators import scoring as sc
 from harken.sources import views
+from harken.sources.stages import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +59,24 @@ def _results(spark: SparkSession, d: str) -> DataFrame:
     return df.select("sample_id", "scenario_type", hit.alias("hit"), F.when(hit, 1).alias("first_hit_turn"), F.when(hit, 1.0 / F.col("rank")).otherwise(0.0).alias("reciprocal_rank"))
 
 
+def _conversations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sessions with their conversation, the turns of each conversation, and the constraints held in it."""
+    sessions = bf.conversations(_sessions(spark, d))
+    once = sessions.drop("sample_id", "parent_asin", "target_pos").withColumnRenamed("conv", "sample_id").dropDuplicates(["sample_id"])
+    read = staged(dlg.parsed(dlg.transcripts(once)), "turns")
+    return sessions, read, staged(dlg.constraints(read), "constraints")
+
+
+def _shipped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sessions, read, held = _conversations(spark, d)
+    index = staged(_index(spark, d), "index")
+    pool = staged(ctg.pool(_post(spark, d), index), "pool")
+    heads = bf.heads(held, read, pool, index, cat.item_pairs(index))
+    sizes = pool.groupBy("opener").agg(F.count(F.lit(1)).alias("n_pool"))
+    sizes = read.where("turn = 1").select("sample_id", F.col("message").alias("opener")).join(sizes, "opener").select("sample_id", "n_pool")
+    return sessions, bf.played(heads, bf.policy(read, dlg.stalls(read, held)), sizes)
+
+
 def token_sets(s: SparkSession, d: str) -> DataFrame:
     t = tx.tokens(F.coalesce("text", F.lit("")))
     return views.table(s, d, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.md5(F.array_join(F.sort_array(t), " ")).alias("digest"))
@@ -190,6 +210,26 @@ def metrics_rollup(s: SparkSession, d: str) -> DataFrame:
     return sc.metrics(_results(s, d))
 
 
+def list_depths(s: SparkSession, d: str) -> DataFrame:
+    sessions, read, held = _conversations(s, d)
+    plan = bf.policy(read, dlg.stalls(read, held)).withColumnRenamed("sample_id", "conv")
+    return sessions.select("conv", "scenario_type").join(plan, "conv").groupBy("scenario_type", "turn", "depth", "proven").agg(F.count(F.lit(1)).alias("n_sessions"))
+
+
+def played_lists(s: SparkSession, d: str) -> DataFrame:
+    sessions, lists = _shipped(s, d)
+    df = sessions.select("conv", "sample_id").join(lists.withColumnRenamed("sample_id", "conv"), "conv")
+    return df.select("sample_id", "turn", F.array_join("shipped", " ").alias("shipped"))
+
+
+def played_results(s: SparkSession, d: str) -> DataFrame:
+    return bf.results(*_shipped(s, d)).withColumn("reciprocal_rank", F.round("reciprocal_rank", 6))
+
+
+def played_metrics(s: SparkSession, d: str) -> DataFrame:
+    return sc.metrics(bf.results(*_shipped(s, d)))
+
+
 def early_hit_curve(s: SparkSession, d: str) -> DataFrame:
     return sc.early_hits(_results(s, d))
 
@@ -218,6 +258,6 @@ QUERIES: dict[str, Query] = {
         token_sets, term_bags, stems, classify_constraint, clean_value, catalog_items, coarse_category, intent_card, normalise_pairs, popularity_fallback,
         category_stats, category_scores, category_posterior, category_pool, session_samples, initial_messages, transcripts, parse_templates, constraints,
         constraint_weights, override_demotion, stall_counter, exact_matches, attribute_matches, lexical_overlap, softcard_jaccard, bm25_scores, ranked_topk,
-        belief_entropy, session_results, metrics_rollup, early_hit_curve, normalize_recommendations, stratified_split, split_disjoint, bootstrap_ci,
+        belief_entropy, session_results, metrics_rollup, list_depths, played_lists, played_results, played_metrics, early_hit_curve, normalize_recommendations, stratified_split, split_disjoint, bootstrap_ci,
     )
 }

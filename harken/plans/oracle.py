@@ -110,22 +110,82 @@ cscores AS (SELECT opener, category, w * n / n_stems + CASE WHEN contains(lower(
 logits AS (SELECT o.opener, c.category, cat_idx, n_items, coalesce(score, -30.0) / 2.0 + 0.25 * log_prior AS logit FROM (SELECT DISTINCT opener FROM openers) o CROSS JOIN cstats c LEFT JOIN cscores s ON s.opener = o.opener AND s.category = c.category),
 post AS (SELECT opener, category, cat_idx, n_items, round(exp(logit - m) / sum(exp(logit - m)) OVER (PARTITION BY opener), 12) AS p FROM (SELECT *, max(logit) OVER (PARTITION BY opener) AS m FROM logits)),
 walked AS (SELECT *, coalesce(sum(p) OVER w, 0) AS mass, coalesce(sum(n_items) OVER w, 0) AS before FROM post WINDOW w AS (PARTITION BY opener ORDER BY p DESC, cat_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-pool AS (SELECT opener, parent_asin, (before + spot)::BIGINT AS pool_pos FROM walked JOIN (SELECT category, parent_asin, row_number() OVER (PARTITION BY category ORDER BY cat_pos) - 1 AS spot FROM items) USING (category) WHERE round(mass, 9) < 0.85 AND before < 8000 AND before + spot < 8000),
+pool AS MATERIALIZED (SELECT opener, parent_asin, (before + spot)::BIGINT AS pool_pos FROM walked JOIN (SELECT category, parent_asin, row_number() OVER (PARTITION BY category ORDER BY cat_pos) - 1 AS spot FROM items) USING (category) WHERE round(mass, 9) < 0.85 AND before < 8000 AND before + spot < 8000),
 beliefs AS (SELECT o.opener, stated AS text, parent_asin, pool_pos, CASE WHEN list_contains(card, stated) THEN 1.0 ELSE greatest(0.02, exp(-3.2)) END AS e, list_contains(card, stated) AS hit FROM openers o JOIN pool USING (opener) JOIN items USING (parent_asin) WHERE stated IS NOT NULL),
 normed AS (SELECT *, round(e / sum(e) OVER (PARTITION BY opener, text), 9) AS p FROM beliefs),
 heads AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY opener, text ORDER BY p DESC, pool_pos) AS rank FROM normed) WHERE rank <= 10),
 results AS (SELECT sample_id, scenario_type, rank IS NOT NULL AND scenario_type <> 'intent_override' AS hit, CASE WHEN rank IS NOT NULL AND scenario_type <> 'intent_override' THEN 1 END AS first_hit_turn,
   CASE WHEN rank IS NOT NULL AND scenario_type <> 'intent_override' THEN 1.0 / rank ELSE 0.0 END::DOUBLE AS reciprocal_rank FROM opened s LEFT JOIN heads h ON h.opener = s.opener AND h.parent_asin = s.parent_asin)"""
+PLAY = f""",
+convs AS MATERIALIZED (SELECT row_number() OVER () AS c, * FROM (SELECT DISTINCT scenario_type, CASE WHEN scenario_type = 'intent_override' THEN override_turn ELSE 0 END AS ot, category, opener, stated, hard, soft, card FROM opened)),
+member AS (SELECT c, o.sample_id, o.scenario_type, o.override_turn, o.parent_asin FROM opened o JOIN convs v ON v.scenario_type = o.scenario_type AND v.ot = CASE WHEN o.scenario_type = 'intent_override' THEN o.override_turn ELSE 0 END AND v.opener = o.opener AND v.hard = o.hard AND v.soft = o.soft),
+play(c, turn, known, message) AS (
+  SELECT c, 1, CASE WHEN scenario_type = 'buying' THEN hard[1:1] ELSE CAST([] AS VARCHAR[]) END, opener FROM convs
+  UNION ALL
+  SELECT c, turn + 1, CASE WHEN here THEN known || hard[1:1] WHEN away THEN known ELSE known || rest END,
+    CASE WHEN here THEN 'Actually, ignore my earlier preference. What I need is: ' || hard[1] || '.' WHEN away THEN 'I don''t have a preference for other; please use your judgment.'
+      WHEN len(rest) > 0 THEN 'For that, what matters is: ' || array_to_string(rest, '; ') || '.' ELSE 'I don''t have an additional preference for other.' END
+  FROM (SELECT p.c, p.turn, p.known, v.hard, list_filter(v.card, lambda x: NOT list_contains(p.known, x))[1:2] AS rest,
+      v.scenario_type = 'intent_override' AND v.ot = p.turn + 1 AS here, v.scenario_type = 'boundary' AND p.turn = 1 AS away FROM play p JOIN convs v USING (c) WHERE p.turn < 10)),
+heard AS (SELECT c, turn, message, CASE WHEN message LIKE 'I''m looking for %' THEN 'opener' WHEN message LIKE 'Actually, ignore%' THEN 'override' WHEN message LIKE 'For that,%' THEN 'reply' ELSE 'no_preference' END AS kind FROM play),
+told AS (SELECT h.c, turn, kind, list_filter(list_transform(CASE kind WHEN 'opener' THEN CASE WHEN stated IS NULL THEN CAST([] AS VARCHAR[]) ELSE [stated] END WHEN 'override' THEN [regexp_extract(message, '(?s)What I need is: (.+?)\\.?$', 1)]
+    WHEN 'reply' THEN string_split(regexp_extract(message, '(?s)what matters is: (.+?)\\.?$', 1), '; ') ELSE CAST([] AS VARCHAR[]) END, lambda t: rtrim(trim(t), '.')), lambda t: t <> '') AS texts FROM heard h JOIN convs USING (c)),
+parted_texts AS (SELECT c, turn, unnest(texts) AS text, (generate_subscripts(texts, 1) - 1)::INT AS part FROM told),
+meaning AS (SELECT text, unnest(ps) AS p, (generate_subscripts(ps, 1) - 1)::INT AS reading FROM (SELECT text, {ordered('ps')} AS ps FROM (SELECT text, {pairs_of('text')} AS ps FROM (SELECT DISTINCT text FROM parted_texts)))),
+numbered AS (SELECT c, turn, part, reading, text, split_part(p, '=', 1) AS attribute, substr(p, position('=' IN p) + 1) AS value,
+    row_number() OVER (PARTITION BY c, reading = 0, text ORDER BY turn, part, reading) AS nt, row_number() OVER (PARTITION BY c, p ORDER BY turn, part, reading) AS nv FROM parted_texts JOIN meaning USING (text)),
+held AS (SELECT c, turn, part, reading, text, attribute, value FROM numbered WHERE CASE WHEN reading = 0 THEN nt = 1 ELSE nv = 1 END),
+turned AS (SELECT c, min(turn) AS demoted_turn FROM heard WHERE kind = 'override' GROUP BY 1),
+weighed AS MATERIALIZED (SELECT h.*, t::INT AS at_turn, pow(0.9, t - turn) * CASE WHEN turn <= 1 AND demoted_turn <= t THEN 0.35 ELSE 1.0 END AS weight FROM held h LEFT JOIN turned USING (c), range(1, 11) r(t) WHERE t >= turn),
+gains AS (SELECT c, turn, (SELECT count(*) FROM held k WHERE k.c = h.c AND k.turn = h.turn) AS gained FROM heard h),
+stalled AS (SELECT c, turn, gained, turn - coalesce(max(CASE WHEN gained > 0 THEN turn END) OVER (PARTITION BY c ORDER BY turn), 1) AS stalls FROM gains),
+depths AS MATERIALIZED (SELECT s.c, s.turn, stalls, CASE WHEN scenario_type = 'intent_override' AND s.turn < least(3, ot) THEN 0 WHEN s.turn >= 10 THEN 10 ELSE (SELECT max(k) FROM range(1, 11) r(k) WHERE 1.0 / k > greatest(0, 0.75 * pow(0.8, stalls) - 0.0667)) END::INT AS depth,
+    s.turn >= 4 OR scenario_type <> 'intent_override' OR s.turn >= ot AS proven FROM stalled s JOIN convs USING (c))"""
+FUSE = f""",
+said AS (SELECT DISTINCT text, attribute, value FROM held),
+said_texts AS (SELECT DISTINCT text FROM said),
+pair_of AS (SELECT DISTINCT parent_asin, split_part(p, '=', 1) AS attribute, substr(p, position('=' IN p) + 1) AS value FROM (SELECT parent_asin, unnest({pairs_of('s')}) AS p FROM (SELECT parent_asin, trim(unnest(spec)) AS s FROM items))),
+want_t AS (SELECT text, len(t) AS n, unnest(t) AS token FROM (SELECT text, {tokens('text')} AS t FROM said_texts)),
+have_t AS (SELECT parent_asin, unnest({tokens('s')}) AS token FROM (SELECT parent_asin, array_to_string(spec, ' ') || ' ' || title AS s FROM items)),
+match_x AS (SELECT DISTINCT text, parent_asin FROM said_texts JOIN (SELECT unnest(card) AS text, parent_asin FROM items) USING (text)),
+match_l AS (SELECT text, parent_asin, count(*) / max(n) AS share FROM want_t JOIN have_t USING (token) GROUP BY 1, 2 HAVING count(*) / max(n) >= 0.34),
+direct AS (SELECT text, attribute, value, parent_asin, max(s) AS s FROM (SELECT text, attribute, value, parent_asin, 1.0::DOUBLE AS s FROM said JOIN match_x USING (text) UNION ALL SELECT text, attribute, value, parent_asin, 1.5 / 3.2 FROM said JOIN pair_of USING (attribute, value)
+    UNION ALL SELECT text, attribute, value, parent_asin, share * 0.9 / 3.2 FROM said JOIN match_l USING (text)) GROUP BY 1, 2, 3, 4),
+card_t AS (SELECT parent_asin, spot, len(h) AS m, unnest(h) AS token FROM (SELECT parent_asin, spot, {tokens('s')} AS h FROM (SELECT parent_asin, unnest(card) AS s, generate_subscripts(card, 1) AS spot FROM items))),
+card_k AS (SELECT text, parent_asin, spot, count(*) AS k, max(n) AS n, max(m) AS m FROM want_t JOIN card_t USING (token) GROUP BY 1, 2, 3),
+card_b AS (SELECT text, parent_asin, max(k / (n + m - k)) AS best FROM card_k GROUP BY 1, 2),
+soft_b AS (SELECT * FROM card_b b WHERE best >= 0.34 AND NOT EXISTS (SELECT 1 FROM match_x x WHERE x.text = b.text AND x.parent_asin = b.parent_asin)),
+gain AS MATERIALIZED (SELECT text, attribute, value, parent_asin, sum(g) AS g FROM (SELECT text, attribute, value, parent_asin, ln(greatest(0.02, exp(3.2 * (s - 1)))) - ln(greatest(0.02, exp(-3.2))) AS g FROM direct
+    UNION ALL SELECT text, attribute, value, parent_asin, 1.5 * best FROM said JOIN soft_b USING (text)) GROUP BY 1, 2, 3, 4),
+scored AS (SELECT c, at_turn, parent_asin, sum(weight * g) AS e FROM weighed JOIN gain USING (text, attribute, value) GROUP BY 1, 2, 3),
+placed AS (SELECT v.c, t::INT AS turn, p.parent_asin, p.pool_pos, coalesce(round(e, 9), 0) AS e FROM convs v JOIN pool p USING (opener) CROSS JOIN range(1, 11) r(t) LEFT JOIN scored s ON s.c = v.c AND s.at_turn = t AND s.parent_asin = p.parent_asin),
+tops AS (SELECT c, turn, list(pool_pos ORDER BY e DESC, pool_pos) AS head, max(n_pool) AS n_pool FROM (SELECT *, row_number() OVER (PARTITION BY c, turn ORDER BY e DESC, pool_pos) AS rank, count(*) OVER (PARTITION BY c, turn) AS n_pool FROM placed) WHERE rank <= 100 GROUP BY 1, 2),
+steps AS MATERIALIZED (SELECT * FROM tops JOIN depths USING (c, turn)),
+lists(c, turn, gone, shipped) AS (
+  SELECT c, 0, CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) FROM (SELECT DISTINCT c FROM steps)
+  UNION ALL
+  SELECT c, turn, CASE WHEN proven THEN list_distinct(gone || ship) ELSE gone END, ship FROM (
+    SELECT s.c, s.turn, l.gone, s.proven, CASE WHEN len(l.gone) < s.n_pool THEN (list_filter(s.head, lambda x: NOT list_contains(l.gone, x)) || CASE WHEN s.turn = 10 THEN list_sort(l.gone) ELSE CAST([] AS BIGINT[]) END)[1:s.depth] ELSE s.head[1:s.depth] END AS ship
+    FROM lists l JOIN steps s ON s.c = l.c AND s.turn = l.turn + 1)),
+named AS (SELECT c, turn, list(parent_asin ORDER BY spot) AS names FROM (SELECT c, turn, unnest(shipped) AS pool_pos, generate_subscripts(shipped, 1) AS spot FROM lists) JOIN convs USING (c) JOIN pool USING (opener, pool_pos) GROUP BY 1, 2),
+shown AS (SELECT c, turn, coalesce(names, CAST([] AS VARCHAR[])) AS shipped FROM lists LEFT JOIN named USING (c, turn) WHERE turn > 0),
+outcome AS (SELECT sample_id, scenario_type, min(CASE WHEN list_contains(shipped, parent_asin) AND (scenario_type <> 'intent_override' OR turn >= override_turn) THEN turn * 100 + list_position(shipped, parent_asin) END) AS f FROM member JOIN shown USING (c) GROUP BY 1, 2),
+played AS (SELECT sample_id, scenario_type, f IS NOT NULL AS hit, (f // 100)::INT AS first_hit_turn, coalesce(1.0 / (f % 100), 0.0)::DOUBLE AS reciprocal_rank FROM outcome)"""
 SPLIT = """,
 firsts AS (SELECT target_pos, arg_min(scenario_type, sample_id) AS stratum FROM samples GROUP BY 1),
 parted AS (SELECT target_pos, CASE WHEN row_number() OVER (PARTITION BY stratum ORDER BY md5(target_pos::VARCHAR), target_pos) <= round(count(*) OVER (PARTITION BY stratum) * 0.4) THEN 'test' ELSE 'train' END AS part FROM firsts)"""
 
 
 def over(prelude: str, body: str) -> str:
-    return f"WITH {prelude.lstrip().removeprefix(',')} {body}"
+    return f"WITH RECURSIVE {prelude.lstrip().removeprefix(',')} {body}"
 
 
 ITEMS, SESSIONS, BELIEF = CATALOG, CATALOG + SAMPLES, CATALOG + SAMPLES + CATEGORY
+TURNS, PLAYED = SESSIONS + PLAY, BELIEF + PLAY + FUSE
+METRICS = (
+    "SELECT *, round(greatest(0, least(1, (11 - mttc) / 10)), 6) AS efficiency, round(0.5 * hit_rate + 0.3 * mrr + 0.2 * round(greatest(0, least(1, (11 - mttc) / 10)), 6), 6) AS score FROM (SELECT coalesce(scenario_type, 'all') AS scenario_type, "
+    "count(*) AS sample_count, round(avg(hit::INT), 6) AS hit_rate, round(avg(reciprocal_rank), 6) AS mrr, round(avg(coalesce(first_hit_turn, 11)), 6) AS mttc FROM {} GROUP BY ROLLUP (scenario_type))"
+)
 PAIRS = f"SELECT DISTINCT parent_asin, split_part(p, '=', 1) AS attribute, substr(p, position('=' IN p) + 1) AS value FROM (SELECT parent_asin, unnest({pairs_of('s')}) AS p FROM (SELECT parent_asin, trim(unnest(spec)) AS s FROM items))"
 ORACLE: dict[str, str] = {
     "token_sets": f"SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(list_sort(t), ' ')) AS digest FROM (SELECT doc_id, {tokens('text')} AS t FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))",
@@ -161,7 +221,18 @@ ORACLE: dict[str, str] = {
     "ranked_topk": over(BELIEF, "SELECT opener, text, rank, parent_asin, round(p, 6) AS p FROM heads"),
     "belief_entropy": over(BELIEF, "SELECT opener, text, count(*) AS n, round(CASE WHEN count(*) > 1 THEN -sum(x * ln(x)) / ln(count(*)) ELSE 0 END, 6) AS entropy FROM (SELECT opener, text, e / sum(e) OVER (PARTITION BY opener, text) AS x FROM beliefs) GROUP BY 1, 2"),
     "session_results": over(BELIEF, "SELECT sample_id, scenario_type, hit, first_hit_turn, round(reciprocal_rank, 6) AS reciprocal_rank FROM results"),
-    "metrics_rollup": over(BELIEF, "SELECT *, round(greatest(0, least(1, (11 - mttc) / 10)), 6) AS efficiency, round(0.5 * hit_rate + 0.3 * mrr + 0.2 * round(greatest(0, least(1, (11 - mttc) / 10)), 6), 6) AS score FROM (SELECT coalesce(scenario_type, 'all') AS scenario_type, count(*) AS sample_count, round(avg(hit::INT), 6) AS hit_rate, round(avg(reciprocal_rank), 6) AS mrr, round(avg(coalesce(first_hit_turn, 11)), 6) AS mttc FROM results GROUP BY ROLLUP (scenario_type))"),
+    "metrics_rollup": over(BELIEF, METRICS.format("results")),
+    "transcripts": over(TURNS, "SELECT sample_id, turn, message FROM member JOIN play USING (c)"),
+    "parse_templates": over(TURNS, "SELECT kind, CASE WHEN kind = 'opener' THEN CASE scenario_type WHEN 'buying' THEN 'buying' WHEN 'intent_override' THEN 'override' ELSE 'browsing' END END AS route, count(*) AS n, sum(len(texts))::BIGINT AS n_texts, "
+        "count(DISTINCT CASE WHEN kind = 'opener' THEN category END) AS n_categories FROM member m JOIN told USING (c) JOIN (SELECT c, category FROM convs) USING (c) GROUP BY 1, 2"),
+    "constraints": over(TURNS, "SELECT sample_id, turn, part, reading, text, attribute, value FROM member JOIN held USING (c)"),
+    "constraint_weights": over(TURNS, "SELECT sample_id, at_turn, count(*) AS n_live, round(sum(weight), 6) AS weight FROM member JOIN weighed USING (c) GROUP BY 1, 2"),
+    "override_demotion": over(TURNS, "SELECT sample_id, text, attribute, value, demoted_turn FROM member JOIN held USING (c) JOIN turned USING (c) WHERE turn <= 1"),
+    "stall_counter": over(TURNS, "SELECT sample_id, turn, gained, stalls FROM member JOIN stalled USING (c)"),
+    "list_depths": over(TURNS, "SELECT scenario_type, turn, depth, proven, count(*) AS n_sessions FROM member JOIN depths USING (c) GROUP BY 1, 2, 3, 4"),
+    "played_lists": over(PLAYED, "SELECT sample_id, turn, array_to_string(shipped, ' ') AS shipped FROM member JOIN shown USING (c)"),
+    "played_results": over(PLAYED, "SELECT sample_id, scenario_type, hit, first_hit_turn, round(reciprocal_rank, 6) AS reciprocal_rank FROM played"),
+    "played_metrics": over(PLAYED, METRICS.format("played")),
     "early_hit_curve": over(BELIEF, "SELECT t::INT AS turn, round(avg(CASE WHEN first_hit_turn <= t THEN 1.0 ELSE 0.0 END), 6) AS share FROM results, range(1, 11) r(t) GROUP BY 1"),
     "normalize_recommendations": "SELECT session, rank, id FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY spot, id) AS rank FROM (SELECT l_orderkey AS session, l_partkey AS id, min(l_linenumber) AS spot FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part) GROUP BY 1, 2)) WHERE rank <= 10",
     "stratified_split": over(SESSIONS + SPLIT, "SELECT sample_id, scenario_type, part FROM samples JOIN parted USING (target_pos)"),

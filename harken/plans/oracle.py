@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from harken.functions import text as tx
 from harken.operators import catalog as cat
-from harken.operators import dialogue as dlg
+from harken.operators import vocabulary as voc
 from harken.sources import views
 
 
@@ -70,6 +70,23 @@ def pairs_of(t: str) -> str:
     return f"CASE WHEN len({own}) > 0 THEN {own} ELSE {rest_} END"
 
 
+def folded(t: str) -> str:
+    return f"trim(regexp_replace(lower({t}), '[^a-z0-9%$]+', ' ', 'g'))"
+
+
+def alias_of(a: str, k: str) -> str:
+    return f"CASE {a} || '=' || {k} " + " ".join(f"WHEN {q(f'{x}={y}')} THEN {q(z)}" for x, m in voc.ALIASES.items() for y, z in m.items()) + f" ELSE {k} END"
+
+
+def concept_of(source: str) -> str:
+    """(…, attribute, value) rows of the source with their concept."""
+    own = f"(list_filter({pairs_of('trim(value)')}, lambda p: split_part(p, '=', 1) = attribute))[1]"
+    said = "coalesce(nullif(substr(own, length(attribute) + 2), ''), value)"
+    first = f"SELECT *, {folded(said)} AS k FROM (SELECT *, {own} AS own FROM {source})"
+    plain = "trim(replace(replace(c, 'made entirely of ', ''), 'entirely ', ''))"
+    return f"(SELECT *, CASE WHEN attribute = 'material' AND contains(c, 'entirely') THEN {plain} ELSE c END AS concept FROM (SELECT *, {alias_of('attribute', 'k')} AS c FROM ({first})))"
+
+
 CLEAN_CONSTRAINT = "rtrim(left(trim(regexp_replace(x, '\\s+', ' ', 'g'), ' -;,.\t\n'), 180))"
 NONE = arr(cat.NO_CATEGORY)
 CATALOG = f"""
@@ -181,6 +198,23 @@ def over(prelude: str, body: str) -> str:
 
 
 ITEMS, SESSIONS, BELIEF = CATALOG, CATALOG + SAMPLES, CATALOG + SAMPLES + CATEGORY
+VOCABULARY = f""",
+label_pairs AS (SELECT label, split_part(p, '=', 1) AS attribute, substr(p, position('=' IN p) + 1) AS value FROM (SELECT label, unnest({ordered('ps')}) AS p FROM (SELECT text AS label, {pairs_of('trim(text)')} AS ps FROM card_texts))),
+label_concepts AS MATERIALIZED (SELECT label, attribute, concept FROM {concept_of('label_pairs')}),
+concepts AS MATERIALIZED (SELECT attribute, concept, label, parent_asin, cat_pos FROM (SELECT parent_asin, cat_pos, unnest(card) AS label FROM items) JOIN label_concepts USING (label)),
+labels AS (SELECT attribute, concept, label, count(*) AS n FROM concepts GROUP BY 1, 2, 3),
+chosen AS (SELECT attribute, concept, label, count(*) OVER (PARTITION BY attribute, concept) AS n_labels, row_number() OVER (PARTITION BY attribute, concept ORDER BY {folded('label')} = concept DESC, n DESC, length(label), label DESC) AS r FROM labels),
+reps AS (SELECT attribute, concept, label, n_labels FROM chosen WHERE r = 1),
+phrases AS (SELECT DISTINCT split_part(p, '=', 1) AS attribute, substr(p, position('=' IN p) + 1) AS phrase FROM (SELECT unnest({pairs_of('s')}) AS p FROM (SELECT trim(unnest(spec)) AS s FROM items))),
+literals AS (SELECT attribute, label, {folded('label')} AS k, row_number() OVER (PARTITION BY attribute, {folded('label')} ORDER BY n DESC, spot, label DESC) AS r FROM (SELECT attribute, label, count(*) AS n, min(cat_pos) AS spot FROM concepts GROUP BY 1, 2))"""
+RESOLVE = f""",
+titles AS (SELECT DISTINCT title AS phrase FROM items WHERE trim(title) <> ''),
+tterms AS (SELECT phrase, unnest({stems('phrase')}) AS term FROM titles),
+tshared AS (SELECT phrase, category, sum(idf) AS w, count(*) AS n, max(n_stems) AS n_stems FROM tterms JOIN cterms USING (term) JOIN idf USING (term) GROUP BY 1, 2),
+tlogits AS (SELECT phrase, s.category, cat_idx, round((w * n / s.n_stems + CASE WHEN contains(lower(phrase), lower(s.category)) THEN 3.0 * w ELSE 0 END) / 2.0 + 0.25 * log_prior, 9) AS logit FROM tshared s JOIN cstats USING (category)),
+tranked AS (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY logit DESC, cat_idx) AS rank FROM tlogits),
+texact AS (SELECT phrase, min(category) AS category FROM titles JOIN cstats ON lower(category) = lower(trim(phrase)) GROUP BY 1),
+hypotheses AS (SELECT phrase, 1::BIGINT AS rank, category, 1.0::DOUBLE AS p FROM texact UNION ALL SELECT phrase, rank, category, exp(logit - m) / sum(exp(logit - m)) OVER (PARTITION BY phrase) FROM (SELECT *, max(logit) OVER (PARTITION BY phrase) AS m FROM tranked WHERE rank <= 12) WHERE phrase NOT IN (SELECT phrase FROM texact))"""
 TURNS, PLAYED = SESSIONS + PLAY, BELIEF + PLAY + FUSE
 METRICS = (
     "SELECT *, round(greatest(0, least(1, (11 - mttc) / 10)), 6) AS efficiency, round(0.5 * hit_rate + 0.3 * mrr + 0.2 * round(greatest(0, least(1, (11 - mttc) / 10)), 6), 6) AS score FROM (SELECT coalesce(scenario_type, 'all') AS scenario_type, "
@@ -202,6 +236,13 @@ ORACLE: dict[str, str] = {
     "category_scores": over(BELIEF, "SELECT opener, category, round(score, 6) AS score FROM cscores"),
     "category_posterior": over(BELIEF, "SELECT opener, category, round(p, 6) AS p FROM post"),
     "category_pool": over(BELIEF, "SELECT opener, parent_asin, pool_pos FROM pool"),
+    "best_category": over(BELIEF, "SELECT opener, category FROM (SELECT *, row_number() OVER (PARTITION BY opener ORDER BY p DESC, cat_idx) AS r FROM post) WHERE r = 1"),
+    "category_hypotheses": over(BELIEF + RESOLVE, "SELECT phrase, rank, category, round(p, 6) AS p FROM hypotheses"),
+    "category_of_phrase": over(BELIEF + RESOLVE, "SELECT phrase, CASE WHEN round(p1, 9) >= 0.75 OR p2 IS NULL OR round(p1, 9) >= round(3.0 * p2, 9) THEN category END AS category FROM (SELECT phrase, max(CASE WHEN rank = 1 THEN p END) AS p1, max(CASE WHEN rank = 2 THEN p END) AS p2, max(CASE WHEN rank = 1 THEN category END) AS category FROM hypotheses GROUP BY 1)"),
+    "concept_labels": over(ITEMS + VOCABULARY, "SELECT attribute, concept, label, n_labels, support FROM reps JOIN (SELECT attribute, concept, count(DISTINCT parent_asin) AS support FROM concepts GROUP BY 1, 2) USING (attribute, concept)"),
+    "canonical_phrases": over(ITEMS + VOCABULARY, f"SELECT p.attribute, phrase, coalesce(l.label, CASE WHEN NOT list_contains({arr(voc.AMBIGUOUS)}, p.k) THEN r.label END) AS label FROM (SELECT *, {alias_of('attribute', 'k')} AS meaning FROM (SELECT *, {folded('phrase')} AS k FROM phrases)) p LEFT JOIN literals l ON l.attribute = p.attribute AND l.k = p.k AND l.r = 1 LEFT JOIN reps r ON r.attribute = p.attribute AND r.concept = p.meaning"),
+    "concept_support": over(BELIEF + VOCABULARY + f", asked_pairs AS (SELECT opener, split_part(p, '=', 1) AS attribute, substr(p, position('=' IN p) + 1) AS value FROM (SELECT opener, unnest({pairs_of('trim(stated)')}) AS p FROM openers WHERE stated IS NOT NULL)), asked AS (SELECT DISTINCT opener, attribute, concept FROM {concept_of('asked_pairs')})",
+        "SELECT opener, attribute, concept, coalesce(n_items, 0) AS n_items FROM asked LEFT JOIN (SELECT opener, attribute, concept, count(*) AS n_items FROM asked JOIN (SELECT DISTINCT attribute, concept, parent_asin FROM concepts) USING (attribute, concept) JOIN pool USING (opener, parent_asin) GROUP BY 1, 2, 3) USING (opener, attribute, concept)"),
     "session_samples": over(SESSIONS, "SELECT sample_id, scenario_type, override_turn, parent_asin, category FROM sessions"),
     "initial_messages": over(SESSIONS, "SELECT sample_id, opener AS message FROM opened"),
     "exact_matches": over(ITEMS, "SELECT text, count(*) AS n_items, min(parent_asin) AS first_item FROM (SELECT DISTINCT unnest(card) AS text, parent_asin FROM items) GROUP BY 1"),

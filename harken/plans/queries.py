@@ -14,6 +14,7 @@ from harken.operators import category as ctg
 from harken.operators import dialogue as dlg
 from harken.operators import evidence as ev
 from harken.operators import scoring as sc
+from harken.operators import vocabulary as voc
 from harken.sources import views
 from harken.sources.stages import staged
 
@@ -135,6 +136,35 @@ def category_pool(s: SparkSession, d: str) -> DataFrame:
     return ctg.pool(_post(s, d), _index(s, d)).select("opener", "parent_asin", F.col("pool_pos").cast("long").alias("pool_pos"))
 
 
+def best_category(s: SparkSession, d: str) -> DataFrame:
+    return _post(s, d).groupBy("opener").agg(F.max_by("category", F.struct("p", -F.col("cat_idx"))).alias("category"))
+
+
+def category_hypotheses(s: SparkSession, d: str) -> DataFrame:
+    titles = _index(s, d).select(F.col("title").alias("phrase"))
+    return voc.category_hypotheses(titles, ctg.stats(_index(s, d))).select("phrase", F.col("rank").cast("long").alias("rank"), "category", F.round("p", 6).alias("p"))
+
+
+def category_of_phrase(s: SparkSession, d: str) -> DataFrame:
+    titles = _index(s, d).select(F.col("title").alias("phrase"))
+    return voc.category_of_phrase(voc.category_hypotheses(titles, ctg.stats(_index(s, d))))
+
+
+def concept_labels(s: SparkSession, d: str) -> DataFrame:
+    return voc.representatives(staged(voc.concepts(_index(s, d)), "concepts"))
+
+
+def canonical_phrases(s: SparkSession, d: str) -> DataFrame:
+    return voc.canonical(cat.item_pairs(_index(s, d)).select("attribute", F.col("value").alias("phrase")).distinct(), staged(voc.concepts(_index(s, d)), "concepts"))
+
+
+def concept_support(s: SparkSession, d: str) -> DataFrame:
+    states = _states(s, d)
+    read = states.select("text").distinct().select("text", F.explode(tx.pairs(F.col("text"))).alias("p")).select("text", "p.*")
+    asked = states.join(read.join(voc.with_concepts(read), ["attribute", "value"]), "text").select("opener", "attribute", "concept").distinct()
+    return voc.support(asked, staged(voc.concepts(_index(s, d)), "concepts"), ctg.pool(_post(s, d), _index(s, d)))
+
+
 def session_samples(s: SparkSession, d: str) -> DataFrame:
     return _sessions(s, d).select("sample_id", "scenario_type", "override_turn", "parent_asin", "category")
 
@@ -256,7 +286,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         token_sets, term_bags, stems, classify_constraint, clean_value, catalog_items, coarse_category, intent_card, normalise_pairs, popularity_fallback,
-        category_stats, category_scores, category_posterior, category_pool, session_samples, initial_messages, transcripts, parse_templates, constraints,
+        category_stats, category_scores, category_posterior, category_pool, best_category, category_hypotheses, category_of_phrase,
+        concept_labels, canonical_phrases, concept_support, session_samples, initial_messages, transcripts, parse_templates, constraints,
         constraint_weights, override_demotion, stall_counter, exact_matches, attribute_matches, lexical_overlap, softcard_jaccard, bm25_scores, ranked_topk,
         belief_entropy, session_results, metrics_rollup, list_depths, played_lists, played_results, played_metrics, early_hit_curve, normalize_recommendations, stratified_split, split_disjoint, bootstrap_ci,
     )

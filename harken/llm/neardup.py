@@ -8,9 +8,10 @@
 3. Improved consistent weighted sampling draws BANDS * ROWS samples per text; two texts agree in a sample with the
    probability of their weighted Jaccard similarity. Samples are banded; texts that agree in a band meet in a bucket.
 4. In a bucket, texts are compared with one leader, the text that meets the most others over all its buckets, hence the most central
-   one. Texts that it does not catch go on to further leaders, in rounds. A bucket of n texts so gives n - 1 comparisons a round and
-   never all pairs; pairs already in one class are left out.
-5. A comparison computes the weighted Jaccard similarity over both whole texts, under the TF-IDF weights and under tf alone, and
+   one. Texts that it does not catch go on to further leaders, in ROUNDS rounds, of n - 1 comparisons in a bucket of n texts.
+5. What is left in several classes after that is compared whole: the texts of a bucket are dealt into blocks and every two blocks meet, so that each
+   pair of texts that shares a bucket is in one class or has been compared. Only blocks of one and the same class do not meet.
+6. A comparison computes the weighted Jaccard similarity over both whole texts, under the TF-IDF weights and under tf alone, and
    links at THRESHOLD under either. Linked texts form classes (connected components, by large-star and small-star).
 
 Equal texts are one node from the start and are never compared. Only the sketch (fixed size) reaches the driver.
@@ -41,6 +42,8 @@ SKETCH_BITS = 16
 DAMPING = 0.25
 #: Rounds of leaders; each but the first looks only at buckets whose texts are in several classes.
 ROUNDS = 4
+#: Texts of a block, about, where all pairs of a bucket meet, and shingles that are compared there at once.
+BLOCK, BLOCK_SHINGLES = 128, 1 << 20
 #: Shingles whose samples are drawn at once.
 STRIP = 1 << 14
 
@@ -324,6 +327,117 @@ def _leaders(buckets: DataFrame, classes: DataFrame | None, turn: int) -> DataFr
     return pairs.select(F.col("key").alias("a"), F.col("lead.key").alias("b")).distinct()
 
 
+def _blocks(buckets: DataFrame, classes: DataFrame, compared: int) -> DataFrame:
+    """(spot, side, key, class): the texts of each two blocks of a bucket that have to meet, one spot for each two blocks.
+
+    Buckets of up to ``compared`` texts are left out: all their pairs have met leaders. A class of BLOCK texts or more in a bucket has blocks of its own, which
+    do not meet each other; other classes share blocks. A block of side 0 meets that of side 1; where there is no side 1, itself.
+    """
+    spark = buckets.sparkSession
+    rows = buckets.join(classes.select(F.col("node").alias("key"), F.col("label").alias("class")), "key", "left").select("band", "key", F.coalesce("class", "key").alias("class"))
+    rows = written(spark, rows, "classed-buckets")
+    mixed = rows.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n")).where((F.col("lo") != F.col("hi")) & (F.col("n") > compared))
+    rows = written(spark, rows.join(written(spark, mixed.select("band"), "mixed"), "band"), "open-buckets")
+    sizes = rows.groupBy("band", "class").agg(F.count(F.lit(1)).alias("n"))
+    parts = lambda n: F.ceil(n / BLOCK).cast("int")
+    large = F.when(F.col("n") >= BLOCK, F.struct("class", parts(F.col("n")).alias("parts")))
+    plan = sizes.groupBy("band").agg(F.collect_list(large).alias("large"), parts(F.coalesce(F.sum(F.when(F.col("n") < BLOCK, F.col("n"))), F.lit(0))).alias("rest"))
+    rows = rows.join(written(spark, plan, "block-plan"), "band")
+    block = lambda of, salt: F.struct(of.cast("binary").alias("of"), salt.cast("int").alias("salt"))
+    each = lambda n, of: F.transform(F.sequence(F.lit(1), n), lambda i: block(of, i - 1))
+    shared = F.when(F.col("rest") > 0, each(F.col("rest"), F.lit(None))).otherwise(F.array().cast("array<struct<of:binary,salt:int>>"))
+    rows = rows.withColumn("blocks", F.concat(shared, F.flatten(F.transform("large", lambda c: each(c["parts"], c["class"])))))
+    rows = rows.withColumn("mine", F.get(F.filter("large", lambda c: c["class"] == F.col("class")), F.lit(0)))
+    rows = rows.withColumn("own", block(F.col("mine")["class"], F.pmod(F.xxhash64("key"), F.coalesce(F.col("mine")["parts"], F.col("rest")))))
+    meets = lambda b: F.col("own.of").isNull() | b["of"].isNull() | (F.col("own.of") != b["of"])
+    rows = rows.withColumn("other", F.explode(F.filter("blocks", meets)))
+    rows = rows.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+    spot = F.concat_ws(":", "band", F.hex("x.of"), "x.salt", F.hex("y.of"), "y.salt")
+    return rows.select(spot.alias("spot"), F.when(F.col("own").eqNullSafe(F.col("x")), 0).otherwise(1).alias("side"), "key", "class")
+
+
+def _alike(one: list[tuple], two: list[tuple], weights: Weights, least: float) -> np.ndarray:
+    """(i, j) rows of the texts of ``one`` and ``two`` whose similarity may be ``least`` or more, all at once: shared weight by matrix products.
+
+    A shingle that occurs t times is t elements, so that the weight of shared elements is that of the least times.
+    """
+    both = [*one, *two]
+    sizes = [int(tf.sum()) for _, tf in both]
+    who = np.repeat(np.arange(len(both)), sizes)
+    times = np.concatenate([tf for _, tf in both])
+    level = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
+    h = np.repeat(np.concatenate([h for h, _ in both]), times)
+    weight = weights.of(h, np.ones(len(h)))
+    total = np.bincount(who, weight, len(both))
+    element = h ^ _mixed(level.astype(U64) * U64(0x9E3779B97F4A7C15))
+    shared = np.zeros((2, len(one), len(two)))
+    part = element % U64(len(h) // BLOCK_SHINGLES + 1)
+    for p in range(len(h) // BLOCK_SHINGLES + 1):
+        at = np.flatnonzero(part == p)
+        _, place, n = np.unique(element[at], return_inverse=True, return_counts=True)
+        at, place = at[n[place] > 1], place[n[place] > 1]  # others are in one text only
+        order = np.argsort(place, kind="stable")
+        at, place = at[order], place[order]
+        place = np.cumsum(np.concatenate([[0], place[1:] != place[:-1]])) if len(place) else place
+        for lo in range(0, int(place[-1]) + 1 if len(place) else 0, STRIP // 2):
+            i, j = np.searchsorted(place, [lo, lo + STRIP // 2])
+            table = np.zeros((len(both), int(place[j - 1]) - lo + 1), dtype=np.float32)
+            table[who[at[i:j]], place[i:j] - lo] = 1
+            factor = np.zeros(table.shape[1], dtype=np.float32)
+            factor[place[i:j] - lo] = weight[at[i:j]]
+            shared[0] += table[: len(one)] @ table[len(one) :].T
+            shared[1] += (table[: len(one)] * factor) @ table[len(one) :].T
+    best = np.zeros(shared.shape[1:])
+    for s, t in zip(shared, (np.array(sizes, dtype=float), total), strict=True):
+        best = np.maximum(best, s / np.maximum(1e-9, t[: len(one), None] + t[None, len(one) :] - s))
+    return np.argwhere(best >= least)
+
+
+def _linked(texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """From the rows of _blocks with their texts: (a, b) of similar texts of different classes, as many as join all classes that they join."""
+
+    def meet(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+        sides = [[r for r in rows if r[1] == s] for s in (0, 1)]
+        whole = not sides[1]
+        one, two = sides[0], sides[0] if whole else sides[1]
+        if not one or len({r[3] for r in rows}) < 2:
+            return
+        texts = {r[2]: r[4] for r in rows}
+        keys, sets = list(texts), {}
+        for lo, hi in strips(list(texts.values())):
+            sets |= _sets(keys[lo:hi], [texts[k] for k in keys[lo:hi]])
+        one, two = ([r for r in side if r[2] in sets] for side in (one, two))
+        top: dict[bytes, bytes] = {}
+
+        def find(c: bytes) -> bytes:
+            while top.get(c, c) != c:
+                top[c] = c = top.get(top[c], top[c])
+            return c
+
+        if not one or not two:
+            return
+        for i, j in _alike([sets[r[2]] for r in one], [sets[r[2]] for r in two], weights, threshold - 1e-3).tolist():
+            a, b = one[i], two[j]
+            if (x := find(a[3])) != (y := find(b[3])) and similarity(sets[a[2]], sets[b[2]], weights) >= threshold:
+                top[x] = y
+                yield max(a[2], b[2]), min(a[2], b[2])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            found, rows = [], list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            for r in rows:
+                if held and held[0][0] != r[0]:
+                    found += meet(held)
+                    held = []
+                held.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], ["a", "b"])
+        found = list(meet(held))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], ["a", "b"])
+
+    return texts.select("spot", "side", "key", "class", "text").repartition("spot").sortWithinPartitions("spot").mapInArrow(verify, "a binary, b binary").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of ``docs``: id, key, class_id (the least id of the class) and n_links (verified links of its text)."""
     spark = docs.sparkSession
@@ -352,6 +466,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         own = written(spark, _verified(pairs, weights, threshold), "links")
         links = own if links is None else links.unionByName(own)
         classes = components(spark, links)
+    else:
+        if classes is not None:
+            meeting = _blocks(met, classes, min(rounds, 2) + 1).join(texts, "key")
+            links = links.unionByName(written(spark, _linked(meeting, weights, threshold), "links"))
+            classes = components(spark, links)
     found = signed.select("id", "key")
     if links is None:
         return found.join(nodes.select("key", F.col("id").alias("class_id")), "key", "left").select(F.col("id").alias(id_col), "key", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.lit(0).cast("long").alias("n_links"))

@@ -153,6 +153,46 @@ def test_near_duplicates(spark, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_inside_a_template_family(spark):
+    """Real copies hidden in a family of texts 0.6 to 0.75 alike, whose buckets hundreds share: every pair counts."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    template, rows = [word() for _ in range(200)], []
+
+    def changed(words, n):
+        out = list(words)
+        for p in rng.sample(range(200), n):
+            out[p] = word()
+        return out
+
+    for k in range(240):
+        member = changed(template, 6)
+        rows += [" ".join(member)] + [" ".join(changed(member, 2)) for _ in range(k % 4 == 0)]
+    rows += [" ".join(changed(template, 1)) for _ in range(60)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    bags = [set(map(hash, brute.shingle_counts(t))) for t in rows]  # each occurs once
+    parent = list(range(len(rows)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    near = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            s = len(bags[i] & bags[j]) / len(bags[i] | bags[j])
+            near += 0.6 <= s < 0.75
+            if s >= 0.8:
+                x, y = sorted((top(i), top(j)))
+                parent[y] = x
+    assert near > 10_000
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()}
+    lost = sum(got[i] != got[top(i)] for i in range(len(rows)))
+    assert lost == 0
+
+
 def test_consistent_samples_follow_weighted_jaccard():
     rng = np.random.default_rng(0)
     h = rng.integers(1, 2**63, 400).astype(np.uint64)

@@ -48,8 +48,8 @@ def softcard(texts: DataFrame, index: DataFrame, *also: str, floor: float = FLOO
     return best.where(F.col("best") >= floor).join(exact(texts, index, *also), ["text", "parent_asin"], "left_anti")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
-    """(query_id, doc_id, strength): Okapi BM25 over (doc_id, text), as a share of the query's ceiling; the best per query."""
+def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, strength): Okapi BM25 over (doc_id, text), as a share of the query's ceiling, of every document with a positive score."""
     bags = docs.select("doc_id", tx.terms(F.coalesce("text", F.lit(""))).alias("bag"))
     sizes = bags.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.greatest(F.size("bag"), F.lit(1))).alias("avg_len")).withColumn("_one", F.lit(1))
     tf = bags.select("doc_id", F.greatest(F.size("bag"), F.lit(1)).alias("len"), F.explode("bag").alias("term")).groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -60,9 +60,13 @@ def bm25(docs: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
     ceiling = want.groupBy("query_id").agg(F.sum("idf").alias("ceiling"))
     gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     score = want.join(tf, "term").groupBy("query_id", "doc_id").agg(F.sum(gain).alias("score")).join(ceiling, "query_id")
-    score = score.select("query_id", "doc_id", F.round(F.least(F.lit(1.0), F.col("score") / F.col("ceiling")), 6).alias("strength"))
+    return score.select("query_id", "doc_id", F.round(F.least(F.lit(1.0), F.col("score") / F.col("ceiling")), 6).alias("strength"))
+
+
+def bm25_top(docs: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
+    """The report of the ``top`` best documents of each query, with rank."""
     order = Window.partitionBy("query_id").orderBy(F.desc("strength"), "doc_id")
-    return score.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return bm25(docs, queries).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
 def ranked(states: DataFrame, pool: DataFrame, index: DataFrame, top: int = 10) -> DataFrame:

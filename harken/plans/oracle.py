@@ -280,3 +280,6 @@ ORACLE: dict[str, str] = {
     "split_disjoint": over(SESSIONS + SPLIT, "SELECT count(*) AS n_targets, sum((n > 1)::INT)::BIGINT AS n_shared FROM (SELECT target_pos, count(DISTINCT part) AS n FROM samples JOIN parted USING (target_pos) GROUP BY 1)"),
     "bootstrap_ci": "WITH d AS (SELECT doc_id, quality::DOUBLE AS v, r, ('0x' || left(md5(doc_id || ':' || r), 8))::UBIGINT / 4294967296.0 AS u FROM labels, range(1, 201) t(r)), k AS (SELECT *, CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3 ELSE 4 END AS k FROM d), m AS (SELECT r, sum(k * v) / sum(k) AS m FROM k GROUP BY 1) SELECT round(quantile_cont(m, 0.025), 6) AS low, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.975), 6) AS high FROM m",
 }
+
+#: All positive scores, where bm25_scores reports the ten best of each item.
+ORACLE["bm25_all_scores"] = ORACLE["bm25_scores"].split(" SELECT query_id, rank, strength")[0] + " SELECT query_id, doc_id, strength FROM st"

@@ -221,7 +221,12 @@ def softcard_jaccard(s: SparkSession, d: str) -> DataFrame:
 
 def bm25_scores(s: SparkSession, d: str) -> DataFrame:
     items = views.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return ev.bm25(views.table(s, d, "documents").select("doc_id", "text"), items).select("query_id", F.col("rank").cast("long").alias("rank"), "strength")
+    return ev.bm25_top(views.table(s, d, "documents").select("doc_id", "text"), items).select("query_id", F.col("rank").cast("long").alias("rank"), "strength")
+
+
+def bm25_all_scores(s: SparkSession, d: str) -> DataFrame:
+    items = views.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return ev.bm25(views.table(s, d, "documents").select("doc_id", "text"), items)
 
 
 def ranked_topk(s: SparkSession, d: str) -> DataFrame:
@@ -288,7 +293,7 @@ QUERIES: dict[str, Query] = {
         token_sets, term_bags, stems, classify_constraint, clean_value, catalog_items, coarse_category, intent_card, normalise_pairs, popularity_fallback,
         category_stats, category_scores, category_posterior, category_pool, best_category, category_hypotheses, category_of_phrase,
         concept_labels, canonical_phrases, concept_support, session_samples, initial_messages, transcripts, parse_templates, constraints,
-        constraint_weights, override_demotion, stall_counter, exact_matches, attribute_matches, lexical_overlap, softcard_jaccard, bm25_scores, ranked_topk,
+        constraint_weights, override_demotion, stall_counter, exact_matches, attribute_matches, lexical_overlap, softcard_jaccard, bm25_scores, bm25_all_scores, ranked_topk,
         belief_entropy, session_results, metrics_rollup, list_depths, played_lists, played_results, played_metrics, early_hit_curve, normalize_recommendations, stratified_split, split_disjoint, bootstrap_ci,
     )
 }

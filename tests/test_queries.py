@@ -99,3 +99,14 @@ def test_jsonl_round_trip(spark, tmp_path):
     write_jsonl(rows, f"file://{tmp_path}/out")
     append_registry(rows, f"file://{tmp_path}/out")
     assert read_jsonl(spark, f"file://{tmp_path}/out", CATALOG).count() == 2
+
+
+def test_bm25_scores_every_match(spark):
+    """Twelve documents match the query: all have a score, and only the report stops at ten."""
+    from harken.operators import evidence as ev
+
+    docs = spark.createDataFrame([(i, "cotton shirt" + " filler" * i) for i in range(12)] + [(12, "leather boots")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "cotton")], "query_id long, text string")
+    got = ev.bm25(docs, asked).collect()
+    assert sorted(r.doc_id for r in got) == list(range(12)) and all(0 < r.strength <= 1 for r in got)
+    assert ev.bm25_top(docs, asked).count() == 10

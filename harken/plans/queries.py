@@ -287,6 +287,10 @@ def bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
     return sc.bootstrap(views.table(s, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("value")))
 
 
+def bootstrap_score_ci(s: SparkSession, d: str) -> DataFrame:
+    return sc.bootstrap_score(bf.results(*_shipped(s, d)))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -294,6 +298,6 @@ QUERIES: dict[str, Query] = {
         category_stats, category_scores, category_posterior, category_pool, best_category, category_hypotheses, category_of_phrase,
         concept_labels, canonical_phrases, concept_support, session_samples, initial_messages, transcripts, parse_templates, constraints,
         constraint_weights, override_demotion, stall_counter, exact_matches, attribute_matches, lexical_overlap, softcard_jaccard, bm25_scores, bm25_all_scores, ranked_topk,
-        belief_entropy, session_results, metrics_rollup, list_depths, played_lists, played_results, played_metrics, early_hit_curve, normalize_recommendations, stratified_split, split_disjoint, bootstrap_ci,
+        belief_entropy, session_results, metrics_rollup, list_depths, played_lists, played_results, played_metrics, early_hit_curve, normalize_recommendations, stratified_split, split_disjoint, bootstrap_ci, bootstrap_score_ci,
     )
 }

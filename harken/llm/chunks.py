@@ -54,8 +54,3 @@ def chunked(texts: pa.Array, special: list[str]) -> Chunks:
     chunks = [" " + w for w in led.dictionary.to_pylist()] + own.dictionary.to_pylist()
     return Chunks(rows, bounds, codes, chunks, len(led.dictionary), whole)
 
-
-def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sum of each run of values."""
-    total = np.concatenate([[0], np.cumsum(values)])
-    return total[bounds[1:]] - total[bounds[:-1]]

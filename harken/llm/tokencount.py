@@ -44,6 +44,11 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def packed(counts: list[int] | bytes | np.ndarray) -> bytes | np.ndarray:
+    """Counts in one byte each where they all fit, else in four: 64 code points can take 256 bytes, and as many tokens."""
+    return bytes(counts) if max(counts, default=0) < 256 else np.array(counts, dtype=np.int32)
+
+
 class PrefixCounter:
     """Exact token counts of all prefixes, for one byte-level BPE vocabulary file."""
 
@@ -59,9 +64,9 @@ class PrefixCounter:
         self.pieces = regex.compile(PIECES)
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.good: dict[tuple[bytes, bytes], bool] = {}
-        self.tables: dict[str, bytes] = {}
+        self.tables: dict[str, bytes | np.ndarray] = {}
         self.states: dict[bytes, tuple[list[bytes], list[int]]] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes | np.ndarray] = {}
 
     def merge(self, text: bytes) -> list[bytes]:
         """Plain BPE of a short byte string."""
@@ -123,7 +128,7 @@ class PrefixCounter:
             out[1] = 2
         return out
 
-    def counts(self, piece: str) -> list[int] | bytes:
+    def counts(self, piece: str) -> list[int] | bytes | np.ndarray:
         """As piece(), remembered for short pieces."""
         c = self.tables.get(piece)
         if c is None:
@@ -131,7 +136,7 @@ class PrefixCounter:
             if len(piece) <= CACHE_CHARS:
                 if len(self.tables) > CACHE:
                     self.tables.clear()
-                c = self.tables[piece] = bytes(c)
+                c = self.tables[piece] = packed(c)
         return c
 
     def plain(self, text: str) -> np.ndarray:
@@ -140,7 +145,7 @@ class PrefixCounter:
         for piece in self.pieces.findall(text):
             c = self.counts(piece)
             part = np.frombuffer(c, dtype=np.uint8).astype(np.int32) if isinstance(c, bytes) else np.array(c, dtype=np.int32)
-            part += base
+            part += int(base)
             if piece[0].isspace() and run is not None:  # the run of white space up to here, were it cut here
                 part[0] = run[0] + self.counts(run[1] + piece[0])[-1]
             run = (base, piece) if piece.isspace() else None
@@ -148,22 +153,24 @@ class PrefixCounter:
             base += c[-1]
         return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
 
-    def chunk(self, text: str) -> bytes:
-        """As plain(), of a short text, one byte per count, and remembered."""
+    def chunk(self, text: str) -> bytes | np.ndarray:
+        """As plain(), of a short text, packed and remembered."""
+        if (known := self.chunks.get(text)) is not None:
+            return known
         if len(self.chunks) > CACHE:
             self.chunks.clear()
         pieces = self.pieces.findall(text)
         if len(pieces) == 1:
-            c = bytes(self.counts(pieces[0]))
+            c = packed(self.counts(pieces[0]))
         elif not any(map(str.isspace, pieces)):
             out, base = [], 0
             for piece in pieces:
                 own = self.counts(piece)
                 out += [x + base for x in own] if base else own
-                base = out[-1]
-            c = bytes(out)
+                base = int(out[-1])
+            c = packed(out)
         else:
-            c = self.plain(text).astype(np.uint8).tobytes()
+            c = packed(self.plain(text).tolist())
         self.chunks[text] = c
         return c
 
@@ -188,7 +195,7 @@ class PrefixCounter:
         chunks only grow, so the longest prefix within the budget ends in the first chunk that goes beyond it.
         """
         c = chunked(texts, self.special)
-        tables = [(self.chunks.get(x) or self.chunk(x)) if len(x) <= CACHE_CHARS else self.plain(x) for x in c.chunks]
+        tables = [self.chunk(x) if len(x) <= CACHE_CHARS else self.plain(x) for x in c.chunks]
         total = np.fromiter((int(t[-1]) if len(t) else 0 for t in tables), dtype=np.int64, count=len(tables))
         chars = np.fromiter(map(len, c.chunks), dtype=np.int64, count=len(tables))
         ends = np.concatenate([[0], np.cumsum(total[c.codes])])

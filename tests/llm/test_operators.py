@@ -64,6 +64,25 @@ def test_token_counts(docs, empty):
         assert dp.table(s).tolist() == [n(s[:p]) for p in range(len(s) + 1)]
 
 
+def test_token_counts_beyond_a_byte(spark):
+    """Pieces of 60 to 70 code points of four bytes that the vocabulary does not merge have more than 255 tokens."""
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    n = lambda s: len(library.encode(s, add_special_tokens=False).ids)
+    runs = [c * k for c in "\U00020000\U00012345\U000e0041\U0010ffff" for k in range(60, 71)]
+    texts = [t for r in runs for t in (r, "!" + r, f"so it is {r} and, then, {r}", r + "\t" + r)]
+    dp = tokencount.counter(None)
+    for t in texts[::5]:
+        assert dp.table(t).tolist() == [n(t[:p]) for p in range(len(t) + 1)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens, r.over_limit, r.fit_chars) for r in tokencount.token_counts(rows, limit=300).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == (n(t), n(t) > 300, max(p for p in range(len(t) + 1) if n(t[:p]) <= 300))
+
+
 def test_secrets(spark, docs, empty, tmp_path):
     ledger = f"file://{tmp_path}/ledger"
     for _ in range(2):  # the second run finds every pair in the ledger

@@ -1,10 +1,14 @@
 """HTML extraction (operator 8): tree scoring.
 
 The page becomes a tree (lenient: unclosed, crossed and cut-off tags are all right). Parts that are never main text are cut:
-scripts, styles, forms, menus, headers, footers, sidebars, notices, adverts and comment sections, by element, role or the words of
-their class and id. Every paragraph then passes points for its length and its commas to its ancestors, half as much with
-each level after the parent; an ancestor's points are discounted by its link density, and the best container, with those of
-its siblings that score well or read like prose, is the main text.
+scripts, styles, forms, menus, page headers, footers, sidebars, notices, adverts and comment sections, by element, role or the words of
+their class and id. A name made of such words alone (``comments``, ``cookie-bar``) cuts, unless that leaves no text; a name that has other words too
+(``related-work``) cuts only what consists of links, or a short note outside the article. Every paragraph then passes points for its length and
+its commas to its parent, half as much to each level above; a container's points are discounted by its link density. The text is all
+that is left, in page order, of the best container's article, else of its main element, else of the page; lists of links go where no article
+says what belongs to it. Siblings of an article that score well, read like prose or are its headings go with it.
+
+Every pass visits each node once, so time grows with the page's length, whatever its depth.
 
 Edge cases: null and empty pages, and pages without text, give an empty string; plain text without tags is one block;
 repeated pages get a row each; an empty table gives an empty table; columns other than id, url and html are not read.
@@ -12,6 +16,7 @@ repeated pages get a row each; an empty table gives an empty table; columns othe
 
 from __future__ import annotations
 
+import heapq
 import html as entities
 import re
 from collections.abc import Iterator
@@ -31,48 +36,72 @@ CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 #: Elements, roles and words of class or id that never hold main text.
-NEVER = frozenset("head script style noscript template nav footer header aside form button select input textarea iframe object embed svg canvas dialog menu title link meta".split())
+NEVER = frozenset("head script style noscript template nav button select input textarea iframe object embed svg canvas dialog menu title link meta".split())
+#: Elements that hold main text only where nothing else does, or, a header, inside an article.
+RARELY = frozenset("header footer aside form".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner banners sidebar sidebars sidenav aside menu menus nav navbar navigation breadcrumb breadcrumbs header masthead footer cookie cookies consent gdpr notice notices alert popup modal overlay promo promotion sponsor sponsored social share sharing related recommended comment comments commentlist disqus replies reply respond form newsletter subscribe subscription signup login search widget widgets toolbar pagination pager skip".split()
 )
-#: Elements whose class and id do not count, as they hold the page or its text.
-EXEMPT = frozenset("html body main article".split())
+#: Words that say nothing about what a part holds; with a word of WORDS they leave its meaning as it is.
+PLAIN_WORDS = frozenset(
+    "section box list bar area block container wrapper wrap content inner outer panel module slot unit button buttons link links text left right top bottom site page global primary secondary main item items body thread message policy privacy col column row group holder zone region sticky fixed media icons count user users reader readers post posts article articles story stories".split()
+)
+HEADERS = frozenset("header masthead banner".split())
+#: Words of the class of an article that make it no part of the main text.
+OTHER_ARTICLES = frozenset("ad ads advert advertisement related recommended comment comments reply replies respond".split())
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^<>"']|"[^"<]*"|'[^'<]*')*>|</?[a-zA-Z][^>]*(?:>|\Z)""", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTR = re.compile(r"""([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+))""")
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 PARAGRAPHS = frozenset("p pre td blockquote li".split())
-#: Share of the best container's points that makes a sibling part of the text.
+#: Share of the best container's points that makes a sibling of the article part of the text.
 SIBLING_SHARE = 0.2
+#: Share of text in links from which a part is a list of links.
+DENSE = 0.5
+#: Characters that a page must keep after a cut by words, those of a part that may take their place, and those of a short note.
+SOME_TEXT, REAL_TEXT, NOTE = 25, 140, 80
+KEEP, CUT, DOUBT = 0, 1, 2
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "kids", "points")
+    __slots__ = ("tag", "attrs", "parent", "kids", "points", "mark", "inside", "chars", "linked", "links")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
-        self.tag, self.attrs, self.parent, self.points = tag, attrs, parent, 0.0
+        self.tag, self.attrs, self.parent = tag, attrs, parent
+        self.points, self.mark, self.inside, self.chars, self.linked, self.links = 0.0, KEEP, False, 0, 0, 0
         self.kids: list[Node | str] = []
 
+    def density(self) -> float:
+        return self.linked / max(1, self.chars)
+
+    def nodes(self) -> list[Node]:
+        return [k for k in self.kids if not isinstance(k, str)]
+
 
 def parse(page: str) -> Node:
     """The page as a tree."""
     root = Node("html", "", None)
-    at, pos, skip = root, 0, None
-    text: list[str] = []
+    open_: list[Node] = [root]
+    places: dict[str, list[int]] = {}  # where in open_ each tag is open
+    held: list[int] = []  # where in open_ blocks are open
+    pos = 0
+
+    def shut(place: int) -> None:
+        while len(open_) > place:
+            places[open_.pop().tag].pop()
+        while held and held[-1] >= place:
+            held.pop()
 
     def up_to(names: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
-        nonlocal at
-        n = at
-        while n is not root and n.tag not in stop:
-            if n.tag in names:
-                at = n.parent or root
-                return
-            n = n.parent or root
+        """Closes the last open one of ``names``, unless one of ``stop`` was opened after it."""
+        last = max((places[x][-1] for x in names if places.get(x)), default=0)
+        if last > max((places[x][-1] for x in stop if places.get(x)), default=0):
+            shut(last)
 
     def said(piece: str) -> None:
         if piece:
-            at.kids.append(entities.unescape(piece) if "&" in piece else piece)
+            open_[-1].kids.append(entities.unescape(piece) if "&" in piece else piece)
 
     for m in TAG.finditer(page):
         if m.start() < pos:
@@ -83,23 +112,25 @@ def parse(page: str) -> Node:
             continue
         name = NAME.match(tag).group(1).lower()
         if tag[1] == "/":
-            n = at
-            while n is not root and n.tag != name:
-                n = n.parent or root
-            if n is not root:
-                at = n.parent or root
+            if places.get(name):
+                # a block that was opened inside an inline element outlives that element's end
+                if name in BLOCKS or name == "a" or not held or held[-1] < places[name][-1]:
+                    shut(places[name][-1])
             elif name == "p":
-                at.kids.append(Node("p", "", at))
+                open_[-1].kids.append(Node("p", "", open_[-1]))
             continue
         if name in CLOSES_P:
             up_to({"p"}, {"button", "table", "td", "th", "caption"})
         if name in SAME:
             up_to(SAME[name], SCOPE[name])
-        if name in ("html", "body") and name != "html":
-            at = root
-        node = root if name == "html" else Node(name, tag, at)
-        if node is not root:
-            at.kids.append(node)
+        if name == "a":
+            up_to({"a"}, {"table", "td", "th", "caption"})
+        if name == "body":
+            shut(1)
+        if name == "html":
+            continue
+        node = Node(name, tag, open_[-1])
+        open_[-1].kids.append(node)
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, pos)
             inner, pos = page[pos : end.start() if end else len(page)], end.start() if end else len(page)
@@ -108,10 +139,12 @@ def parse(page: str) -> Node:
             if end:
                 close = page.find(">", end.end())
                 pos = len(page) if close < 0 else close + 1
-        elif name not in VOID and not (tag.endswith("/>") and name not in BLOCKS) and node is not root:
-            at = node
+        elif name not in VOID and not (tag.endswith("/>") and name not in BLOCKS):
+            places.setdefault(name, []).append(len(open_))
+            if name in BLOCKS:
+                held.append(len(open_))
+            open_.append(node)
     said(page[pos:])
-    del text, skip
     return root
 
 
@@ -119,35 +152,138 @@ def attributes(node: Node) -> dict[str, str]:
     return {k.lower(): entities.unescape(a or b or c or "") for k, a, b, c in ATTR.findall(node.attrs)} if "=" in node.attrs else {}
 
 
-def boilerplate(node: Node) -> bool:
-    if node.tag in NEVER:
+def hidden(node: Node, attrs: dict[str, str]) -> bool:
+    if attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
-    if node.tag in ("html", "body", "main") or "=" not in node.attrs and "hidden" not in node.attrs:
-        return False
+    return "hidden" in node.attrs and re.search(r"\shidden[\s=/>]", node.attrs) is not None
+
+
+def named(node: Node, attrs: dict[str, str]) -> int:
+    """What the words of class and id say."""
+    out = KEEP
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        parts = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
+        found = parts & WORDS
+        if not found or found <= HEADERS and (node.inside or parts & {"article", "post", "story"}):
+            continue
+        sure = parts <= WORDS | PLAIN_WORDS and (node.tag != "article" or parts & OTHER_ARTICLES)
+        out = CUT if sure else out or DOUBT
+    return out
+
+
+def judged(node: Node) -> int | None:
+    """KEEP, CUT, DOUBT, or None for what goes whatever else the page holds."""
+    if node.tag in NEVER:
+        return None
+    if node.tag in ("html", "body", "main"):
+        return KEEP
     attrs = attributes(node)
-    if attrs.get("role", "").lower() in ROLES or attrs.get("aria-hidden", "").lower() == "true" or re.search(r"\shidden[\s>/]", node.attrs):
-        return True
-    if "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
-    said = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attrs.get('class', '')} {attrs.get('id', '')}")
-    found = WORDS.intersection(re.split(r"[^a-z0-9]+", said.lower()))
-    return bool(found - {"header", "form", "search", "alert", "banner"} if node.tag in EXEMPT else found)
+    if hidden(node, attrs):
+        return None
+    role = attrs.get("role", "").lower()
+    if node.tag in RARELY and not (node.tag == "header" and node.inside) or role in ROLES and not (role == "banner" and node.inside):
+        return CUT
+    return named(node, attrs) if "class" in attrs or "id" in attrs else KEEP
 
 
-def prune(root: Node) -> None:
-    stack = [root]
+def walk(root: Node) -> list[Node]:
+    """All nodes, in page order."""
+    out, stack = [], [root]
     while stack:
         n = stack.pop()
-        n.kids = [k for k in n.kids if isinstance(k, str) or not boilerplate(k)]
-        stack += [k for k in n.kids if not isinstance(k, str)]
+        out.append(n)
+        stack += reversed(n.nodes())
+    return out
+
 
+def measure(root: Node) -> None:
+    """Characters of text, those in links, and the links, below each node."""
+    for n in reversed(walk(root)):
+        n.chars = n.linked = n.links = 0
+        for k in n.kids:
+            if isinstance(k, str):
+                n.chars += len(SPACE.sub(" ", k).strip(" "))
+            else:
+                n.chars, n.linked, n.links = n.chars + k.chars, n.linked + k.linked, n.links + k.links
+        if n.tag == "a":
+            n.linked, n.links = n.chars, n.links + 1
 
-def walk(root: Node) -> Iterator[Node]:
+
+def prune(root: Node) -> None:
+    """Cuts what is no main text."""
+    stack = [root]
+    while stack:
+        n = stack.pop()
+        kept: list[Node | str] = []
+        for k in n.kids:
+            if not isinstance(k, str):
+                k.inside = n.inside or n.tag in ("article", "main")
+                mark = judged(k)
+                if mark is None:
+                    continue
+                k.mark = mark
+                stack.append(k)
+            kept.append(k)
+        n.kids = kept
+    measure(root)
+
+    def outermost(top: Node) -> list[Node]:
+        found, stack = [], top.nodes()
+        while stack:
+            n = stack.pop()
+            if n.mark == CUT:
+                found.append(n)
+            else:
+                stack += n.nodes()
+        return found
+
+    plain = lambda n: n.chars - n.linked
+    cut = outermost(root)
+    left = plain(root) - sum(map(plain, cut))
+    queue = [(-plain(n), i, n) for i, n in enumerate(cut)]
+    heapq.heapify(queue)
+    while left < SOME_TEXT and queue and -queue[0][0] >= REAL_TEXT:  # its name misleads: it holds the text
+        n = heapq.heappop(queue)[2]
+        n.mark = KEEP
+        inner = outermost(n)
+        left += plain(n) - sum(map(plain, inner))
+        for k in inner:
+            heapq.heappush(queue, (-plain(k), id(k), k))
     stack = [root]
     while stack:
         n = stack.pop()
-        yield n
-        stack += [k for k in reversed(n.kids) if not isinstance(k, str)]
+        n.kids = [k for k in n.kids if isinstance(k, str) or not (k.mark == CUT or k.mark == DOUBT and (k.density() > DENSE or not k.inside and k.chars < NOTE))]
+        stack += n.nodes()
+    measure(root)
+
+
+def score(root: Node) -> Node:
+    """Gives each node its points; the best container. A paragraph's points go to its parent, half of them to each level above."""
+    said: dict[int, tuple[int, int]] = {}  # characters and commas of the text that belongs to the node's own block
+    order = walk(root)
+    own: dict[int, float] = {}
+    for n in reversed(order):
+        chars = commas = 0
+        blocks_in = False
+        points = 0.0
+        for k in n.kids:
+            if isinstance(k, str):
+                a, b = len(SPACE.sub(" ", k).strip(" ")), k.count(",")
+            else:
+                points += own.get(id(k), 0.0) + k.points / 2
+                a, b = said.pop(id(k), (0, 0))
+                blocks_in = blocks_in or k.tag in BLOCKS
+            chars, commas = chars + a, commas + b
+        n.points = points
+        if n.tag not in BLOCKS and n is not root:
+            said[id(n)] = (chars, commas)
+        elif chars:
+            worth = min(1.0, chars / 25) + commas + min(chars / 100, 3.0)
+            if blocks_in or n is root:
+                n.points += worth
+            else:
+                own[id(n)] = worth
+    return max(order, key=lambda n: n.points * (1 - n.density()))
 
 
 def blocks(roots: list[Node | str]) -> list[str]:
@@ -178,56 +314,32 @@ def blocks(roots: list[Node | str]) -> list[str]:
     return out
 
 
-def measures(root: Node) -> dict[int, tuple[int, int]]:
-    """Characters of text, and of text in links, below each node."""
-    out: dict[int, tuple[int, int]] = {}
-    for n in reversed(list(walk(root))):
-        chars = links = 0
-        for k in n.kids:
-            a, b = (len(SPACE.sub(" ", k).strip(" ")), 0) if isinstance(k, str) else out[id(k)]
-            chars, links = chars + a, links + b
-        out[id(n)] = (chars, chars if n.tag == "a" else links)
-    return out
-
-
 def main_parts(root: Node) -> list[Node | str]:
-    """The best container and the siblings that go with it, in page order."""
+    """The best container's article, main element or page, and the siblings that go with it, in page order."""
     prune(root)
-    size = measures(root)
-    density = lambda n: size[id(n)][1] / max(1, size[id(n)][0])
-    scored: list[Node] = []
-    for n in walk(root):
-        own = "".join(k for k in n.kids if isinstance(k, str)).strip()
-        holds_blocks = any(not isinstance(k, str) and k.tag in BLOCKS for k in n.kids)
-        if not (n.tag in PARAGRAPHS or own and (n.tag in BLOCKS or n is root)) or not size[id(n)][0]:
-            continue
-        said = own if holds_blocks else " ".join(blocks([n]))
-        if not said:
-            continue
-        points = min(1.0, len(said) / 25) + said.count(",") + min(len(said) / 100, 3.0)
-        up, share = n.parent or n, 1.0
-        while up is not None:
-            if not up.points:
-                scored.append(up)
-            up.points += points * share
-            up, share = up.parent, share / 2
-    if not scored:
-        return [root]
-    best = max(scored, key=lambda n: n.points * (1 - density(n)))
-    top = best.points * (1 - density(best))
-    if best.parent is None:
-        return [best]
-    while best.parent is not None and best.parent.parent is not None and size[id(best.parent)][0] == size[id(best)][0]:
-        best = best.parent  # nothing but the container is in it
-    parts: list[Node | str] = []
-    for k in (best.parent or best).kids:
-        if isinstance(k, str):
-            continue
-        if k is best:
-            parts.append(k)
-        elif k.points * (1 - density(k)) >= max(1.0, SIBLING_SHARE * top) or k.tag in PARAGRAPHS and size[id(k)][0] > 80 and density(k) < 0.25:
+    best = score(root)
+    line = [best]
+    while line[-1].parent is not None:
+        line.append(line[-1].parent)
+    articles = [n for n in line if n.tag == "article"]
+    scope = articles[-1] if articles else next((n for n in line if n.tag == "main"), root)
+    if not articles:
+        holds = {id(n) for n in line}
+        stack = [scope]
+        while stack:
+            n = stack.pop()
+            n.kids = [k for k in n.kids if isinstance(k, str) or id(k) in holds or not (k.tag in BLOCKS and k.links > 1 and k.density() > DENSE)]
+            stack += n.nodes()
+    if scope.parent is None:
+        return [scope]
+    top, before, parts = best.points * (1 - best.density()), True, []
+    for k in scope.parent.nodes():
+        if k is scope:
             parts.append(k)
-        elif k.tag in ("h1", "h2") and density(k) < 0.25 and best in (best.parent or best).kids[(best.parent or best).kids.index(k) :]:
+            before = False
+        elif k.density() < DENSE / 2 and (
+            k.points * (1 - k.density()) >= max(1.0, SIBLING_SHARE * top) or k.tag in PARAGRAPHS and k.chars > NOTE or before and k.tag in ("h1", "h2")
+        ):
             parts.append(k)
     return parts
 

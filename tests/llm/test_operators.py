@@ -243,6 +243,59 @@ def test_html():
     assert htmltext.main_text("<p>open <b>bold") == "open bold"
 
 
+PROSE = "This is a paragraph, with commas, of some length that goes on, and on for quite a while, to be the body."
+
+
+def labelled_page(rng):
+    """A page of a random layout and its main text."""
+    blocks = [PROSE[: rng.randint(20, len(PROSE))].strip() + f" {i}." for i in range(rng.randint(3, 9))]
+    tag = lambda x: rng.choice(["<p>{}</p>", "<p>{}", "<div><p>{}</p></div>", "<section><h2>{}</h2></section>", "<p><b>{}</b></p>", "<p>\n {} </p>"]).format(x)
+    inner = f"<h1>Title &amp; {len(blocks)}</h1>" + "".join(map(tag, blocks))
+    if rng.random() < 0.4:
+        inner = f"<header><h1>Title &amp; {len(blocks)}</h1></header>" + "".join(map(tag, blocks))
+        wrap = "<article>{}</article>"
+    else:
+        wrap = rng.choice(["<article>{}</article>", "<main>{}</main>", "<main><article class=post>{}</article></main>", "<div id=content><div class='col related-work'>{}</div></div>", "{}"])
+    junk = [
+        "<nav><ul><li><a href=a>Home</a><li><a href=b>News</a></ul></nav>", "<div class=ad>Buy, buy, buy, now, or else, you, never, will.</div>", "<aside><p>Side, note, with, many, commas, in, it.</p></aside>",
+        "<script>x='<p>no</p>'</script>", "<style>p{a:b}</style>", "<div id='cookie-bar'>We, and our partners, store cookies.</div>", "<form><p>Your mail, please, here.</p><input></form>",
+        "<ul><li><a href=x>One more story</a></li><li><a href=y>Another story</a></li></ul>", "<div class=newsletterSignup><p>Get our letter, weekly.</p></div>", "<!-- <p>gone</p> -->",
+    ]
+    before = "".join(rng.sample(junk, rng.randint(0, 5)))
+    after = "".join(rng.sample(junk, rng.randint(0, 5))) + "<section class=comments>" + "<article class=comment><p>I, as a reader, think, so it is, you know.</p></article>" * rng.randint(0, 20) + "</section><footer><p>&copy; all, of, it</p></footer>"
+    return f"<html><head><title>t</title></head><body><header><p>Site</p></header>{before}{wrap.format(inner)}{after}</body>", "\n".join([f"Title & {len(blocks)}", *blocks])
+
+
+def test_html_keeps_whole_articles(spark):
+    cases = [
+        (f"<article>Intro<div><p>{PROSE}<p>{PROSE}</div>Closing</article>", f"Intro\n{PROSE}\n{PROSE}\nClosing"),
+        (f"<body><section><h2>A</h2><p>{PROSE}</p><p>{PROSE}</p></section><section><h2>B</h2><p>Short.</p></section><section><h2>C</h2><p>Tiny.</p></section>", f"A\n{PROSE}\n{PROSE}\nB\nShort.\nC\nTiny."),
+        (f"<body><div class=c1><p>{PROSE}<p>{PROSE}</div><div class=c2><p>A short closing paragraph.</p></div>", f"{PROSE}\n{PROSE}\nA short closing paragraph."),
+        (f"<article><header><h1>Title</h1><p>Lead</p></header><p>{PROSE}</article>", f"Title\nLead\n{PROSE}"),
+        (f"<div id=related-work><h1>T</h1><p>{PROSE}</div>", f"T\n{PROSE}"),
+        (f"<form id=page class=form><div class=sidebar><p>{PROSE} {PROSE}</p></div></form>", f"{PROSE} {PROSE}"),
+        (None, ""), ("", ""), ("<nav>x</nav>", ""), ("a &lt; b", "a < b"), ("a &lt; b", "a < b"), ("<p>" + "long, " * 50_000, ("long, " * 50_000).strip()),
+    ]
+    rng = random.Random(8)
+    cases += [labelled_page(rng) for _ in range(300)]
+    rows = spark.createDataFrame([(i, "u", h, "clash", 1) for i, (h, _) in enumerate(cases)], "page_id long, url string, html string, text string, n_chars int")
+    got = {r.page_id: r for r in htmltext.extract(rows).collect()}
+    assert len(got) == len(cases)
+    for i, (h, want) in enumerate(cases):
+        assert got[i].text == want and got[i].n_chars == len(want), h and h[:3000]
+    assert htmltext.extract(rows.where("false")).count() == 0
+
+
+def test_html_time_grows_with_the_length():
+    import time
+
+    deep = [lambda n: "<div>" * n + "<p>x, y</p></div>" * n, lambda n: "<div><p>x, y" * n, lambda n: "<div class=ad>" * n + f"<p>{PROSE}{PROSE}", lambda n: "<b>" * n + "</i>" * n + "<p>" * n]
+    for page in deep:
+        began = time.process_time()
+        htmltext.main_text(page(8000))
+        assert time.process_time() - began < 4  # about half a second; in quadratic time, a minute
+
+
 def test_mixing(spark, docs, empty):
     assert mixing.targets([100, 10, 10], [5, 2, 1]) == [75.0, 30, 15] or sum(mixing.targets([100, 10, 10], [5, 2, 1])) == 120
     t = mixing.targets([1, 1000], [5, 2])

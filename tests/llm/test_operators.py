@@ -223,8 +223,8 @@ def test_consistent_samples_follow_weighted_jaccard():
 def test_decontamination(spark, docs, empty):
     items = [(1, BASE), (2, " ".join(BASE.split()[3:15])), (3, "lazy dog"), (4, ""), (5, None), (6, "v100 v101 v102 v103 v104 v105 v106 v107 v108 v109 v110"), (10, BASE), (6, "É nothing")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (20_000, 3):  # in one block of constants, and in many
-        got = decontam.decontaminate(docs, bench, block=block)
+    for most in (200_000, 0):  # the benchmark broadcast, and not
+        got = decontam.decontaminate(docs, bench, broadcast=most)
         rows = [(r.doc_id is None, r.doc_id, int(r.n_words), len(r.hit_words), len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r.contaminated) for r in by_id(got)]
         assert rows == sorted((i is None, i, *brute.contamination(t, items)) for i, t, _ in CASES)
     assert got.where("contaminated").count() == sum(r[-1] for r in rows)
@@ -232,6 +232,31 @@ def test_decontamination(spark, docs, empty):
     assert decontam.decontaminate(empty, bench).count() == 0
 
 
+def test_decontamination_of_random_texts(spark):
+    """Few words, so that windows of all lengths overlap, repeat and end in the middle of each other."""
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice(["a", "b", "É", "7"]) + rng.choice([" ", ", ", "\n"]) for _ in range(n))
+    items = [(str(k), text(rng.randint(0, 14))) for k in range(40)] + [("x\x1fy", text(12)), ("x", text(11)), ("a,b", text(3)), ("null", text(9))]
+    rows = [(i, text(rng.randint(0, 60))) for i in range(150)]
+    rows += [(150 + i, "zz " * 30 + t + " zz" * 30) for i, (_, t) in enumerate(items)]
+    got = decontam.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"))
+    found = {r.doc_id: (r.n_words, len(r.hit_words), len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r.contaminated) for r in got.collect()}
+    assert found == {i: brute.contamination(t, items) for i, t in rows}
+    unnamed = decontam.decontaminate(spark.createDataFrame([(1, BASE)], "doc_id long, text string"), spark.createDataFrame([(None, BASE), ("null", BASE)], "item_id string, text string")).first()
+    assert unnamed["items"] == ["null", None]
+
+
+def test_decontamination_with_a_large_benchmark(spark):
+    """Fifty thousand items: more windows than are broadcast."""
+    word = lambda c: F.concat(F.lit(c), (F.col("id") % 9973).cast("string"))
+    said = F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), (F.col("id") * (k + 3) % 49_999).cast("string")) for k in range(14)])
+    bench = spark.range(50_000).select(F.col("id").alias("item_id"), said.alias("text"))
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 5 == 0, F.concat_ws(" ", word("a"), said, word("b"))).otherwise(F.concat_ws(" ", word("c"), word("d"))).alias("text"))
+    got = decontam.decontaminate(docs, bench).collect()
+    assert {r.doc_id for r in got if r.contaminated} == set(range(0, 500, 5))
+    assert all(len(r.hit_words) == 14 and str(r.doc_id) in r["items"] for r in got if r.contaminated)
+
+
 def test_html():
     page = """<html><body><nav><a href=x>Menu</a></nav><div class="cookie-notice">We use cookies, yes, really, all of them.</div><header>Site</header>
     <div id=content><h1>Title &amp; more</h1><p>First, a   paragraph, with commas, of <b>some</b> length that goes on and on for a while.<p>Second one, also, of

@@ -8,8 +8,8 @@ A blob's text crosses the network once per task that holds it at most: the choic
 aggregate that Spark combines before the shuffle, so thousands of copies are no hot key. The join back moves ids and
 findings, not texts, and is an ordinary equi-join whose skewed keys adaptive execution splits.
 
-Edge cases: a null text counts as empty and has no findings; equal texts share one blob and get equal findings; an empty
-table gives an empty table; columns other than id and text are not read.
+Edge cases: a null text counts as empty and has no findings; equal texts share one blob and get equal findings; a pair that is in the
+ledger twice, as two runs at once can leave it, counts once; an empty table gives an empty table; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -128,7 +128,8 @@ def secrets(docs: DataFrame, ledger: str | None = None, rules: tuple[SecretRule,
         texts = texts.join(seen.where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
     _scan(texts.groupBy("blob").agg(F.first("text").alias("text")), rules).write.mode("append").parquet(ledger)
     known = spark.read.parquet(ledger).where((F.col("rule_version") == version) & (F.col("spans") != ""))
-    out = paths.join(known.select("blob", "counts", "spans", "base_spans"), "blob", "left")
+    known = known.select("blob", "counts", "spans", "base_spans").dropDuplicates(["blob"])  # two runs at once may both have scanned a blob
+    out = paths.join(known, "blob", "left")
     nothing = F.expr("map_from_arrays(cast(array() as array<string>), cast(array() as array<bigint>))")
     return out.select(
         F.col("id").alias(id_col),

@@ -1,8 +1,8 @@
 """Sharding (operator 4): a keyed Feistel permutation of global row numbers gives every row its shard and slot.
 
-Rows are numbered 0..n-1 in one order that the rows alone decide: by a hash bucket of the key, then inside the bucket by
-key, size and checksum. Numbers inside a bucket come from a window over that bucket, the buckets' offsets from one small
-table of counts, so no task sees more than a bucket. The permutation maps [0, a) x [0, b) onto itself with
+Rows are numbered 0..n-1 in one order that the rows alone decide: by a hash bucket of key, size and checksum, then inside the bucket by
+these. Equal rows are one counted row until they get their numbers, which come from a window over the bucket and the buckets' offsets
+from one small table of counts, so no task sees more than a bucket. The permutation maps [0, a) x [0, b) onto itself with
 a * b >= n; a position beyond the last row walks on along its cycle until it is inside (cycle walking). Position p lies in
 shard p mod k at slot p div k, so the rows per shard differ by one at most and the slots have no gap. Anyone who knows n,
 the seed and a row's number can compute its place without the data.
@@ -16,10 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, written
 
-#: Rows are numbered inside so many hash buckets; the table of their counts is broadcast, and has never more rows.
-BUCKETS = 4096
+#: Rows are numbered inside hash buckets, at least BUCKETS and then as many as hold about BUCKET_ROWS each; the table of the buckets'
+#: counts is broadcast, and has never more than MOST_BUCKETS rows.
+BUCKETS, BUCKET_ROWS, MOST_BUCKETS = 4096, 100_000, 1 << 20
 ROUNDS = 6
 #: Steps of cycle walking. Fewer than sqrt(n) of the a * b positions lie outside, so the odds of 64 in a row
 #: are below n ** -32; should it happen, the query fails rather than give a wrong place.
@@ -53,19 +54,25 @@ def permuted(number: Column, n: Column, seed: int) -> Column:
     return F.when(walked >= 0, walked).otherwise(F.raise_error(F.lit("cycle walking did not end")).cast("long"))
 
 
-def numbered(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """``rows`` with ``row_number`` (from 0) and ``n_rows``, in an order that the rows alone decide."""
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(F.col(key)), F.lit(BUCKETS)).cast("int"))
-    counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    every = Window.partitionBy(F.lit(0))  # of the at most BUCKETS rows of counts
+def numbered(rows: DataFrame, cols: list[str]) -> DataFrame:
+    """``cols`` of each row with ``row_number`` (from 0) and ``n_rows``, in an order that the rows alone decide.
+
+    Rows that are equal in all of ``cols`` are counted before anything is shuffled by them and told apart only at the end, so neither a
+    null nor an often repeated row is a hot key.
+    """
+    kinds = written(rows.sparkSession, rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")), "row-kinds")
+    buckets = min(MOST_BUCKETS, max(BUCKETS, kinds.count() // BUCKET_ROWS))
+    kinds = kinds.withColumn("_bucket", F.pmod(F.xxhash64(*cols), F.lit(buckets)).cast("int"))
+    counts = kinds.groupBy("_bucket").agg(F.sum("_n").alias("_all"))
+    every = Window.partitionBy(F.lit(0))  # of the at most MOST_BUCKETS rows of counts
     offsets = counts.select(
         "_bucket",
-        (F.sum("_n").over(every.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_offset"),
-        F.sum("_n").over(every).alias("n_rows"),
+        (F.sum("_all").over(every.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_all")).alias("_offset"),
+        F.sum("_all").over(every).alias("n_rows"),
     )
-    inside = Window.partitionBy("_bucket").orderBy(key, *order)
-    out = rows.withColumn("_at", F.row_number().over(inside) - 1).join(F.broadcast(offsets), "_bucket")
-    return out.withColumn("row_number", F.col("_offset") + F.col("_at")).drop("_bucket", "_offset", "_at")
+    inside = Window.partitionBy("_bucket").orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0)
+    out = kinds.withColumn("_at", F.sum("_n").over(inside) - F.col("_n")).join(F.broadcast(offsets), "_bucket")
+    return out.select(*cols, "n_rows", F.explode(F.sequence(F.col("_offset") + F.col("_at"), F.col("_offset") + F.col("_at") + F.col("_n") - 1)).alias("row_number"))
 
 
 def shard(docs: DataFrame, shards: int = 8, seed: int = 20240131, key: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,7 +82,7 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 20240131, key: str = "do
         (F.octet_length(text_of(text_col)) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text_of(text_col), "UTF-8")).alias("text_crc32"),
     )
-    rows = numbered(rows, key, ["size", "text_crc32"])
+    rows = numbered(rows, [key, "size", "text_crc32"])
     rows = rows.withColumn("_place", permuted(F.col("row_number"), F.col("n_rows"), seed))
     return rows.select(
         key,

@@ -19,12 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share.
+    """A fresh path in the folder that driver and executors share, ``spark.checkpoint.dir``.
 
-    The folder is ``spark.checkpoint.dir``; where the session has none (a local session, tests) a local
-    temporary folder stands in for it.
+    Where a local session has none (tests), a temporary folder stands in for it; on a cluster that is an error, as each machine would
+    write to a disk of its own.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/harken-shared"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/harken-shared"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import struct
 import zlib
 from collections import Counter
 
+import xxhash
+
 
 def quality(text):
     t = text or ""
@@ -63,6 +67,29 @@ def size_and_crc(text):
     return len(b) + 1, zlib.crc32(b)
 
 
+def permuted(number, n, seed, rounds=6):
+    """The place of a row number: a Feistel cipher over [0, a) x [0, b), walked on until it is below n."""
+    a = math.isqrt(n - 1) + 1
+    b = -(-n // a)
+
+    def hashed(i, half):
+        h = 42
+        for x in (struct.pack("<i", seed), struct.pack("<i", i), struct.pack("<q", half)):
+            h = xxhash.xxh64_intdigest(x, seed=h)
+        return h - (1 << 64) if h >> 63 else h
+
+    while True:
+        left, right = divmod(number, b)
+        for i in range(rounds):
+            if i % 2 == 0:
+                left = (left + hashed(i, right) % a) % a
+            else:
+                right = (right + hashed(i, left) % b) % b
+        number = left * b + right
+        if number < n:
+            return number
+
+
 def shingle_counts(text):
     words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     if not words:

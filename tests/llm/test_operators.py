@@ -91,6 +91,9 @@ def test_secrets(spark, docs, empty, tmp_path):
         assert got == sorted((i is None, i, *brute.secrets(t)) for i, t, _ in CASES)
         assert spark.read.parquet(ledger).count() == len({t or "" for _, t, _ in CASES})
     assert secret_scan.secrets(empty).count() == 0
+    spark.read.parquet(ledger).write.mode("append").parquet(f"{ledger}-twice")  # as two runs at once can leave it
+    spark.read.parquet(ledger).write.mode("append").parquet(f"{ledger}-twice")
+    assert secret_scan.secrets(docs, f"{ledger}-twice").count() == len(CASES)
 
 
 def test_sharding(spark, docs, empty):
@@ -101,10 +104,33 @@ def test_sharding(spark, docs, empty):
         assert sorted(r.row_number for r in got) == list(range(n))
         again = {(r.doc_id, r.row_number, r.shard, r.slot) for r in sharding.shard(df.repartition(7), k).collect()}
         assert df is docs or again == {(r.doc_id, r.row_number, r.shard, r.slot) for r in got}
+        assert [r.shard + k * r.slot for r in sorted(got, key=lambda r: r.row_number)] == [brute.permuted(x, n, 20240131) for x in range(n)]
     assert sorted((r["size"], r.text_crc32) for r in sharding.shard(docs).collect()) == sorted(brute.size_and_crc(t) for _, t, _ in CASES)
     assert sharding.shard(empty).count() == 0
 
 
+def test_sharding_of_one_hot_key(spark, monkeypatch):
+    """Most rows have no key or are equal; numbers have no gap, and each number one row."""
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 1)
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 1, F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"))
+    got = sharding.shard(df)
+    assert got.agg(F.count(F.lit(1)), F.countDistinct("row_number"), F.min("row_number"), F.max("row_number"), F.countDistinct("shard", "slot")).first()[:] == (30_000, 30_000, 0, 29_999, 30_000)
+    assert [r["count"] for r in got.groupBy("shard").count().collect()] == [3750] * 8
+
+
+def test_shared_folder_is_never_local_to_a_cluster():
+    from types import SimpleNamespace
+
+    from harken.llm.common import shared_path
+
+    at = lambda master, folder: SimpleNamespace(conf={"spark.checkpoint.dir": folder}, sparkContext=SimpleNamespace(master=master))
+    assert shared_path(at("local[4]", None), "x").startswith("file:/")
+    assert shared_path(at("spark://h:7077", "hdfs://h/c"), "x").startswith("hdfs://h/c/x-")
+    for master in ("spark://h:7077", "yarn", "local-cluster[2,1,1024]", "k8s://h"):
+        with pytest.raises(RuntimeError):
+            shared_path(at(master, None), "x")
+
+
 def test_token_files(docs, empty):
     from tokenizers import Tokenizer
 

@@ -58,7 +58,8 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    shards = F.array_join(F.col("mix_shards").cast("array<string>"), ",").alias("mix_shards")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", shards)
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,24 +72,67 @@ def permuted(number, n, seed, rounds=6):
     a = math.isqrt(n - 1) + 1
     b = -(-n // a)
 
-    def hashed(i, half):
-        h = 42
-        for x in (struct.pack("<i", seed), struct.pack("<i", i), struct.pack("<q", half)):
-            h = xxhash.xxh64_intdigest(x, seed=h)
-        return h - (1 << 64) if h >> 63 else h
-
     while True:
         left, right = divmod(number, b)
         for i in range(rounds):
             if i % 2 == 0:
-                left = (left + hashed(i, right) % a) % a
+                left = (left + hashed((seed, 4), (i, 4), (right, 8)) % a) % a
             else:
-                right = (right + hashed(i, left) % b) % b
+                right = (right + hashed((seed, 4), (i, 4), (left, 8)) % b) % b
         number = left * b + right
         if number < n:
             return number
 
 
+def hashed(*values, seed=42):
+    """The engine's 64-bit hash of integers of four or eight bytes (as (value, bytes)) and strings, one after another, signed."""
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<i" if v[1] == 4 else "<q", v[0]), seed=seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def targets(sizes, weights=(5, 2, 1), most=3):
+    weights = [weights[i % len(weights)] for i in range(len(sizes))]
+    out, open_, left = [0.0] * len(sizes), list(range(len(sizes))), float(sum(sizes))
+    while open_:
+        total = sum(weights[i] for i in open_)
+        over = [i for i in open_ if left * weights[i] / total > most * sizes[i]]
+        for i in over or open_:
+            out[i] = float(most * sizes[i]) if over else left * weights[i] / total
+        left -= sum(out[i] for i in over)
+        open_ = [i for i in open_ if i not in over] if over else []
+    return out
+
+
+def mixed_copies(rows, seed, block_rows):
+    """rows: (id, text, source). By id: size, source_size, copies, target."""
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _ in rows}
+    sources = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    total = [sum(size[i] for i, _, s in rows if s == name) for name in sources]
+    out = {}
+    for k, (name, n, want) in enumerate(zip(sources, total, targets(total), strict=True)):
+        own = [(i, hashed((seed, 4), (i, 8), t or "")) for i, t, s in rows if s == name]
+        n_blocks = max(1, -(-len(own) // block_rows))
+        blocks = {}
+        for i, h in own:
+            blocks.setdefault(h % n_blocks, []).append((hashed((seed, 4), (h, 8)), h, i))
+        whole = math.floor(want / n) if n else 0
+        rest, once, left = want - whole * n, set(), None
+        for _, b in sorted((hashed((seed, 4), (k, 8), (b, 8)), b) for b in blocks):
+            words = sum(size[i] for *_, i in blocks[b])
+            if left is None and rest > 0 and words <= rest:
+                once |= {i for *_, i in blocks[b]}
+                rest -= words
+            elif left is None and rest > 0:
+                left = rest
+                for _, _, i in sorted(blocks[b]):
+                    if size[i] <= left:
+                        once.add(i)
+                        left -= size[i]
+        out |= {i: (size[i], n, whole + (i in once), want) for i, _ in own}
+    return out
+
+
 def shingle_counts(text):
     words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     if not words:

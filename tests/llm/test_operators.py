@@ -347,20 +347,46 @@ def test_html_time_grows_with_the_length():
         assert time.process_time() - began < 4  # about half a second; in quadratic time, a minute
 
 
-def test_mixing(spark, docs, empty):
-    assert mixing.targets([100, 10, 10], [5, 2, 1]) == [75.0, 30, 15] or sum(mixing.targets([100, 10, 10], [5, 2, 1])) == 120
-    t = mixing.targets([1, 1000], [5, 2])
-    assert t[0] == 3 and abs(sum(t) - 1001) < 1e-9
+def sources_of(spark, n_sources=3, n=3000):
+    source = F.when(F.col("id") % 7 == 0, None).otherwise(F.concat(F.lit("s"), (F.col("id") * F.col("id") % n_sources).cast("string")))
+    return spark.range(n).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(id % 37 as int))").alias("text"), source.alias("source"))
+
+
+@pytest.mark.parametrize("limits", [{}, {"FEW": 3, "GROUPS": 4, "RUN": 5, "BLOCK_ROWS": 2}])
+def test_mixing(spark, docs, empty, monkeypatch, limits):
+    """With few sources, and as if there were too many for each bound."""
+    for name, value in limits.items():
+        monkeypatch.setattr(mixing, name, value)
     q = mixing.split_quotas([10, 3, 0, 7], 4, 1)
     assert [sum(x) for x in q] == [10, 3, 0, 7] and {sum(c) for c in zip(*q, strict=True)} == {5}
-    src = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(1 + id % 37 as int))").alias("text"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 7 == 0, None).otherwise("b").alias("source"))
-    got = mixing.mix(src).cache()
-    for r in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect():
-        assert abs(r.taken - r.target) <= 40
-    assert got.where("taken > 3 * size").count() == 0 and got.where("size(mix_shards) <> copies").count() == 0
-    assert {(r.doc_id, r.taken) for r in mixing.mix(src.repartition(5)).collect()} == {(r.doc_id, r.taken) for r in got.collect()}
-    assert mixing.mixed(src).count() == got.agg(F.sum("copies")).first()[0]
-    assert mixing.mix(docs).count() == len(CASES) and mixing.mix(empty).count() == 0
+    for n_sources, n in ((3, 3000), (60, 400)):
+        src = sources_of(spark, n_sources, n)
+        rows = [(r.doc_id, r.text, r.source) for r in src.collect()]
+        got = mixing.mix(src).cache()
+        found = {r.doc_id: r for r in got.collect()}
+        want = brute.mixed_copies(rows, 7919, mixing.BLOCK_ROWS)
+        assert {i: (r["size"], r.source_size, r.copies) for i, r in found.items()} == {i: w[:3] for i, w in want.items()}
+        assert all(abs(found[i].target - w[3]) < 1e-6 and found[i].taken == w[0] * w[2] <= 3 * w[0] for i, w in want.items())
+        by_source = got.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+        assert all(r.target - 37 <= r.taken <= r.target + 1e-6 for r in by_source)
+        assert got.where("size(mix_shards) <> copies").count() == 0
+        assert {(r.doc_id, r.taken, tuple(r.mix_shards)) for r in mixing.mix(src.repartition(5)).collect()} == {(r.doc_id, r.taken, tuple(r.mix_shards)) for r in found.values()}
+        out = mixing.mixed(src).collect()
+        assert sorted((r.doc_id, r.mix_shard) for r in out) == sorted((i, k) for i, r in found.items() for k in r.mix_shards)
+        places = {}
+        for r in out:
+            places.setdefault(r.mix_shard, []).append((r.mix_place, r.doc_id))
+        assert all([p for p, _ in sorted(x)] == list(range(len(x))) for x in places.values())
+        longest = [i for _, i in sorted(max(places.values(), key=len))]
+        assert longest not in (sorted(longest), sorted(longest, reverse=True))  # shuffled
+        assert mixing.mixed(src, places=False).count() == len(out)
+    assert mixing.mix(docs).count() == len(CASES) and mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
+
+
+def test_mixing_draws_fill_blocks_alike(spark):
+    """Shards get about the same number of block draws, and so of rows."""
+    n = [r["count"] for r in mixing.mixed(sources_of(spark, 3, 20_000), places=False, shards=4).groupBy("mix_shard").count().collect()]
+    assert len(n) == 4 and max(n) < 1.2 * min(n)
 
 
 def test_urls(spark):

@@ -133,6 +133,50 @@ def mixed_copies(rows, seed, block_rows):
     return out
 
 
+def url_posteriors(rows, asked):
+    """Alpha and beta of each host asked for, by the operator's definition, for names of known suffixes."""
+    def parts(h):
+        labels = h.split(".")
+        n = 2 if labels[-2:] == ["co", "uk"] else 1
+        return ".".join(labels[-n:]), ".".join(labels[-n - 1 :]), h
+
+    total = (sum(b for _, b in rows) + 1) / (len(rows) + 2)
+    post, strength = [], []
+    for level in range(3):
+        counts = {}
+        for h, b in rows:
+            c = counts.setdefault(parts(h)[level], [0, 0, parts(h)])
+            c[0], c[1] = c[0] + 1, c[1] + b
+        mean = lambda p: total if level == 0 else post[level - 1][p[level - 1]][0] / sum(post[level - 1][p[level - 1]])  # noqa: B023, E731
+        seen = sum(n * (b / n - mean(p)) ** 2 for n, b, p in counts.values())
+        var = sum(mean(p) * (1 - mean(p)) for _, _, p in counts.values())
+        slope = sum(mean(p) * (1 - mean(p)) * (n - 1) for n, _, p in counts.values())
+        s = 1 / max(1 / 1001, min(0.5, (seen - var) / slope if slope else 0.5)) - 1
+        strength.append(s)
+        post.append({k: (b + s * mean(p), n - b + s * (1 - mean(p))) for k, (n, b, p) in counts.items()})
+    out = {}
+    for h in asked:
+        m, spread = total, 0.0
+        for level, name in enumerate(parts(h)):
+            rho = spread + (1 - spread) / (strength[level] + 1)
+            a, b = post[level].get(name, (m * (1 / rho - 1), (1 - m) * (1 / rho - 1)))
+            m, spread = a / (a + b), 1 / (a + b + 1)
+        out[h] = (a, b)
+    return out
+
+
+def beta_quantile(a, b, q, steps=200_000):
+    """By summing the density over the unit interval's middles, for a, b above one or near it."""
+    top = [(a - 1) * math.log((i + 0.5) / steps) + (b - 1) * math.log(1 - (i + 0.5) / steps) for i in range(steps)]
+    peak = max(top)
+    weight = [math.exp(x - peak) for x in top]
+    want, held = q * sum(weight), 0.0
+    for i, w in enumerate(weight):
+        held += w
+        if held >= want:
+            return (i + 0.5) / steps
+
+
 def shingle_counts(text):
     words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     if not words:

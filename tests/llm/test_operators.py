@@ -390,16 +390,44 @@ def test_mixing_draws_fill_blocks_alike(spark):
 
 
 def test_urls(spark):
-    urls = ["http://a.example.net/en/x?y", "https://a.NET/", "http://net", "http://x.example.com/de/", "http://q.org/fr/1#z", "ftp://h.co.uk:80/p?q", None, "no url", "http://bad.example.com/x"]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    outcomes = spark.createDataFrame([("bad.example.com", 1)] * 60 + [("good.example.com", 0)] * 60 + [(None, 1), ("", 0)], "host string, bad int")
+    urls = ["http://a.example.net/en/x?y", "https://a.NET/", "http://net", "http://x.example.com/de/", "http://q.org/fr/1#z", "ftp://h.co.uk:80/p?q", None, "no url", "http://bad.example.com/x", "http://new.bad-domain.example/x", "http://x.fr/" + "long/" * 50_000]
+    pages = spark.createDataFrame([(i, u, "clash", 0.5) for i, u in enumerate(urls)], "page_id long, url string, host string, bad_rate_bound double")
+    labels = [("bad.example.com", 1)] * 60 + [("good.example.com", 0)] * 60 + [(None, 1), ("", 0), ("good.fr", None)] + [(f"h{i}.bad-domain.example", 1) for i in range(30)]
+    outcomes = spark.createDataFrame(labels, "host string, bad int")
     got = {r.page_id: r for r in urlrep.judge(pages, outcomes).collect()}
     assert [(got[i].host, got[i].path, got[i].rule, got[i].verdict) for i in range(9)] == [
         ("a.example.net", "/en/x", "example.net/en/", "allow"), ("a.net", "/", "net/", "block"), ("net", "", None, "allow"), ("x.example.com", "/de/", "example.com/de/", "block"),
         ("q.org", "/fr/1", "org/fr/", "allow"), ("h.co.uk:80", "/p", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("bad.example.com", "/x", None, "block"),
     ]
+    assert got[10].path == "/" + "long/" * 50_000
     assert urlrep.judge(pages.where("false"), outcomes).count() == 0
     assert urlrep.judge(pages, outcomes.where("false")).where("verdict = 'block'").count() == 2
+    rules = (urlrep.UrlRule("block", "b.org", "/x/"), urlrep.UrlRule("allow", "a.b.org", "/"), urlrep.UrlRule("block", "a.b.org", "/y"))
+    ties = spark.createDataFrame([(1, "u://a.b.org/x/1"), (2, "u://a.b.org/y"), (3, "u://c.b.org/x/")], "page_id long, url string")
+    # of equal length and both fitting: none here has the same text, the later by code point wins
+    assert {r.page_id: r.rule for r in urlrep.judge(ties, outcomes, rules=rules).collect()} == {1: "b.org/x/", 2: "a.b.org/y", 3: "b.org/x/"}
+
+
+def test_url_posteriors(spark):
+    """Against the same priors in plain Python; a host without labels is less certain than its domain."""
+    rng = random.Random(6)
+    rows = [(f"h{rng.randint(0, 3)}.d{rng.randint(0, 5)}.{rng.choice(['com', 'co.uk', 'fr'])}", int(rng.random() < 0.3)) for _ in range(600)]
+    outcomes = spark.createDataFrame(rows, "host string, bad int")
+    asked = [*sorted({h for h, _ in rows}), "new.d1.com", "new.dx.fr", "new.dy.zz"]
+    got = {r.host: (r.alpha, r.beta, r.bad_rate_bound) for r in urlrep.host_bounds(spark.createDataFrame([(h,) for h in asked], "host string"), outcomes).collect()}
+    want = brute.url_posteriors(rows, asked)
+    for h in asked:
+        assert abs(got[h][0] - want[h][0]) < 1e-6 and abs(got[h][1] - want[h][1]) < 1e-6, h
+        assert abs(got[h][2] - brute.beta_quantile(*want[h], 0.05)) < 2e-4, h
+    sure = lambda h: sum(got[h][:2])
+    assert all(sure("new.dx.fr") > sure("new.dy.zz") and sure("new.d1.com") < sure(h) for h in asked if h.endswith(".d1.com") and h != "new.d1.com")
+
+
+def test_beta_quantiles():
+    rng = np.random.default_rng(0)
+    for a, b in ((0.3, 2.0), (1, 1), (2, 5), (40, 3), (700, 300), (3e6, 7e6), (0.02, 0.5)):
+        low, high = urlrep.beta_quantile(np.array([a, a]), np.array([b, b]), 0.05)[0], np.quantile(rng.beta(a, b, 400_000), [0.049, 0.051])
+        assert high[0] - 2e-5 <= low <= high[1] + 2e-5
 
 
 def test_pipeline(spark):

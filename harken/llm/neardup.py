@@ -2,22 +2,25 @@
 
 1. Every text becomes the multiset of its five-word shingles, as 64-bit hashes (words are lower-cased runs of letters,
    digits and anything beyond ASCII; a text of fewer words is one shingle).
-2. A sketch of fixed size (one counter per bucket of hashes) counts in how many documents shingles occur; every document
-   counts. A shingle's weight is tf * (1 + DAMPING * idf), idf between 0 and 1 from the sketch. The damping keeps what a group of thousands of
-   near copies shares from losing its weight to what sets single copies apart.
+2. A sketch (one counter per bucket of hashes) counts in how many documents shingles occur; every document counts. A shingle's weight is
+   tf * (1 + DAMPING * idf): idf is 1 for shingles in less than COMMON of the documents, and falls with the logarithm of their share to 0 for those
+   in all. What rare shingles add to a counter is a fixed share of the documents, far below COMMON, and taken off, so idf means the same at
+   every size. The damping keeps what a group of thousands of near copies shares from losing its weight to what sets single copies apart.
 3. Improved consistent weighted sampling draws BANDS * ROWS samples per text; two texts agree in a sample with the
    probability of their weighted Jaccard similarity. Samples are banded; texts that agree in a band meet in a bucket.
 4. In a bucket, texts are compared with one leader, the text that meets the most others over all its buckets, hence the most central
-   one. Texts that it does not catch go on to further leaders, in ROUNDS rounds, of n - 1 comparisons in a bucket of n texts.
-5. What is left in several classes after that is compared whole: the texts of a bucket are dealt into blocks and every two blocks meet, so that each
-   pair of texts that shares a bucket is in one class or has been compared. Only blocks of one and the same class do not meet.
+   one: n - 1 comparisons in a bucket of n texts, which join the bulk of a group of copies.
+5. Buckets that still hold several classes are compared whole: their texts are dealt into blocks and every two blocks meet, so that each
+   pair of texts that shares a bucket is in one class or has been compared. Only blocks of one and the same class do not meet. There is no
+   bound on rounds, partners or candidates.
 6. A comparison computes the weighted Jaccard similarity over both whole texts, under the TF-IDF weights and under tf alone, and
-   links at THRESHOLD under either. Linked texts form classes (connected components, by large-star and small-star).
+   links at THRESHOLD under either. Linked texts form classes (connected components, by large-star and small-star); the second step links classes.
 
-Equal texts are one node from the start and are never compared. Only the sketch (fixed size) reaches the driver.
+Equal texts are one node from the start and are never compared. Only the sketch (fixed size) reaches the driver. Texts go to blocks by their
+size, so that a block's bytes are bounded but for a single long text.
 
-Edge cases: a null text is a class of its own; texts without words are linked only if they are equal; repeated rows share a class;
-an empty table gives an empty table; columns other than id and text are not read.
+Edge cases: a null text is a class of its own; texts without words are linked only if they are equal; repeated rows share a class; a null id is the
+least; an empty table gives an empty table; near_duplicates() reads no columns other than id and text, deduplicated() keeps them as they are.
 """
 
 from __future__ import annotations
@@ -29,21 +32,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, strips, written
+from .common import bounded_batches, nested, restore, strips, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair of similarity 0.8 meets in at least one band with probability 1 - (1 - 0.8**4) ** 14 = 0.9994.
 BANDS, ROWS = 14, 4
-#: Counters of the document-frequency sketch: 2**16 longs, whatever the corpus.
+#: Counters of the document-frequency sketch: 2**16 longs, whatever the corpus. With 300 shingles a document, those that are rare add 0.5 %
+#: of the documents to a counter.
 SKETCH_BITS = 16
-DAMPING = 0.25
-#: Rounds of leaders; each but the first looks only at buckets whose texts are in several classes.
-ROUNDS = 4
-#: Texts of a block, about, where all pairs of a bucket meet, and shingles that are compared there at once.
-BLOCK, BLOCK_SHINGLES = 128, 1 << 20
+#: The share of documents from which a shingle is common, and the most that idf adds to a weight.
+COMMON, DAMPING = 0.01, 0.25
+#: Texts of a block, about, the bytes that count as one text more, and shingles that are compared at once.
+BLOCK, TEXT_BYTES, BLOCK_SHINGLES = 128, 4096, 1 << 20
 #: Shingles whose samples are drawn at once.
 STRIP = 1 << 14
 
@@ -149,10 +153,9 @@ def sketch(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
 
 
 def weights_of(counts: np.ndarray, n_docs: int) -> np.ndarray:
-    """The factor 1 + DAMPING * idf of each bucket. The load that a bucket has by chance, the mean, is taken off first."""
-    df = np.maximum(1.0, counts - counts.mean())
-    idf = np.log((n_docs + 1) / np.minimum(df, max(n_docs, 1))) / np.log(n_docs + 2)
-    return (1 + DAMPING * np.clip(idf, 0, 1)).astype(np.float32)
+    """The factor 1 + DAMPING * idf of each bucket. The load that a bucket has by chance, the median, is taken off first."""
+    share = np.maximum(COMMON, (counts - np.median(counts)) / max(n_docs, 1))
+    return (1 + DAMPING * np.clip(np.log(share) / np.log(COMMON), 0, 1)).astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -212,8 +215,13 @@ def bands_of(marks: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
+def _text_hash(text_col: str) -> list[Column]:
+    """What tells rows of one id apart, the same on every reading."""
+    return [F.xxhash64(F.col(text_col)).alias("h1"), F.xxhash64(F.lit(1), F.col(text_col)).alias("h2")]
+
+
 def signatures(docs: DataFrame, weights: Weights, id_col: str, text_col: str) -> DataFrame:
-    """One row per row: id, key (16 bytes, null for a null text), bands (empty for a text without words)."""
+    """One row per row: id, key (16 bytes, null for a null text), size (bytes), bands (empty for a text without words)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, np.ndarray] = {}  # the bands of texts seen, as copies often follow one another
@@ -239,10 +247,12 @@ def signatures(docs: DataFrame, weights: Weights, id_col: str, text_col: str) ->
             flat = [x for x in bands if x is not None]
             offsets = np.concatenate([[0], np.cumsum([0 if x is None else BANDS for x in bands])]).astype(np.int32)
             values = np.concatenate(flat) if flat else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["id", "key", "bands"])
+            size = pc.fill_null(pc.binary_length(batch.column(1)[lo:hi]), 0).cast(pa.int64())
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(keys, pa.binary()), size, lists, *[c[lo:hi] for c in batch.columns[2:]]], ["id", "key", "size", "bands", "h1", "h2"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(sign, f"id {kind}, key binary, bands array<bigint>")
+    return docs.select(id_col, text_col, *_text_hash(text_col)).mapInArrow(sign, f"id {kind}, key binary, size bigint, bands array<bigint>, h1 bigint, h2 bigint")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], weights: Weights) -> float:
@@ -261,87 +271,70 @@ def _sets(keys: list[bytes], texts: list[str]) -> dict[bytes, tuple[np.ndarray,
     return {k: (h[cut[i] : cut[i + 1]], tf[cut[i] : cut[i + 1]]) for i, k in enumerate(keys) if own[i] == k}
 
 
-def _verified(pairs: DataFrame, weights: Weights, threshold: float) -> DataFrame:
-    """(a, a_text, b, b_text) to (a, b) of the pairs that are similar."""
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}  # leaders' shingles: rows come sorted by leader
-        for batch in batches:
-            a, at, b, bt = (batch.column(i).to_pylist() for i in range(4))
-            good = ([], [])
-            for lo, hi in strips([x + y if i == 0 or b[i] != b[i - 1] else x for i, (x, y) in enumerate(zip(at, bt, strict=True))]):
-                if len(held) > 256:
-                    held.clear()
-                new = [i for i in range(lo, hi) if b[i] not in held and (i == lo or b[i] != b[i - 1])]
-                held.update(_sets([b[i] for i in new], [bt[i] for i in new]))
-                mine = _sets(a[lo:hi], at[lo:hi])
-                for x, y in zip(a[lo:hi], b[lo:hi], strict=True):
-                    if x in mine and y in held and similarity(mine[x], held[y], weights) >= threshold:
-                        good[0].append(x)
-                        good[1].append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(good[0], pa.binary()), pa.array(good[1], pa.binary())], ["a", "b"])
-
-    return pairs.select("a", "a_text", "b", "b_text").mapInArrow(verify, "a binary, b binary")
-
-
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, label) of every node of the edges (a, b): label is the least node of its component.
 
-    Alternates large-star and small-star until nothing changes; every step is a minimum per node, combined before the
+    Alternates large-star and small-star until every node hangs on one root; every step is a minimum per node, combined before the
     shuffle, and a join, so that a node with very many edges is no hot task.
     """
     now = written(spark, edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
-    mark = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    seen = mark(now)
-    while seen[0]:
+    end = lambda node, up, down: F.struct(F.col(node).alias("node"), F.lit(up).alias("up"), F.lit(down).alias("down"))
+
+    def loose() -> bool:
+        """Whether a node hangs on two, or on one that hangs on another."""
+        ends = now.select(F.explode(F.array(end("a", 1, 0), end("b", 0, 1))).alias("e")).groupBy("e.node").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))
+        return bool(ends.where((F.col("up") > 1) | (F.col("up") > 0) & (F.col("down") > 0)).head(1))
+
+    while loose():
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         now = written(spark, small.where("a <> b").distinct(), "components")
-        if (next_ := mark(now)) == seen:
-            break
-        seen = next_
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def _leaders(buckets: DataFrame, classes: DataFrame | None, turn: int) -> DataFrame:
-    """(a, b): each text of a bucket and the bucket's leader of this round, where they are not in one class yet.
+def _units(size: Column) -> Column:
+    """What a text counts in a block."""
+    return 1 + F.floor(size / TEXT_BYTES)
+
+
+def _parts(units: Column) -> Column:
+    return F.ceil(units / BLOCK).cast("int")
+
 
-    Leaders are the most popular text, then the most popular of those outside its class, then keyed random ones. What is
-    aggregated by band is written before it is joined back, so that each join reads plain exchanges and a hot bucket can be split.
+def _stars(met: DataFrame) -> DataFrame:
+    """(spot, side, key, class): the leader of each bucket, side 0, and texts that share a bucket with it, side 1, in blocks.
+
+    What is aggregated by band is written before it is joined back, so that each join reads plain exchanges and a hot bucket can be split.
     """
-    spark = buckets.sparkSession
-    rows = buckets
-    if classes is None:
-        rows = rows.withColumn("class", F.col("key"))
-    else:
-        rows = rows.join(classes.select(F.col("node").alias("key"), F.col("label").alias("class")), "key", "left").withColumn("class", F.coalesce("class", "key"))
-        rows = written(spark, rows, "classed-buckets")
-        mixed = rows.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max_by("class", F.struct("popular", "key")).alias("top")).where("lo <> hi")
-        rows = written(spark, rows.join(written(spark, mixed.select("band", "top"), "mixed"), "band"), "open-buckets")
-    first = F.col("popular") if turn == 0 else F.when(F.col("class") != F.col("top"), F.col("popular")).otherwise(F.lit(-1)) if turn == 1 else F.xxhash64(F.lit(turn), "band", "key")
-    lead = rows.groupBy("band").agg(F.max_by(F.struct("key", "class"), F.struct(first, "key")).alias("lead"))
-    pairs = rows.join(written(spark, lead, "leaders"), "band").where(F.col("class") != F.col("lead.class"))
-    return pairs.select(F.col("key").alias("a"), F.col("lead.key").alias("b")).distinct()
-
-
-def _blocks(buckets: DataFrame, classes: DataFrame, compared: int) -> DataFrame:
+    spark = met.sparkSession
+    lead = written(spark, met.groupBy("band").agg(F.max_by("key", F.struct("popular", "key")).alias("leader")), "leaders")
+    pairs = written(spark, met.join(lead, "band").where("key <> leader").groupBy("leader", "key").agg(F.max("size").alias("size")), "pairs")
+    parts = pairs.groupBy("leader").agg(_parts(F.sum(_units(F.col("size")))).alias("parts"))
+    parts = written(spark, parts, "leader-parts")
+    spot = lambda part: F.concat_ws(":", F.hex("leader"), part.cast("string")).alias("spot")
+    members = pairs.join(parts, "leader").select(spot(F.pmod(F.xxhash64("key"), F.col("parts"))), F.lit(1).alias("side"), "key", F.col("key").alias("class"))
+    leaders = parts.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return members.unionByName(leaders.select(spot(F.col("part")), F.lit(0).alias("side"), F.col("leader").alias("key"), F.col("leader").alias("class")))
+
+
+def _blocks(met: DataFrame, classes: DataFrame) -> DataFrame:
     """(spot, side, key, class): the texts of each two blocks of a bucket that have to meet, one spot for each two blocks.
 
-    Buckets of up to ``compared`` texts are left out: all their pairs have met leaders. A class of BLOCK texts or more in a bucket has blocks of its own, which
+    Buckets of two texts are left out: one of them led the other. A class of a block's size or more in a bucket has blocks of its own, which
     do not meet each other; other classes share blocks. A block of side 0 meets that of side 1; where there is no side 1, itself.
     """
-    spark = buckets.sparkSession
-    rows = buckets.join(classes.select(F.col("node").alias("key"), F.col("label").alias("class")), "key", "left").select("band", "key", F.coalesce("class", "key").alias("class"))
+    spark = met.sparkSession
+    rows = met.join(classes.select(F.col("node").alias("key"), F.col("label").alias("class")), "key", "left")
+    rows = rows.select("band", "key", _units(F.col("size")).alias("units"), F.coalesce("class", "key").alias("class"))
     rows = written(spark, rows, "classed-buckets")
-    mixed = rows.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n")).where((F.col("lo") != F.col("hi")) & (F.col("n") > compared))
+    mixed = rows.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2")
     rows = written(spark, rows.join(written(spark, mixed.select("band"), "mixed"), "band"), "open-buckets")
-    sizes = rows.groupBy("band", "class").agg(F.count(F.lit(1)).alias("n"))
-    parts = lambda n: F.ceil(n / BLOCK).cast("int")
-    large = F.when(F.col("n") >= BLOCK, F.struct("class", parts(F.col("n")).alias("parts")))
-    plan = sizes.groupBy("band").agg(F.collect_list(large).alias("large"), parts(F.coalesce(F.sum(F.when(F.col("n") < BLOCK, F.col("n"))), F.lit(0))).alias("rest"))
+    sizes = rows.groupBy("band", "class").agg(F.sum("units").alias("n"))
+    large = F.when(F.col("n") >= BLOCK, F.struct("class", _parts(F.col("n")).alias("parts")))
+    plan = sizes.groupBy("band").agg(F.collect_list(large).alias("large"), _parts(F.coalesce(F.sum(F.when(F.col("n") < BLOCK, F.col("n"))), F.lit(0))).alias("rest"))
     rows = rows.join(written(spark, plan, "block-plan"), "band")
     block = lambda of, salt: F.struct(of.cast("binary").alias("of"), salt.cast("int").alias("salt"))
     each = lambda n, of: F.transform(F.sequence(F.lit(1), n), lambda i: block(of, i - 1))
@@ -393,13 +386,12 @@ def _alike(one: list[tuple], two: list[tuple], weights: Weights, least: float) -
     return np.argwhere(best >= least)
 
 
-def _linked(texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
-    """From the rows of _blocks with their texts: (a, b) of similar texts of different classes, as many as join all classes that they join."""
+def _linked(spots: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """From the rows of _stars or _blocks: (a, b, x, y), keys of similar texts and their different classes, as many as join all classes that they join."""
 
-    def meet(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+    def meet(rows: list[tuple]) -> Iterator[tuple[bytes, bytes, bytes, bytes]]:
         sides = [[r for r in rows if r[1] == s] for s in (0, 1)]
-        whole = not sides[1]
-        one, two = sides[0], sides[0] if whole else sides[1]
+        one, two = sides[0], sides[1] or sides[0]
         if not one or len({r[3] for r in rows}) < 2:
             return
         texts = {r[2]: r[4] for r in rows}
@@ -420,7 +412,10 @@ def _linked(texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
             a, b = one[i], two[j]
             if (x := find(a[3])) != (y := find(b[3])) and similarity(sets[a[2]], sets[b[2]], weights) >= threshold:
                 top[x] = y
-                yield max(a[2], b[2]), min(a[2], b[2])
+                a, b = (a, b) if a[2] > b[2] else (b, a)
+                yield a[2], b[2], a[3], b[3]
+
+    names = ["a", "b", "x", "y"]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -431,60 +426,61 @@ def _linked(texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
                     found += meet(held)
                     held = []
                 held.append(r)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in range(4)], names)
         found = list(meet(held))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in range(4)], names)
 
-    return texts.select("spot", "side", "key", "class", "text").repartition("spot").sortWithinPartitions("spot").mapInArrow(verify, "a binary, b binary").distinct()
+    rows = spots.join(texts, "key").select("spot", "side", "key", "class", "text").repartition("spot").sortWithinPartitions("spot")
+    return rows.mapInArrow(verify, "a binary, b binary, x binary, y binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
-    """One row per row of ``docs``: id, key, class_id (the least id of the class) and n_links (verified links of its text)."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Tables in shared storage: of rows, id, key, h1, h2; of keys, key, label (the class), least (id and hashes of the class's first row), n_links."""
     spark = docs.sparkSession
     bounded_batches(spark)
     weights = Weights(weights_of(*sketch(docs, text_col)))
     signed = written(spark, signatures(docs, weights, id_col, text_col), "signatures")
-    nodes = signed.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
-    buckets = nodes.select("key", "id", F.explode("bands").alias("band"))
-    buckets = written(spark, buckets, "buckets")
-    shared = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    nodes = signed.where("key is not null").groupBy("key").agg(F.min(F.struct("id", "h1", "h2")).alias("least"), F.max("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = written(spark, nodes, "nodes")
+    buckets = nodes.select("key", "size", F.explode("bands").alias("band"))
+    shared = written(spark, buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-buckets")
     met = buckets.join(shared, "band")
-    popular = met.groupBy("key", "id").agg(F.sum("n").alias("popular"))
-    popular = written(spark, popular, "popular")
-    met = written(spark, met.select("band", "key").join(popular.select("key", "popular"), "key"), "met")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    mine = popular.select("key", F.col("id").alias("_id")).hint("merge")  # grows with the corpus: never broadcast
-    texts = texts.join(mine, F.col("id").eqNullSafe(F.col("_id"))).select("key", "text")
-    texts = written(spark, texts, "candidate-texts")
-    links, classes = None, None
-    for turn in range(rounds):
-        pairs = written(spark, _leaders(met, classes, turn), "pairs")
-        if not pairs.head(1):
-            break
-        pairs = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("a_text")), "a")
-        pairs = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("b_text")), "b")
-        own = written(spark, _verified(pairs, weights, threshold), "links")
-        links = own if links is None else links.unionByName(own)
-        classes = components(spark, links)
-    else:
-        if classes is not None:
-            meeting = _blocks(met, classes, min(rounds, 2) + 1).join(texts, "key")
-            links = links.unionByName(written(spark, _linked(meeting, weights, threshold), "links"))
-            classes = components(spark, links)
-    found = signed.select("id", "key")
-    if links is None:
-        return found.join(nodes.select("key", F.col("id").alias("class_id")), "key", "left").select(F.col("id").alias(id_col), "key", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    ends = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
-    whole = nodes.select("key", "id").join(classes.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    least = whole.groupBy("label").agg(F.min("id").alias("class_id"))
-    table = whole.join(least, "label").join(ends, "key", "left").select("key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = found.join(table, "key", "left")
-    return out.select(F.col("id").alias(id_col), "key", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-
-
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each class: the one of the least id. Null texts all stay."""
-    classes = near_duplicates(docs, id_col, text_col, **options)
-    kept = classes.where(F.col("key").isNull() | F.col("class_id").isNull() | (F.col(id_col) == F.col("class_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    out = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
-    return out.dropDuplicates([id_col, text_col])
+    popular = written(spark, met.groupBy("key").agg(F.sum("n").alias("popular")), "popular")
+    met = written(spark, met.select("band", "key", "size").join(popular, "key"), "met")
+    # one text for each key; equal texts are combined before they are shuffled
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), *_text_hash(text_col)).groupBy("h1", "h2").agg(F.first("text").alias("text"))
+    mine = nodes.join(popular, "key").select("key", "least.h1", "least.h2").hint("merge")  # grows with the corpus: never broadcast
+    texts = written(spark, texts.join(mine, ["h1", "h2"]).select("key", "text"), "candidate-texts")
+
+    stars = written(spark, _linked(_stars(met), texts, weights, threshold), "links")
+    classes = written(spark, components(spark, stars), "classes")
+    rest = written(spark, _linked(_blocks(met, classes), texts, weights, threshold), "links")
+    joined = components(spark, rest.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("joined"))
+
+    ends = stars.unionByName(rest).select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
+    table = nodes.select("key", "least").join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    table = table.join(written(spark, joined, "joined-classes"), "label", "left").withColumn("label", F.coalesce("joined", "label"))
+    table = written(spark, table.join(ends, "key", "left").select("key", "label", "least", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes")
+    first = written(spark, table.groupBy("label").agg(F.min("least").alias("first")), "firsts")
+    return signed.select("id", "key", "h1", "h2"), written(spark, table.join(first, "label").select("key", "label", F.col("first").alias("least"), "n_links"), "classes")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row per row of ``docs``: id, key, class_id (the least id of the class) and n_links (links of its text that were needed to join its class)."""
+    rows, table = _classes(docs, id_col, text_col, threshold)
+    out = rows.join(table.select("key", F.col("least.id").alias("first"), "n_links"), "key", "left")
+    alone = F.col("key").isNull()
+    return out.select(F.col("id").alias(id_col), "key", F.when(alone, F.col("id")).otherwise(F.col("first")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with one document of each class: one with the class's least id and, of these, the least text by hash. Null texts all stay.
+
+    Rows are told apart by id and text; of rows that agree in both, one stays.
+    """
+    _, table = _classes(docs, id_col, text_col, threshold)
+    place = ["h1", "h2", "h3"]
+    kept = table.select("least.h1", "least.h2", F.xxhash64("least.id").alias("h3")).distinct()
+    df = docs.where(F.col(text_col).isNotNull()).select(nested(docs).alias("row"), *_text_hash(text_col), F.xxhash64(F.col(id_col)).alias("h3"))
+    df = df.join(kept, place, "left_semi").dropDuplicates(place)
+    return restore(df, docs, "row", {}).unionByName(docs.where(F.col(text_col).isNull()))

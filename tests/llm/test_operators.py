@@ -238,6 +238,61 @@ def test_near_duplicates_inside_a_template_family(spark):
     assert lost == 0
 
 
+def test_near_duplicates_recall_in_large_groups(spark):
+    """Groups of up to hundreds of copies of all degrees: each row whose id is divisible by 10, against all rows."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(4000)]
+    rows = []
+    for size in (400, 150, 60, *[8] * 20, *[2] * 60, *[1] * 300):
+        base = [rng.choice(words) for _ in range(rng.randint(60, 240))]
+        for _ in range(size):
+            text = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 3, 5])):
+                at = rng.randrange(len(text))
+                text[at : at + rng.randint(0, 2)] = [rng.choice(words)]
+            rows.append(" ".join(text))
+    rng.shuffle(rows)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    bags = [brute.shingle_counts(t) for t in rows]
+    holders = {}
+    for i, b in enumerate(bags):
+        for x in b:
+            holders.setdefault(x, []).append(i)
+    pairs = caught = 0
+    for i in range(0, len(rows), 10):
+        for j in {j for x in bags[i] for j in holders[x]} - {i}:
+            if rows[i] != rows[j] and brute.jaccard(bags[i], bags[j]) >= 0.8:
+                pairs, caught = pairs + 1, caught + (got[i] == got[j])
+    assert pairs > 2000 and caught >= 0.98 * pairs, (pairs, caught)
+
+
+def test_near_duplicates_of_hard_rows(spark, docs, empty):
+    """Null and repeated ids, clashing columns, repeated rows, a very long text, and copies under the id of another class."""
+    got = neardup.near_duplicates(docs)
+    assert got.count() == len(CASES) and neardup.deduplicated(empty).count() == 0 and neardup.deduplicated(docs).columns == docs.columns
+    assert neardup.deduplicated(docs).where("text is null").count() == 1
+    long = " ".join(f"v{i}" for i in range(300_000))
+    rows = [(1, BASE), (5, "another text " + "of its own kind " * 9), (5, BASE), (None, BASE.upper()), (None, None), (7, long), (8, long + " end"), (9, None), (9, None), (5, BASE)]
+    df = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, key string, h1 int")
+    classes = sorted((r.class_id is None, r.class_id, r.doc_id is None, r.doc_id) for r in neardup.near_duplicates(df).collect())
+    assert [(c, i) for _, c, _, i in classes] == [(5, 5), (7, 7), (7, 8), (9, 9), (9, 9), (None, 1), (None, 5), (None, 5), (None, None), (None, None)]
+    kept = sorted((r.doc_id is None, r.doc_id, len(r.text or "")) for r in neardup.deduplicated(df).collect())
+    assert kept == sorted([(False, 5, len(rows[1][1])), (True, None, len(BASE)), (True, None, 0), (False, 7, len(long)), (False, 9, 0), (False, 9, 0)])
+
+
+def test_idf_means_the_same_at_every_size():
+    """The weights of a corpus and of one a thousand times as large, where chance moves the counters less and less."""
+    rng = np.random.default_rng(0)
+    shares = np.zeros(1 << neardup.SKETCH_BITS)
+    shares[:400] = np.geomspace(0.012, 0.9, 400)
+    factors = []
+    for n in (20_000, 20_000_000):
+        counts = rng.poisson(n * 300 / len(shares), len(shares)) + (shares * n).astype(int)
+        factors.append(neardup.weights_of(counts, n))
+    want = 1 + neardup.DAMPING * np.clip(np.log(np.maximum(shares, neardup.COMMON)) / np.log(neardup.COMMON), 0, 1)
+    assert all(abs(f - want).max() < 0.02 for f in factors) and (factors[0][400:] == 1 + neardup.DAMPING).all()
+
+
 def test_consistent_samples_follow_weighted_jaccard():
     rng = np.random.default_rng(0)
     h = rng.integers(1, 2**63, 400).astype(np.uint64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, mixing, neardup, quality, secret_scan, sharding, tokencount, tokenfile, urlrep
+from . import decontam, htmltext, mixing, neardup, oracle, quality, secret_scan, sharding, tokencount, tokenfile, urlrep
 from .common import table
 
 
@@ -68,4 +68,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_secret_scan, op4_sharding, op5_token_files, op6_near_duplicates, op7_decontamination, op8_html_text, op9_mixing, op10_url_filter)}
-ORACLE: dict[str, str] = {}
+ORACLE = oracle.ORACLE

@@ -500,6 +500,26 @@ def test_pipeline(spark):
     assert sorted((r.shard, r.slot) for r in out) == sorted((p % 8, p // 8) for p in range(len(out)))
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_queries_against_sql(spark, name, tmp_path):
+    """On the given tables, and on the hard rows, with items of one to twelve words that occur in them."""
+    import duckdb
+
+    hard = str(tmp_path)
+    spark.createDataFrame([(i, t) for i, t, _ in CASES], "doc_id long, text string").coalesce(1).write.parquet(f"{hard}/documents.parquet")
+    items = [(1, BASE), (2, "lazy dog"), (3, ""), (4, None), (10, "w5 W1"), (11, "end"), (12, " ".join(BASE.split()[7:19]))]
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{hard}/benchmark.parquet")
+    for folder, files in ((DIR, ""), (hard, "/*.parquet")):
+        db = duckdb.connect()
+        for t in ("documents", "benchmark"):
+            db.sql(f"create view {t} as select * from '{folder}/{t}.parquet{files}'")
+        want = db.sql(queries.ORACLE[name])
+        got = queries.QUERIES[name](spark, folder)
+        cols = sorted(want.columns)
+        assert cols == sorted(got.columns)
+        assert sorted(map(str, map(tuple, got.select(*cols).collect()))) == sorted(map(str, want.select(*cols).fetchall()))
+
+
 def test_queries_are_whole(spark):
     n = spark.read.parquet(f"{DIR}/documents.parquet").count()
     for name in ("op1_quality_rules", "op4_sharding", "op9_mixing"):

@@ -22,7 +22,8 @@ HEAD = TOP_K * dlg.TURNS
 def conversations(sessions: DataFrame) -> DataFrame:
     """Sessions with the key ``conv`` of their conversation: all that the customer's side depends on."""
     turn = F.when(F.col("scenario_type") == "intent_override", F.col("override_turn")).otherwise(F.lit(0))
-    return sessions.withColumn("conv", F.md5(F.to_json(F.struct("scenario_type", turn.alias("t"), "category", "hard", "soft"))))
+    stated = ["scenario_type", turn.alias("t"), "category", "hard", "soft", "old_value", "new_value", "override_message", "free_opener"]
+    return sessions.withColumn("conv", F.md5(F.to_json(F.struct(*stated))))
 
 
 def strengths(stated: DataFrame, index: DataFrame, item_pairs: DataFrame) -> DataFrame:

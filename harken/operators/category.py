@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from harken.functions.numbering import placed
 from harken.functions.text import stems
 
 TEMPERATURE, TAU, CAP, QUOTE_BONUS, PRIOR, NO_OVERLAP = 2.0, 0.85, 8000, 3.0, 0.25, -30.0
+#: Places of the catalog that are numbered at once.
+RUN = 1_000_000
 
 
 def stats(index: DataFrame) -> DataFrame:
@@ -42,16 +45,41 @@ def scores(openers: DataFrame, categories: DataFrame) -> DataFrame:
 def posterior(openers: DataFrame, categories: DataFrame, temperature: float = TEMPERATURE) -> DataFrame:
     """(opener, category, p) over all categories; those that share nothing keep their small mass.
 
-    Pairs every opener with every category, as the softmax runs over them all; both are small vocabularies.
+    Every opener has a row for every category, as that is what is asked for; pools need heads() only.
     """
-    pairs = openers.withColumn("_one", F.lit(1)).join(categories.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    df = pairs.join(scores(openers, categories), ["opener", "category"], "left")
+    df = openers.crossJoin(categories).join(scores(openers, categories), ["opener", "category"], "left")
     df = df.withColumn("logit", F.coalesce("score", F.lit(NO_OVERLAP)) / temperature + PRIOR * F.col("log_prior"))
     own = Window.partitionBy("opener")
     df = df.withColumn("e", F.exp(F.col("logit") - F.max("logit").over(own)))
     return df.select("opener", "category", "cat_idx", "n_items", F.round(F.col("e") / F.sum("e").over(own), 12).alias("p"))
 
 
+def heads(openers: DataFrame, categories: DataFrame, temperature: float = TEMPERATURE, tau: float = TAU, cap: int = CAP) -> DataFrame:
+    """The rows of posterior() that a pool can reach: categories that share a stem and, where their mass and items are not enough, the head of the others.
+
+    The others of an opener differ in their prior alone, so their mass is that of all categories less that of the sharing ones. They follow
+    all that share, in the order of the prior, and categories with twice ``cap`` items are enough of them, as sharing ones hold less than ``cap``.
+    """
+    base = F.exp(F.lit(NO_OVERLAP / temperature) + PRIOR * F.col("log_prior"))
+    columns = categories.select("category", "cat_idx", "n_items", "log_prior", base.alias("base"))
+    whole = categories.agg(F.sum(base).alias("whole"))  # one row
+    said = scores(openers, categories).join(columns, "category").withColumn("logit", F.col("score") / temperature + PRIOR * F.col("log_prior"))
+    sums = said.groupBy("opener").agg(F.max("logit").alias("top"), F.sum("base").alias("own"), F.sum("n_items").alias("items"))
+    mass = said.join(sums.select("opener", "top"), "opener").groupBy("opener").agg(F.sum(F.exp(F.col("logit") - F.col("top"))).alias("e"))
+    openers = openers.select("opener").join(sums, "opener", "left").join(mass, "opener", "left").crossJoin(F.broadcast(whole))
+    top = F.coalesce("top", F.lit(NO_OVERLAP / temperature))
+    rest = F.greatest(F.lit(0.0), F.col("whole") - F.coalesce("own", F.lit(0.0))) * F.exp(-top)
+    openers = openers.select("opener", top.alias("top"), F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("e", F.lit(0.0)).alias("e"), (F.coalesce("e", F.lit(0.0)) + rest).alias("z"))
+    share = F.round(F.exp(F.col("logit") - F.col("top")) / F.col("z"), 12)
+    near = said.join(openers.select("opener", "top", "z"), "opener").select("opener", "category", "cat_idx", "n_items", share.alias("p"))
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("log_prior"), "cat_idx").rowsBetween(Window.unboundedPreceding, -1)  # over categories
+    first = columns.withColumn("before", F.coalesce(F.sum("n_items").over(order), F.lit(0))).where(F.col("before") < 2 * cap)
+    open_ = openers.where((F.round(F.col("e") / F.col("z"), 9) < tau) & (F.col("items") < cap)).select("opener", "top", "z")
+    far = open_.crossJoin(F.broadcast(first.select("category", "cat_idx", "n_items", F.log("base").alias("logit"))))  # 2 * cap rows at most
+    far = far.select("opener", "category", "cat_idx", "n_items", share.alias("p")).join(near.select("opener", "category"), ["opener", "category"], "left_anti")
+    return near.unionByName(far)
+
+
 def pool_categories(post: DataFrame, tau: float = TAU, cap: int = CAP) -> DataFrame:
     """Categories in order of mass, as long as what stands before them is below tau and the cap."""
     order = Window.partitionBy("opener").orderBy(F.desc("p"), "cat_idx")
@@ -62,8 +90,7 @@ def pool_categories(post: DataFrame, tau: float = TAU, cap: int = CAP) -> DataFr
 
 
 def pool(post: DataFrame, index: DataFrame, tau: float = TAU, cap: int = CAP) -> DataFrame:
-    """(opener, parent_asin, pool_pos)."""
-    in_cat = Window.partitionBy("category").orderBy("cat_pos")
-    items = index.select("category", "parent_asin", (F.row_number().over(in_cat) - 1).alias("at"))
-    df = pool_categories(post, tau, cap).join(items, "category")
+    """(opener, parent_asin, pool_pos). Items are numbered in runs of the catalog, and only the first ``cap`` of a category."""
+    items = placed(index.select("category", "cat_pos", "parent_asin"), ["category"], F.floor(F.col("cat_pos") / RUN), ["cat_pos"], "at", cap)
+    df = pool_categories(post, tau, cap).join(items.select("category", "parent_asin", "at"), "category")
     return df.withColumn("pool_pos", F.col("items_before") + F.col("at")).where(F.col("pool_pos") < cap).select("opener", "parent_asin", "pool_pos")

@@ -19,55 +19,92 @@ NO_PREFERENCE = r"^I don't have (?:an additional preference|a preference) for ([
 
 
 def sessions(samples: DataFrame, index: DataFrame) -> DataFrame:
-    """Samples with their target's category and card."""
+    """Samples (target_pos) with their target's category and card."""
     target = index.select(F.col("cat_pos").alias("target_pos"), "parent_asin", "category", "hard", "soft", "card")
-    return samples.join(target, "target_pos")
+    return completed(samples.join(target, "target_pos"))
+
+
+def labelled_sessions(labels: DataFrame, index: DataFrame) -> DataFrame:
+    """Rows of a JSON-lines set of sessions, hidden fields made from the target's product where the set omits them.
+
+    A supplied card and behaviour count where both are there. The turn of a derived override is 3 or 4, by a hash of sample and scenario: the
+    published draw comes from a seeded generator of another language and is an input wherever it matters. A free-form opener replaces the first message.
+    """
+    supplied = F.col("intent_card").isNotNull() & F.col("behavior").isNotNull()
+    nothing = F.array().cast("array<string>")
+    change = F.when(supplied, F.col("behavior.override"))
+    drawn = (3 + F.pmod(F.xxhash64("sample_id", "scenario_type"), F.lit(2))).cast("int")
+    target = index.select("parent_asin", "category", F.col("hard").alias("_hard"), F.col("soft").alias("_soft"))
+    df = labels.withColumn("parent_asin", F.col("ground_truth.parent_asin")).join(target, "parent_asin", "left")
+    df = df.withColumn("hard", F.when(supplied, F.coalesce("intent_card.hard_constraints", nothing)).otherwise(F.coalesce("_hard", nothing)))
+    df = df.withColumn("soft", F.when(supplied, F.coalesce("intent_card.soft_preferences", nothing)).otherwise(F.coalesce("_soft", nothing)))
+    df = df.select(
+        "sample_id",
+        "scenario_type",
+        F.when(F.col("scenario_type") == "intent_override", F.coalesce(change["turn"], F.when(supplied, F.lit(3)).otherwise(drawn))).alias("override_turn"),
+        "parent_asin",
+        F.coalesce("category", F.lit("clothing item")).alias("category"),
+        "hard",
+        "soft",
+        F.concat("hard", "soft").alias("card"),
+        change["old_value"].alias("old_value"),
+        change["new_value"].alias("new_value"),
+        change["message"].alias("override_message"),
+        F.col("free_form.initial_message").alias("free_opener"),
+    )
+    return completed(df)
+
+
+def completed(sessions: DataFrame) -> DataFrame:
+    """Adds what the set may state and the card otherwise gives: old_value, new_value, override_message, and free_opener, which may be null."""
+    own = lambda c: F.col(c) if c in sessions.columns else F.lit(None).cast("string")
+    df = sessions.withColumn("old_value", F.coalesce(own("old_value"), F.try_element_at("soft", F.lit(-1)), F.lit("I prefer a different style.")))
+    df = df.withColumn("new_value", F.coalesce(own("new_value"), F.get("hard", F.lit(0)), F.lit("Please prioritize the target requirements.")))
+    message = F.concat(F.lit("Actually, ignore my earlier preference. What I need is: "), F.col("new_value"), F.lit("."))
+    return df.withColumn("override_message", F.coalesce(own("override_message"), message)).withColumn("free_opener", own("free_opener"))
 
 
 def initial_message() -> Column:
     start = F.concat(F.lit("I'm looking for "), F.col("category"))
-    return (
+    message = (
         F.when((F.col("scenario_type") == "buying") & (F.size("hard") > 0), F.concat(start, F.lit(". A key requirement is: "), F.get("hard", F.lit(0)), F.lit(".")))
-        .when(F.col("scenario_type") == "intent_override", F.concat(start, F.lit(". "), F.get("soft", F.size("soft") - 1)))
+        .when(F.col("scenario_type") == "intent_override", F.concat(start, F.lit(". "), F.col("old_value")))
         .otherwise(F.concat(start, F.lit(", but I'm still exploring.")))
     )
+    return F.coalesce(F.col("free_opener"), message)
 
 
 def transcripts(sessions: DataFrame, asked: str = "other") -> DataFrame:
-    """(sample_id, turn, message) of all ten turns, without playing them.
+    """(sample_id, turn, message) of all ten turns of sessions from completed(): one fold per session over turns, no list is played.
 
-    Replies disclose two open strings of the card at a time. Which reply a turn is counts from turn 2, from 3 after a boundary sentence, and
-    past the override, which discloses the first hard string itself.
+    A reply discloses the first two open strings of the card that fit the attribute asked for; an override discloses its own string.
     """
+    df = sessions if "new_value" in sessions.columns else completed(sessions)
     known = F.when((F.col("scenario_type") == "buying") & (F.size("hard") > 0), F.slice("hard", 1, 1)).otherwise(F.array().cast("array<string>"))
-    df = sessions.withColumn("message1", initial_message()).withColumn("known", known)
-    df = df.select("*", F.explode(F.sequence(F.lit(1), F.lit(TURNS))).alias("turn"))
-    overrides = F.col("scenario_type") == "intent_override"
-    boundary = F.col("scenario_type") == "boundary"
-    before = F.col("turn") - 2 - F.when(boundary, 1).otherwise(0) - F.when(overrides & (F.col("turn") > F.col("override_turn")), 1).otherwise(0)
-
-    def turns(n: Column, known: Column) -> Column:
-        """What is known after n replies: two more open places each time, equal strings together."""
-        return F.aggregate(
-            F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")),
-            known,
-            lambda acc, _: F.concat(acc, F.slice(F.filter("card", lambda v: ~F.array_contains(acc, v)), 1, 2)),
-        )
-
-    first = F.when(overrides & (F.col("turn") > F.col("override_turn")), F.col("override_turn") - 2).otherwise(before)
-    said = turns(first.cast("int"), F.col("known"))
-    late = F.concat(said, F.slice("hard", 1, 1))
-    said = F.when(overrides & (F.col("turn") > F.col("override_turn")), turns((before - first).cast("int"), late)).otherwise(said)
-    df = df.withColumn("said", said)
-    open_ = F.slice(F.filter("card", lambda v: ~F.array_contains(F.col("said"), v)), 1, 2)
-    reply = F.when(F.size(open_) > 0, F.concat(F.lit("For that, what matters is: "), F.array_join(open_, "; "), F.lit("."))).otherwise(F.lit(f"I don't have an additional preference for {asked}."))
-    message = (
-        F.when(F.col("turn") == 1, F.col("message1"))
-        .when(overrides & (F.col("turn") == F.col("override_turn")), F.concat(F.lit("Actually, ignore my earlier preference. What I need is: "), F.get("hard", F.lit(0)), F.lit(".")))
-        .when(boundary & (F.col("turn") == 2), F.lit(f"I don't have a preference for {asked}; please use your judgment."))
-        .otherwise(reply)
+    df = df.select(
+        "sample_id",
+        "card",
+        "new_value",
+        "override_message",
+        initial_message().alias("opener"),
+        known.alias("known"),
+        F.when(F.col("scenario_type") == "intent_override", F.col("override_turn")).otherwise(F.lit(0)).alias("here"),
+        F.when(F.col("scenario_type") == "boundary", F.lit(2)).otherwise(F.lit(0)).alias("away"),
     )
-    return df.select("sample_id", "turn", message.alias("message"))
+    if asked != "other":
+        df = df.withColumn("card", F.filter("card", lambda v: tx.classify(v) == asked))
+
+    def step(acc: Column, turn: Column) -> Column:
+        rest = F.slice(F.filter("card", lambda v: ~F.array_contains(acc["known"], v)), 1, 2)
+        told = F.when(F.size(rest) > 0, F.concat(F.lit("For that, what matters is: "), F.array_join(rest, "; "), F.lit("."))).otherwise(F.lit(f"I don't have an additional preference for {asked}."))
+        here, away = turn == F.col("here"), turn == F.col("away")
+        message = F.when(here, F.col("override_message")).when(away, F.lit(f"I don't have a preference for {asked}; please use your judgment.")).otherwise(told)
+        new = F.when(here, F.array("new_value")).when(away, F.array().cast("array<string>")).otherwise(rest)
+        return F.struct(F.concat(acc["known"], new).alias("known"), F.array_append(acc["messages"], message).alias("messages"))
+
+    start = F.struct("known", F.array("opener").alias("messages"))
+    said = F.aggregate(F.sequence(F.lit(2), F.lit(TURNS)), start, step, lambda acc: acc["messages"])
+    return df.select("sample_id", F.posexplode(said).alias("turn", "message")).withColumn("turn", F.col("turn") + 1)
 
 
 def parsed(messages: DataFrame, message: str = "message") -> DataFrame:

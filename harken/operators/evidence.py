@@ -51,10 +51,10 @@ def softcard(texts: DataFrame, index: DataFrame, *also: str, floor: float = FLOO
 def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, strength): Okapi BM25 over (doc_id, text), as a share of the query's ceiling, of every document with a positive score."""
     bags = docs.select("doc_id", tx.terms(F.coalesce("text", F.lit(""))).alias("bag"))
-    sizes = bags.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.greatest(F.size("bag"), F.lit(1))).alias("avg_len")).withColumn("_one", F.lit(1))
+    sizes = bags.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.greatest(F.size("bag"), F.lit(1))).alias("avg_len"))  # one row
     tf = bags.select("doc_id", F.greatest(F.size("bag"), F.lit(1)).alias("len"), F.explode("bag").alias("term")).groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     want = queries.select("query_id", F.explode(F.array_distinct(tx.terms(F.coalesce("text", F.lit(""))))).alias("term"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("_one", F.lit(1)).join(F.broadcast(sizes), "_one")  # sizes is one row
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(sizes))
     idf = df.select("term", "avg_len", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     want = want.join(idf, "term")
     ceiling = want.groupBy("query_id").agg(F.sum("idf").alias("ceiling"))
@@ -70,14 +70,23 @@ def bm25_top(docs: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
 
 
 def ranked(states: DataFrame, pool: DataFrame, index: DataFrame, top: int = 10) -> DataFrame:
-    """(opener, text, rank, parent_asin, p): the head of each pool after one constraint, stable on the pool's order."""
-    hits = exact(states.select("text").distinct(), index).withColumn("hit", F.lit(1))
-    df = states.join(pool, "opener").join(hits, ["text", "parent_asin"], "left")
-    df = df.withColumn("e", F.exp(F.when(F.col("hit") == 1, F.lit(0.0)).otherwise(bounded(F.lit(0.0)))))
-    own = Window.partitionBy("opener", "text")
-    df = df.withColumn("p", F.round(F.col("e") / F.sum("e").over(own), 9))
-    df = df.withColumn("rank", F.row_number().over(own.orderBy(F.desc("p"), "pool_pos")))
-    return df.where(F.col("rank") <= top).select("opener", "text", "rank", "parent_asin", "p")
+    """(opener, text, rank, parent_asin, p): the head of each pool after one constraint, stable on the pool's order.
+
+    Only matches and the pool's first places are rows: an item that does not match and is not among the first 2 * top has top better ones.
+    All items without a match share one value, so the sum over the pool is a count.
+    """
+    hits = states.join(exact(states.select("text").distinct(), index), "text").join(pool, ["opener", "parent_asin"])
+    hits = hits.select("opener", "text", "parent_asin", "pool_pos", F.lit(1).alias("hit"))
+    head = states.join(pool.where(F.col("pool_pos") < 2 * top), "opener").select("opener", "text", "parent_asin", "pool_pos", F.lit(0).alias("hit"))
+    rows = hits.unionByName(head).groupBy("opener", "text", "parent_asin", "pool_pos").agg(F.max("hit").alias("hit"))
+    sizes = states.join(pool.groupBy("opener").agg(F.count(F.lit(1)).alias("n")), "opener")
+    sizes = sizes.join(hits.groupBy("opener", "text").agg(F.count(F.lit(1)).alias("h")), ["opener", "text"], "left")
+    low = F.exp(bounded(F.lit(0.0)))
+    z = F.coalesce("h", F.lit(0)) + (F.col("n") - F.coalesce("h", F.lit(0))) * low
+    rows = rows.join(sizes.select("opener", "text", z.alias("z")), ["opener", "text"])
+    rows = rows.withColumn("p", F.round(F.when(F.col("hit") == 1, F.lit(1.0)).otherwise(low) / F.col("z"), 9))
+    order = Window.partitionBy("opener", "text").orderBy(F.desc("p"), "pool_pos")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("opener", "text", "rank", "parent_asin", "p")
 
 
 def entropy(states: DataFrame, pool: DataFrame, index: DataFrame) -> DataFrame:

@@ -34,15 +34,18 @@ def _openers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _post(spark: SparkSession, d: str) -> DataFrame:
-    return ctg.posterior(_openers(spark, d), ctg.stats(_index(spark, d)))
+    """What pools need of the posterior."""
+    index = staged(_index(spark, d), "index")
+    openers = dlg.sessions(views.samples(spark, d), index).select(dlg.initial_message().alias("opener")).distinct()
+    return ctg.heads(staged(openers, "openers"), staged(ctg.stats(index), "categories"))
 
 
-def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return _index(spark, d).select(F.explode("card").alias("text")).distinct()
+def _pool(spark: SparkSession, d: str) -> DataFrame:
+    return staged(ctg.pool(_post(spark, d), _index(spark, d)), "pool")
 
 
-def _read(spark: SparkSession, d: str) -> DataFrame:
-    return dlg.parsed(dlg.transcripts(_sessions(spark, d)))
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d).select(F.explode("card").alias("text")).distinct()
 
 
 def _states(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +57,7 @@ def _states(spark: SparkSession, d: str) -> DataFrame:
 def _results(spark: SparkSession, d: str) -> DataFrame:
     """Sessions scored on the first turn's list; an override session cannot convert before its override."""
     sessions = _sessions(spark, d).select("sample_id", "scenario_type", "parent_asin", dlg.initial_message().alias("opener"))
-    heads = ev.ranked(_states(spark, d), ctg.pool(_post(spark, d), _index(spark, d)), _index(spark, d)).select("opener", "rank", "parent_asin")
+    heads = ev.ranked(_states(spark, d), _pool(spark, d), _index(spark, d)).select("opener", "rank", "parent_asin")
     df = sessions.join(heads, ["opener", "parent_asin"], "left")
     hit = F.col("rank").isNotNull() & (F.col("scenario_type") != "intent_override")
     return df.select("sample_id", "scenario_type", hit.alias("hit"), F.when(hit, 1).alias("first_hit_turn"), F.when(hit, 1.0 / F.col("rank")).otherwise(0.0).alias("reciprocal_rank"))
@@ -62,7 +65,7 @@ def _results(spark: SparkSession, d: str) -> DataFrame:
 
 def _conversations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sessions with their conversation, the turns of each conversation, and the constraints held in it."""
-    sessions = bf.conversations(_sessions(spark, d))
+    sessions = staged(bf.conversations(_sessions(spark, d)), "sessions")
     once = sessions.drop("sample_id", "parent_asin", "target_pos").withColumnRenamed("conv", "sample_id").dropDuplicates(["sample_id"])
     read = staged(dlg.parsed(dlg.transcripts(once)), "turns")
     return sessions, read, staged(dlg.constraints(read), "constraints")
@@ -71,7 +74,7 @@ def _conversations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, D
 def _shipped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     sessions, read, held = _conversations(spark, d)
     index = staged(_index(spark, d), "index")
-    pool = staged(ctg.pool(_post(spark, d), index), "pool")
+    pool = _pool(spark, d)
     heads = bf.heads(held, read, pool, index, cat.item_pairs(index))
     sizes = pool.groupBy("opener").agg(F.count(F.lit(1)).alias("n_pool"))
     sizes = read.where("turn = 1").select("sample_id", F.col("message").alias("opener")).join(sizes, "opener").select("sample_id", "n_pool")
@@ -129,11 +132,11 @@ def category_scores(s: SparkSession, d: str) -> DataFrame:
 
 
 def category_posterior(s: SparkSession, d: str) -> DataFrame:
-    return _post(s, d).select("opener", "category", F.round("p", 6).alias("p"))
+    return ctg.posterior(_openers(s, d), staged(ctg.stats(_index(s, d)), "categories")).select("opener", "category", F.round("p", 6).alias("p"))
 
 
 def category_pool(s: SparkSession, d: str) -> DataFrame:
-    return ctg.pool(_post(s, d), _index(s, d)).select("opener", "parent_asin", F.col("pool_pos").cast("long").alias("pool_pos"))
+    return ctg.pool(_post(s, d), staged(_index(s, d), "index")).select("opener", "parent_asin", F.col("pool_pos").cast("long").alias("pool_pos"))
 
 
 def best_category(s: SparkSession, d: str) -> DataFrame:
@@ -162,7 +165,7 @@ def concept_support(s: SparkSession, d: str) -> DataFrame:
     states = _states(s, d)
     read = states.select("text").distinct().select("text", F.explode(tx.pairs(F.col("text"))).alias("p")).select("text", "p.*")
     asked = states.join(read.join(voc.with_concepts(read), ["attribute", "value"]), "text").select("opener", "attribute", "concept").distinct()
-    return voc.support(asked, staged(voc.concepts(_index(s, d)), "concepts"), ctg.pool(_post(s, d), _index(s, d)))
+    return voc.support(asked, staged(voc.concepts(_index(s, d)), "concepts"), _pool(s, d))
 
 
 def session_samples(s: SparkSession, d: str) -> DataFrame:
@@ -173,33 +176,44 @@ def initial_messages(s: SparkSession, d: str) -> DataFrame:
     return _sessions(s, d).select("sample_id", dlg.initial_message().alias("message"))
 
 
+def _per_session(sessions: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of conversations (sample_id is their key) for each of their sessions."""
+    return sessions.select("conv", "sample_id").join(rows.withColumnRenamed("sample_id", "conv"), "conv").drop("conv")
+
+
 def transcripts(s: SparkSession, d: str) -> DataFrame:
-    return dlg.transcripts(_sessions(s, d))
+    sessions = staged(bf.conversations(_sessions(s, d)), "sessions")
+    once = sessions.drop("sample_id").withColumnRenamed("conv", "sample_id").dropDuplicates(["sample_id"])
+    return _per_session(sessions, dlg.transcripts(once))
 
 
 def parse_templates(s: SparkSession, d: str) -> DataFrame:
-    return _read(s, d).groupBy("kind", "route").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("texts")).alias("n_texts"), F.countDistinct("category").alias("n_categories"))
+    sessions, read, _ = _conversations(s, d)
+    n = sessions.groupBy("conv").agg(F.count(F.lit(1)).alias("n"))
+    read = read.join(n, read["sample_id"] == n["conv"])
+    return read.groupBy("kind", "route").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.size("texts")).alias("n_texts"), F.countDistinct("category").alias("n_categories"))
 
 
 def constraints(s: SparkSession, d: str) -> DataFrame:
-    return dlg.constraints(_read(s, d))
+    sessions, _, held = _conversations(s, d)
+    return _per_session(sessions, held)
 
 
 def constraint_weights(s: SparkSession, d: str) -> DataFrame:
-    read = _read(s, d)
-    df = dlg.weights(dlg.constraints(read), read)
-    return df.groupBy("sample_id", "at_turn").agg(F.count(F.lit(1)).alias("n_live"), F.round(F.sum("weight"), 6).alias("weight"))
+    sessions, read, held = _conversations(s, d)
+    df = dlg.weights(held, read)
+    return _per_session(sessions, df.groupBy("sample_id", "at_turn").agg(F.count(F.lit(1)).alias("n_live"), F.round(F.sum("weight"), 6).alias("weight")))
 
 
 def override_demotion(s: SparkSession, d: str) -> DataFrame:
-    read = _read(s, d)
-    held = dlg.constraints(read).join(dlg.overrides(read), "sample_id").where("turn <= 1 and demoted_turn is not null")
-    return held.select("sample_id", "text", "attribute", "value", "demoted_turn")
+    sessions, read, held = _conversations(s, d)
+    held = held.join(dlg.overrides(read), "sample_id").where("turn <= 1 and demoted_turn is not null")
+    return _per_session(sessions, held).select("sample_id", "text", "attribute", "value", "demoted_turn")
 
 
 def stall_counter(s: SparkSession, d: str) -> DataFrame:
-    read = _read(s, d)
-    return dlg.stalls(read, dlg.constraints(read))
+    sessions, read, held = _conversations(s, d)
+    return _per_session(sessions, dlg.stalls(read, held))
 
 
 def exact_matches(s: SparkSession, d: str) -> DataFrame:
@@ -230,11 +244,11 @@ def bm25_all_scores(s: SparkSession, d: str) -> DataFrame:
 
 
 def ranked_topk(s: SparkSession, d: str) -> DataFrame:
-    return ev.ranked(_states(s, d), ctg.pool(_post(s, d), _index(s, d)), _index(s, d)).select("opener", "text", F.col("rank").cast("long").alias("rank"), "parent_asin", F.round("p", 6).alias("p"))
+    return ev.ranked(_states(s, d), _pool(s, d), _index(s, d)).select("opener", "text", F.col("rank").cast("long").alias("rank"), "parent_asin", F.round("p", 6).alias("p"))
 
 
 def belief_entropy(s: SparkSession, d: str) -> DataFrame:
-    return ev.entropy(_states(s, d), ctg.pool(_post(s, d), _index(s, d)), _index(s, d))
+    return ev.entropy(_states(s, d), _pool(s, d), _index(s, d))
 
 
 def session_results(s: SparkSession, d: str) -> DataFrame:

@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written under a fresh name in ``spark.checkpoint.dir`` (a temporary folder where a local session has none), read back."""
+    """``df`` written under a fresh name in ``spark.checkpoint.dir``, read back.
+
+    Where a local session has no such folder, a temporary one stands in for it; on a cluster that is an error, as each machine would write to its own disk.
+    """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/harken-shared"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/harken-shared"
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harken.functions.numbering import placed
 from harken.functions.text import MATERIALS
 
 CATALOG = (
@@ -28,6 +29,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return df.where(F.col(key).isNotNull() & (F.col(key) != ""))
 
 
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON-lines catalog with ``cat_pos``, the row's place in its files: by file, by the split's start, and by the row's place in the split."""
+    df = spark.read.schema(CATALOG).json(path)
+    df = df.select("*", F.struct("_metadata.file_path", "_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("_at"))
+    df = df.where(F.col("parent_asin").isNotNull() & (F.col("parent_asin") != ""))
+    return placed(df.withColumn("_one", F.lit(0)), ["_one"], F.col("split"), ["_at"], "cat_pos").drop("_one", "split", "_at")
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).json(path)
 

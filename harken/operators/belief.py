@@ -6,14 +6,18 @@ sums, one a turn; items without evidence share one value, so only the first hund
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from harken.functions import text as tx
 from harken.operators import dialogue as dlg
 from harken.operators import evidence as ev
+from harken.sources.registry import Settings
 
+SETTINGS = Settings()
 TOP_K, DEADLINE, SETTLED = 10, 3, 4
-CARD_GAIN = 1.5
 CONTINUE, TURN_COST, HOPE_BLIND, HOPE_CLEAR = 0.75, 0.0667, 0.2, 0.8
 #: At most nine lists of ten can be excluded before the last turn, so the first hundred of a pool decide every list.
 HEAD = TOP_K * dlg.TURNS
@@ -26,65 +30,107 @@ def conversations(sessions: DataFrame) -> DataFrame:
     return sessions.withColumn("conv", F.md5(F.to_json(F.struct(*stated))))
 
 
-def strengths(stated: DataFrame, index: DataFrame, item_pairs: DataFrame) -> DataFrame:
+def strengths(stated: DataFrame, index: DataFrame, item_pairs: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
     """(category, text, attribute, value, parent_asin, gain): what a constraint says for an item of the category beyond what it says
     for items that it does not match.
 
-    The best of an exact, an attribute and a lexical match, and the best overlap with a card string that is not an exact match.
+    The best of an exact, an attribute and a lexical match, and the best overlap with a card string that is not an exact match, as far as
+    the settings let them count.
     """
     key = ["category", "text", "attribute", "value"]
     texts = stated.select("category", "text").distinct()
-    base = ev.bounded(F.lit(0.0))
-    lexical = ev.overlap(texts, index, "category").select("category", "text", "parent_asin", (F.col("share") * ev.LEXICAL_GAIN / ev.EXACT_GAIN).alias("s"))
-    by_text = ev.exact(texts, index, "category").withColumn("s", F.lit(1.0)).unionByName(lexical)
-    pairs = item_pairs.join(index.select("parent_asin", "category"), "parent_asin")
-    by_pair = stated.join(pairs, ["category", "attribute", "value"]).select(*key, "parent_asin", F.lit(ev.ATTRIBUTE_GAIN / ev.EXACT_GAIN).alias("s"))
-    direct = stated.join(by_text, ["category", "text"]).select(*key, "parent_asin", "s").unionByName(by_pair).groupBy(*key, "parent_asin").agg(F.max("s").alias("s"))
-    direct = direct.select(*key, "parent_asin", (ev.bounded(F.col("s")) - base).alias("gain"))
-    card = ev.softcard(texts, index, "category").select("category", "text", "parent_asin", (ev.bounded(F.col("best"), CARD_GAIN) - ev.bounded(F.lit(0.0), CARD_GAIN)).alias("gain"))
-    both = direct.unionByName(stated.join(card, ["category", "text"]).select(*key, "parent_asin", "gain"))
-    return both.groupBy(*key, "parent_asin").agg(F.sum("gain").alias("gain"))
-
-
-def weight_at(turn: int) -> Column:
+    bounded = lambda s: ev.bounded(s, settings.exact_gain)
+    found = []
+    if settings.exact:
+        found.append(stated.join(ev.exact(texts, index, "category").withColumn("s", F.lit(1.0)), ["category", "text"]))
+    if settings.lexical:
+        share = (F.col("share") * ev.LEXICAL_GAIN / ev.EXACT_GAIN).alias("s")
+        found.append(stated.join(ev.overlap(texts, index, "category").select("category", "text", "parent_asin", share), ["category", "text"]))
+    if settings.attribute:
+        pairs = item_pairs.join(index.select("parent_asin", "category"), "parent_asin")
+        found.append(stated.join(pairs, ["category", "attribute", "value"]).withColumn("s", F.lit(ev.ATTRIBUTE_GAIN / ev.EXACT_GAIN)))
+    gains = []
+    if found:
+        rows = [f.select(*key, "parent_asin", "s") for f in found]
+        direct = reduce(DataFrame.unionByName, rows).groupBy(*key, "parent_asin").agg(F.max("s").alias("s"))
+        gains.append(direct.select(*key, "parent_asin", (bounded(F.col("s")) - bounded(F.lit(0.0))).alias("gain")))
+    if settings.soft_card_gain > 0:
+        soft = lambda s: ev.bounded(s, settings.soft_card_gain)
+        card = ev.softcard(texts, index, "category", floor=settings.soft_card_floor)
+        card = card.select("category", "text", "parent_asin", (soft(F.col("best")) - soft(F.lit(0.0))).alias("gain"))
+        gains.append(stated.join(card, ["category", "text"]).select(*key, "parent_asin", "gain"))
+    if not gains:
+        return stated.select(*key, F.lit(None).cast("string").alias("parent_asin"), F.lit(0.0).alias("gain")).where("false")
+    return reduce(DataFrame.unionByName, gains).groupBy(*key, "parent_asin").agg(F.sum("gain").alias("gain"))
+
+
+def weight_at(turn: int, erase: str = "demote") -> Column:
     """The weight of a constraint (turn, demoted_turn) at a later turn, 0 before its own."""
     demoted = (F.col("turn") <= 1) & (F.coalesce("demoted_turn", F.lit(99)) <= turn)
-    w = F.pow(F.lit(dlg.DECAY), F.lit(turn) - F.col("turn")) * F.when(demoted, dlg.DEMOTED).otherwise(1.0)
+    w = F.pow(F.lit(dlg.DECAY), F.lit(turn) - F.col("turn")) * F.when(demoted, dlg.retired(erase)).otherwise(1.0)
     return F.when(F.col("turn") <= turn, w).otherwise(0.0)
 
 
-def heads(held: DataFrame, read: DataFrame, pool: DataFrame, index: DataFrame, item_pairs: DataFrame) -> DataFrame:
+def said_terms(held: DataFrame, read: DataFrame) -> DataFrame:
+    """(sample_id, term, since): the terms of a session's query, its category and all that it holds, and the turn from which each is in it."""
+    texts = held.select("sample_id", "turn", "text").unionByName(read.where("category is not null").select("sample_id", "turn", F.col("category").alias("text")))
+    return texts.select("sample_id", "turn", F.explode(F.array_distinct(tx.terms(F.col("text")))).alias("term")).groupBy("sample_id", "term").agg(F.min("turn").alias("since"))
+
+
+def lexical_sums(held: DataFrame, read: DataFrame, categories: DataFrame, index: DataFrame, settings: Settings) -> DataFrame:
+    """(sample_id, opener, parent_asin, e1..e10): the share of the query's ceiling that each item of the pools' categories reaches, times the gain.
+
+    The query grows with the turns, so one pass over terms gives all ten: a term counts from the turn on that first said it.
+    """
+    docs = index.select(F.col("parent_asin").alias("doc_id"), F.col("lexical_text").alias("text"))
+    parts, idf = ev.bm25_parts(docs, settings.bm25_k1, settings.bm25_b)
+    terms = said_terms(held, read)
+    known = terms.join(idf, "term")
+    upto = lambda value, t: F.sum(F.when(F.col("since") <= t, value).otherwise(0.0))
+    ceilings = known.groupBy("sample_id").agg(*[upto(F.col("idf"), t).alias(f"c{t}") for t in range(1, dlg.TURNS + 1)])
+    rows = known.join(categories, "sample_id").join(parts.join(index.select(F.col("parent_asin").alias("doc_id"), "category"), "doc_id"), ["term", "category"])
+    sums = rows.groupBy("sample_id", "opener", F.col("doc_id").alias("parent_asin")).agg(*[upto(F.col("part"), t).alias(f"s{t}") for t in range(1, dlg.TURNS + 1)])
+    share = lambda t: F.when(F.col(f"c{t}") > 0, F.least(F.lit(1.0), F.col(f"s{t}") / F.col(f"c{t}"))).otherwise(0.0)
+    return sums.join(ceilings, "sample_id").select("sample_id", "opener", "parent_asin", *[(settings.bm25_gain * share(t)).alias(f"e{t}") for t in range(1, dlg.TURNS + 1)])
+
+
+def heads(held: DataFrame, read: DataFrame, pool: DataFrame, index: DataFrame, item_pairs: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
     """(sample_id, turn, head): the first HEAD items (pool_pos, parent_asin) of each turn by evidence, ties by place in the pool.
 
     Constraints meet items within the categories of their own pools only, by equality of category and wording.
     """
+    turns = range(1, dlg.TURNS + 1)
     openers = read.where("turn = 1").select("sample_id", F.col("message").alias("opener"))
     said = held.join(dlg.overrides(read), "sample_id", "left").join(openers, "sample_id")
     categories = pool.join(index.select("parent_asin", "category"), "parent_asin").select("opener", "category").distinct()
     said = said.join(categories, "opener")
     key = ["category", "text", "attribute", "value"]
-    found = said.join(strengths(said.select(*key).distinct(), index, item_pairs), key)
-    sums = found.groupBy("sample_id", "opener", "parent_asin").agg(*[F.sum(F.col("gain") * weight_at(t)).alias(f"e{t}") for t in range(1, dlg.TURNS + 1)])
+    found = said.join(strengths(said.select(*key).distinct(), index, item_pairs, settings), key)
+    sums = found.groupBy("sample_id", "opener", "parent_asin").agg(*[F.sum(F.col("gain") * weight_at(t, settings.erase)).alias(f"e{t}") for t in turns])
+    if settings.bm25_gain > 0:
+        lexical = lexical_sums(held, read, openers.join(categories, "opener"), index, settings)
+        sums = sums.unionByName(lexical).groupBy("sample_id", "opener", "parent_asin").agg(*[F.sum(f"e{t}").alias(f"e{t}") for t in turns])
     known = sums.join(pool, ["opener", "parent_asin"])
-    fill = openers.join(pool.where(F.col("pool_pos") < HEAD), "opener").select("sample_id", "parent_asin", "pool_pos", *[F.lit(0.0).alias(f"e{t}") for t in range(1, dlg.TURNS + 1)])
-    rows = known.select(*fill.columns).unionByName(fill).groupBy("sample_id", "parent_asin", "pool_pos").agg(*[F.max(f"e{t}").alias(f"e{t}") for t in range(1, dlg.TURNS + 1)])
-    rows = rows.select("sample_id", "parent_asin", "pool_pos", F.posexplode(F.array(*[F.round(f"e{t}", 9) for t in range(1, dlg.TURNS + 1)])).alias("turn", "e"))
+    fill = openers.join(pool.where(F.col("pool_pos") < HEAD), "opener").select("sample_id", "parent_asin", "pool_pos", *[F.lit(0.0).alias(f"e{t}") for t in turns])
+    rows = known.select(*fill.columns).unionByName(fill).groupBy("sample_id", "parent_asin", "pool_pos").agg(*[F.max(f"e{t}").alias(f"e{t}") for t in turns])
+    rows = rows.select("sample_id", "parent_asin", "pool_pos", F.posexplode(F.array(*[F.round(f"e{t}", 9) for t in turns])).alias("turn", "e"))
     order = Window.partitionBy("sample_id", "turn").orderBy(F.desc("e"), "pool_pos")
     rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= HEAD)
     head = F.transform(F.sort_array(F.collect_list(F.struct("rank", "pool_pos", "parent_asin"))), lambda x: F.struct(x["pool_pos"].alias("pool_pos"), x["parent_asin"].alias("parent_asin")))
     return rows.groupBy("sample_id", (F.col("turn") + 1).alias("turn")).agg(head.alias("head"))
 
 
-def depth_by_utility(stalls: Column, hope: Column) -> Column:
+def depth_by_utility(stalls: Column, hope: Column, go_on: Column, cost: Column) -> Column:
     """The longest list whose last place is worth more than going on: the largest k with 1 / k above the horizon, at most TOP_K."""
-    horizon = F.greatest(F.lit(0.0), CONTINUE * F.pow(hope, stalls) - TURN_COST)
+    horizon = F.greatest(F.lit(0.0), go_on * F.pow(hope, stalls) - cost)
     return F.aggregate(F.sequence(F.lit(1), F.lit(TOP_K)), F.lit(0), lambda best, k: F.when(1.0 / k > horizon, k).otherwise(best))
 
 
-def policy(read: DataFrame, stalls: DataFrame) -> DataFrame:
+def policy(read: DataFrame, stalls: DataFrame, configs: DataFrame | None = None) -> DataFrame:
     """(sample_id, turn, stalls, depth, all_ranked, proven): how long each turn's list is, and whether surviving it proves it wrong.
 
     Silence before a known override, all that is left at the last turn, else by utility; blind turns (no sentence read so far) lose hope fast.
+    ``configs`` has a row of settings per named configuration; the result is then for each, with its name.
     """
     upto = Window.partitionBy("sample_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     df = read.select("sample_id", "turn", "kind", "category", "route").join(stalls.select("sample_id", "turn", "stalls"), ["sample_id", "turn"])
@@ -92,23 +138,30 @@ def policy(read: DataFrame, stalls: DataFrame) -> DataFrame:
     df = df.withColumn("route", F.coalesce(F.first("route", ignorenulls=True).over(upto), F.lit("browsing")))
     df = df.withColumn("known", F.count("category").over(upto) > 0)
     df = df.withColumn("blind", (F.sum((F.col("kind") != "other").cast("int")).over(upto) == 0) & (F.col("turn") >= 2))
-    silent = (F.col("route") == "override") & ~F.col("seen") & (F.col("turn") < DEADLINE)
+    if configs is not None:
+        df = df.crossJoin(configs)
+    setting = lambda name, value: F.col(name) if configs is not None else F.lit(value)
+    silent = (F.col("route") == "override") & ~F.col("seen") & (F.col("turn") < setting("deadline", DEADLINE))
     last = F.col("turn") >= dlg.TURNS
-    hope = F.when(F.col("blind"), HOPE_BLIND).otherwise(HOPE_CLEAR)
-    depth = F.when(silent, 0).when(last, TOP_K).otherwise(depth_by_utility(F.col("stalls"), hope))
+    hope = F.when(F.col("blind"), setting("stall_decay", HOPE_BLIND)).otherwise(setting("stall_decay_clean", HOPE_CLEAR))
+    worth = depth_by_utility(F.col("stalls"), hope, setting("v_continue", CONTINUE), setting("turn_cost", TURN_COST))
+    depth = F.when(silent, 0).when(last, TOP_K).otherwise(worth)
     proven = F.when(F.col("turn") >= SETTLED, True).when(~F.col("known") | F.col("blind"), False).otherwise((F.col("route") != "override") | F.col("seen"))
-    return df.select("sample_id", "turn", "stalls", depth.alias("depth"), (last & ~silent).alias("all_ranked"), proven.alias("proven"))
+    proven = proven & setting("exclude_shipped", True)
+    name = ["config"] if configs is not None else []
+    return df.select(*name, "sample_id", "turn", "stalls", depth.alias("depth"), (last & ~silent).alias("all_ranked"), proven.alias("proven"))
 
 
 def played(heads: DataFrame, policy: DataFrame, pool_sizes: DataFrame) -> DataFrame:
-    """(sample_id, turn, shipped): the list of each turn. One fold over ten bounded turns per conversation.
+    """(sample_id, turn, shipped, internal): the list of each turn, and the first ten of its order whether shipped or not. One fold over ten bounded turns per conversation.
 
     What was shipped on a turn that proves it wrong is left out of later lists, unless that leaves nothing; at the last turn it follows the rest.
     """
     turns = heads.join(policy, ["sample_id", "turn"]).groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("turn", "depth", "all_ranked", "proven", "head"))).alias("turns"))
     turns = turns.join(pool_sizes, "sample_id")
     item = "struct<pool_pos:bigint,parent_asin:string>"
-    start = F.struct(F.array().cast(f"array<{item}>").alias("out"), F.array().cast(f"array<array<{item}>>").alias("lists"))
+    pair = f"struct<ship:array<{item}>,own:array<{item}>>"
+    start = F.struct(F.array().cast(f"array<{item}>").alias("out"), F.array().cast(f"array<{pair}>").alias("lists"))
 
     def step(acc: Column, t: Column) -> Column:
         out = F.when(F.size(acc["out"]) < F.col("n_pool"), acc["out"]).otherwise(F.array().cast(f"array<{item}>"))
@@ -116,15 +169,17 @@ def played(heads: DataFrame, policy: DataFrame, pool_sizes: DataFrame) -> DataFr
         ranked = F.when(t["all_ranked"], F.concat(left, F.array_sort(out))).otherwise(left)
         ship = F.slice(ranked, F.lit(1), t["depth"])
         gone = F.when(t["proven"], F.array_distinct(F.concat(acc["out"], ship))).otherwise(acc["out"])
-        return F.struct(gone.alias("out"), F.concat(acc["lists"], F.array(ship)).alias("lists"))
+        shown = F.struct(ship.alias("ship"), F.slice(ranked, 1, TOP_K).alias("own")).cast(pair)
+        return F.struct(gone.alias("out"), F.concat(acc["lists"], F.array(shown)).alias("lists"))
 
     lists = F.aggregate("turns", start, step)["lists"]
-    return turns.select("sample_id", F.posexplode(lists).alias("turn", "list")).select("sample_id", (F.col("turn") + 1).alias("turn"), F.col("list.parent_asin").alias("shipped"))
+    each = turns.select("sample_id", F.posexplode(lists).alias("turn", "list"))
+    return each.select("sample_id", (F.col("turn") + 1).alias("turn"), F.col("list.ship.parent_asin").alias("shipped"), F.col("list.own.parent_asin").alias("internal"))
 
 
 def results(sessions: DataFrame, shipped: DataFrame) -> DataFrame:
     """Per session: the first turn whose list holds the target, once any override is out, and the reciprocal rank there."""
-    lists = shipped.withColumnRenamed("sample_id", "conv")
+    lists = shipped.select(F.col("sample_id").alias("conv"), "turn", "shipped")
     df = sessions.select("conv", "sample_id", "scenario_type", "override_turn", "parent_asin").join(lists, "conv")
     open_ = (F.col("scenario_type") != "intent_override") | (F.col("turn") >= F.col("override_turn"))
     df = df.withColumn("rank", F.array_position("shipped", F.col("parent_asin"))).withColumn("on", open_ & (F.col("rank") > 0))

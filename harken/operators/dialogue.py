@@ -130,18 +130,26 @@ def parsed(messages: DataFrame, message: str = "message") -> DataFrame:
     return df.withColumn("category", category).withColumn("route", route).withColumn("texts", texts)
 
 
-def constraints(read: DataFrame) -> DataFrame:
+def constraints(read: DataFrame, erase: str = "demote") -> DataFrame:
     """(sample_id, turn, part, reading, text, attribute, value): readings of all texts less what was said before.
 
-    A first reading stays if its text is new to the session; a further one if no earlier row has its attribute and value.
+    A first reading stays if its text is new to the session; a further one if no earlier row has its attribute and value. Where an override
+    deletes (``erase``), a text of the first turn that is said again after it is new again.
     """
     each = read.select("sample_id", "turn", F.posexplode_outer("texts").alias("part", "text")).where("text is not null")
     readings = each.select("text").distinct().select("text", F.posexplode_outer(tx.pairs(F.col("text"))).alias("reading", "p")).where("p is not null")
     each = each.join(readings.select("text", "reading", "p.attribute", "p.value"), "text")  # each distinct text is read once
     order = ["turn", "part", "reading"]
-    by_text = Window.partitionBy("sample_id", F.col("reading") == 0, "text").orderBy(*order)
+    by_text = ["sample_id", F.col("reading") == 0, "text"]
     by_value = Window.partitionBy("sample_id", "attribute", "value").orderBy(*order)
-    df = each.withColumn("_t", F.row_number().over(by_text)).withColumn("_v", F.row_number().over(by_value))
+    df = each.withColumn("_v", F.row_number().over(by_value))
+    if erase == "delete":
+        df = df.join(overrides(read), "sample_id", "left").withColumn("_late", F.coalesce(F.col("turn") >= F.col("demoted_turn"), F.lit(False)))
+        df = df.withColumn("_t", F.row_number().over(Window.partitionBy(*by_text, "_late").orderBy(*order)))
+        first = F.min("turn").over(Window.partitionBy(*by_text))
+        df = df.withColumn("_t", F.when(F.col("_late") & (first > 1) & (first < F.col("demoted_turn")), F.lit(2)).otherwise(F.col("_t")))
+    else:
+        df = df.withColumn("_t", F.row_number().over(Window.partitionBy(*by_text).orderBy(*order)))
     return df.where(F.when(F.col("reading") == 0, F.col("_t") == 1).otherwise(F.col("_v") == 1)).select("sample_id", "turn", "part", "reading", "text", "attribute", "value")
 
 
@@ -149,11 +157,24 @@ def overrides(read: DataFrame) -> DataFrame:
     return read.where("kind = 'override'").groupBy("sample_id").agg(F.min("turn").alias("demoted_turn"))
 
 
-def weights(held: DataFrame, read: DataFrame) -> DataFrame:
-    """The weight of every constraint at every turn from its own on: decay, and demotion of the first turn's by an override."""
+def retired(erase: str = "demote") -> float:
+    """What is left of a constraint's weight once an override retires it: some of it, nothing, or all."""
+    return {"demote": DEMOTED, "delete": 0.0, "keep": 1.0}[erase]
+
+
+def weights(held: DataFrame, read: DataFrame, erase: str = "demote") -> DataFrame:
+    """The weight of every constraint at every turn from its own on: decay, and what an override does to the first turn's.
+
+    Rows may have confidence and strength (hard or soft); a soft one weighs SOFT of a hard one. A deleted one has no row from the override on.
+    """
     df = held.join(overrides(read), "sample_id", "left").select("*", F.explode(F.sequence("turn", F.lit(TURNS))).alias("at_turn"))
     demoted = (F.col("turn") <= 1) & (F.coalesce("demoted_turn", F.lit(99)) <= F.col("at_turn"))
-    weight = F.pow(F.lit(DECAY), F.col("at_turn") - F.col("turn")) * F.when(demoted, DEMOTED).otherwise(1.0)
+    weight = F.pow(F.lit(DECAY), F.col("at_turn") - F.col("turn")) * F.when(demoted, retired(erase)).otherwise(1.0)
+    if "strength" in held.columns:
+        weight = weight * F.when(F.col("strength") == "soft", SOFT).otherwise(1.0)
+    if "confidence" in held.columns:
+        weight = weight * F.col("confidence")
+    df = df.where(~demoted) if erase == "delete" else df
     return df.select("sample_id", "at_turn", "turn", "part", "reading", "text", "attribute", "value", weight.alias("weight"))
 
 

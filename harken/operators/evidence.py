@@ -48,18 +48,23 @@ def softcard(texts: DataFrame, index: DataFrame, *also: str, floor: float = FLOO
     return best.where(F.col("best") >= floor).join(exact(texts, index, *also), ["text", "parent_asin"], "left_anti")
 
 
-def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, strength): Okapi BM25 over (doc_id, text), as a share of the query's ceiling, of every document with a positive score."""
+def bm25_parts(docs: DataFrame, k1: float = K1, b: float = B) -> tuple[DataFrame, DataFrame]:
+    """(term, doc_id, part): what a term of a document (doc_id, text) adds to a query's score, and (term, idf)."""
     bags = docs.select("doc_id", tx.terms(F.coalesce("text", F.lit(""))).alias("bag"))
     sizes = bags.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.greatest(F.size("bag"), F.lit(1))).alias("avg_len"))  # one row
     tf = bags.select("doc_id", F.greatest(F.size("bag"), F.lit(1)).alias("len"), F.explode("bag").alias("term")).groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    want = queries.select("query_id", F.explode(F.array_distinct(tx.terms(F.coalesce("text", F.lit(""))))).alias("term"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(sizes))
-    idf = df.select("term", "avg_len", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    want = want.join(idf, "term")
+    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(sizes))
+    idf = idf.select("term", "avg_len", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    return tf.join(idf, "term").select("term", "doc_id", part.alias("part")), idf.select("term", "idf")
+
+
+def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, strength): Okapi BM25 over (doc_id, text), as a share of the query's ceiling, of every document with a positive score."""
+    parts, idf = bm25_parts(docs)
+    want = queries.select("query_id", F.explode(F.array_distinct(tx.terms(F.coalesce("text", F.lit(""))))).alias("term")).join(idf, "term")
     ceiling = want.groupBy("query_id").agg(F.sum("idf").alias("ceiling"))
-    gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    score = want.join(tf, "term").groupBy("query_id", "doc_id").agg(F.sum(gain).alias("score")).join(ceiling, "query_id")
+    score = want.select("query_id", "term").join(parts, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score")).join(ceiling, "query_id")
     return score.select("query_id", "doc_id", F.round(F.least(F.lit(1.0), F.col("score") / F.col("ceiling")), 6).alias("strength"))
 
 

@@ -178,11 +178,11 @@ scored AS (SELECT c, at_turn, parent_asin, sum(weight * g) AS e FROM weighed JOI
 placed AS (SELECT v.c, t::INT AS turn, p.parent_asin, p.pool_pos, coalesce(round(e, 9), 0) AS e FROM convs v JOIN pool p USING (opener) CROSS JOIN range(1, 11) r(t) LEFT JOIN scored s ON s.c = v.c AND s.at_turn = t AND s.parent_asin = p.parent_asin),
 tops AS (SELECT c, turn, list(pool_pos ORDER BY e DESC, pool_pos) AS head, max(n_pool) AS n_pool FROM (SELECT *, row_number() OVER (PARTITION BY c, turn ORDER BY e DESC, pool_pos) AS rank, count(*) OVER (PARTITION BY c, turn) AS n_pool FROM placed) WHERE rank <= 100 GROUP BY 1, 2),
 steps AS MATERIALIZED (SELECT * FROM tops JOIN depths USING (c, turn)),
-lists(c, turn, gone, shipped) AS (
-  SELECT c, 0, CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) FROM (SELECT DISTINCT c FROM steps)
+lists(c, turn, gone, shipped, own) AS (
+  SELECT c, 0, CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) FROM (SELECT DISTINCT c FROM steps)
   UNION ALL
-  SELECT c, turn, CASE WHEN proven THEN list_distinct(gone || ship) ELSE gone END, ship FROM (
-    SELECT s.c, s.turn, l.gone, s.proven, CASE WHEN len(l.gone) < s.n_pool THEN (list_filter(s.head, lambda x: NOT list_contains(l.gone, x)) || CASE WHEN s.turn = 10 THEN list_sort(l.gone) ELSE CAST([] AS BIGINT[]) END)[1:s.depth] ELSE s.head[1:s.depth] END AS ship
+  SELECT c, turn, CASE WHEN proven THEN list_distinct(gone || ranked[1:depth]) ELSE gone END, ranked[1:depth], ranked[1:10] FROM (
+    SELECT s.c, s.turn, l.gone, s.proven, s.depth, CASE WHEN len(l.gone) < s.n_pool THEN list_filter(s.head, lambda x: NOT list_contains(l.gone, x)) || CASE WHEN s.turn = 10 THEN list_sort(l.gone) ELSE CAST([] AS BIGINT[]) END ELSE s.head END AS ranked
     FROM lists l JOIN steps s ON s.c = l.c AND s.turn = l.turn + 1)),
 named AS (SELECT c, turn, list(parent_asin ORDER BY spot) AS names FROM (SELECT c, turn, unnest(shipped) AS pool_pos, generate_subscripts(shipped, 1) AS spot FROM lists) JOIN convs USING (c) JOIN pool USING (opener, pool_pos) GROUP BY 1, 2),
 shown AS (SELECT c, turn, coalesce(names, CAST([] AS VARCHAR[])) AS shipped FROM lists LEFT JOIN named USING (c, turn) WHERE turn > 0),

@@ -13,6 +13,7 @@ from harken.operators import catalog as cat
 from harken.operators import category as ctg
 from harken.operators import dialogue as dlg
 from harken.operators import evidence as ev
+from harken.operators import experiments as ex
 from harken.operators import scoring as sc
 from harken.operators import vocabulary as voc
 from harken.sources import views
@@ -302,7 +303,7 @@ def bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
 
 
 def bootstrap_score_ci(s: SparkSession, d: str) -> DataFrame:
-    return sc.bootstrap_score(bf.results(*_shipped(s, d)))
+    return ex.interval_row(s, ex.bootstrap_score(bf.results(*_shipped(s, d))), ["low", "high"])
 
 
 QUERIES: dict[str, Query] = {

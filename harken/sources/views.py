@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harken.functions.numbering import placed
@@ -77,3 +77,46 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     scenario = F.when(r < 8, "buying").when(r < 16, "browsing").when(r < 19, "intent_override").otherwise("boundary")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id"))
     return orders.join(target, "sample_id").select("sample_id", "target_pos", scenario.alias("scenario_type"), (3 + F.col("sample_id") % 2).cast("int").alias("override_turn"))
+
+
+def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sample_id, turn, message): what users said in the conversations, their turns numbered from 1."""
+    said = table(spark, sf_dir, "conversations").where("role = 'user'")
+    turn = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    return said.select(F.col("conv_id").alias("sample_id"), turn.alias("turn"), F.coalesce("text", F.lit("")).alias("message"))
+
+
+def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposals made of order lines: known and unknown words, sure and unsure ones, alone and in groups."""
+    k, s = F.col("l_partkey"), F.col("l_suppkey")
+    word, other = pick(MATERIALS, k % 9), pick(MATERIALS, s % 9)
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("session_id"),
+        (1 + F.col("l_linenumber") % 3).cast("int").alias("turn"),
+        F.col("l_linenumber").cast("int").alias("ord"),
+        F.concat(F.lit("I would like "), word, F.lit(" or  "), other, F.lit(", please")).alias("message"),
+        pick(("add", "Replace", "remove", "confirm", "no_preference", "explode"), s % 6).alias("op"),
+        pick(("material", "material", "material", "feature", "shape"), k % 5).alias("attribute"),
+        F.when(s % 7 == 0, "").when(s % 7 == 1, F.concat(F.lit(" "), word, F.lit("."))).when(s % 7 == 2, other).otherwise(word).alias("value"),
+        F.when(k % 11 == 0, "something else").when(k % 11 == 1, "").otherwise(F.upper(word)).alias("evidence"),
+        F.when(k % 13 == 0, "avoid").when(k % 13 == 1, None).otherwise("require").alias("polarity"),
+        F.when(s % 5 == 0, "soft").when(s % 17 == 1, "loud").otherwise("hard").alias("strength"),
+        (F.col("l_discount") * 10).alias("confidence"),
+        F.when(k % 3 == 0, "G 1").otherwise("").alias("group"),
+    )
+
+
+def labelled(spark: SparkSession, sf_dir: str, index: DataFrame) -> DataFrame:
+    """The samples as rows of a set of sessions that states cards and behaviour, a third with a free-form opener."""
+    df = samples(spark, sf_dir).join(index.select(F.col("cat_pos").alias("target_pos"), "parent_asin", "title", "hard", "soft"), "target_pos")
+    new = F.get("hard", F.lit(0))
+    change = F.struct(F.col("override_turn").alias("turn"), F.try_element_at("soft", F.lit(-1)).alias("old_value"), new.alias("new_value"), F.concat(F.lit("Actually, ignore my earlier preference. What I need is: "), new, F.lit(".")).alias("message"))
+    behavior = F.struct("scenario_type", F.when(F.col("scenario_type") == "intent_override", change).alias("override"))
+    return df.select(
+        F.col("sample_id").cast("string").alias("sample_id"),
+        "scenario_type",
+        F.struct("parent_asin").alias("ground_truth"),
+        F.struct(F.col("title").alias("target_category"), F.col("hard").alias("hard_constraints"), F.col("soft").alias("soft_preferences")).alias("intent_card"),
+        behavior.alias("behavior"),
+        F.when(F.col("sample_id") % 3 == 0, F.struct(F.concat(F.lit("after some "), F.col("title")).alias("initial_message"))).alias("free_form"),
+    )

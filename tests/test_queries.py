@@ -3,11 +3,12 @@
 import duckdb
 import pytest
 
-from harken.plans.oracle import ORACLE
-from harken.plans.queries import QUERIES
+from harken.plans import extended, extended_oracle, oracle, queries
+
+ORACLE, QUERIES = oracle.ORACLE | extended_oracle.ORACLE, queries.QUERIES | extended.QUERIES
 
 DIR = "/root/testdata/sf0.001"
-TABLES = "customer supplier part orders lineitem documents benchmark labels conversations".split()
+TABLES = "customer supplier part orders lineitem documents benchmark labels conversations events".split()
 
 
 def rows(found):
@@ -116,17 +117,16 @@ def test_bootstrap_of_the_score(spark):
     """The interval of the score against resampling sessions one by one."""
     import random
 
-    from harken.operators.scoring import bootstrap_score
+    from harken.operators.experiments import bootstrap_score
 
     rng = random.Random(2)
     data = [(True, t, 1.0 / rng.randint(1, 10)) if (t := rng.randint(1, 14)) <= 10 else (False, None, 0.0) for _ in range(60)]
-    got = bootstrap_score(spark.createDataFrame(data, "hit boolean, first_hit_turn int, reciprocal_rank double")).first()
+    low, high = bootstrap_score(spark.createDataFrame(data, "hit boolean, first_hit_turn int, reciprocal_rank double"))
     scores = []
     for _ in range(1000):
         pick = [rng.choice(data) for _ in data]
         hit, mrr, mttc = (sum(x) / len(data) for x in zip(*((h, r, 11 if t is None else t) for h, t, r in pick), strict=True))
         scores.append(0.5 * hit + 0.3 * mrr + 0.2 * max(0.0, min(1.0, (11 - mttc) / 10)))
     scores.sort()
-    assert abs(got.low - scores[25]) < 0.02 and abs(got.high - scores[975]) < 0.02
-    one = bootstrap_score(spark.createDataFrame([(True, 1, 0.5)], "hit boolean, first_hit_turn int, reciprocal_rank double")).first()
-    assert (one.low, one.high) == (0.85, 0.85)
+    assert abs(low - scores[25]) < 0.02 and abs(high - scores[975]) < 0.02
+    assert bootstrap_score(spark.createDataFrame([(True, 1, 0.5)], "hit boolean, first_hit_turn int, reciprocal_rank double")) == (0.85, 0.85)

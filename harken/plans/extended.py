@@ -16,7 +16,7 @@ from harken.operators import evidence as ev
 from harken.operators import experiments as ex
 from harken.operators import scoring as sc
 from harken.operators import vocabulary as voc
-from harken.plans.queries import Query, _conversations, _index, _openers, _per_session, _pool, _sessions, _shipped, _states, _texts
+from harken.plans.queries import Query, _concepts, _conversations, _index, _openers, _per_session, _pool, _sessions, _shipped, _states, _texts
 from harken.sources import views
 from harken.sources.registry import Settings
 from harken.sources.stages import staged, staged_path
@@ -73,7 +73,7 @@ def field_search(s: SparkSession, d: str) -> DataFrame:
 def reply_sentences(s: SparkSession, d: str) -> DataFrame:
     states = staged(_states(s, d), "states")
     route = dlg.parsed(states.select("opener").distinct(), "opener").select("opener", "route")
-    df = ev.entropy(states, _pool(s, d), _index(s, d)).join(route, "opener")
+    df = ev.entropy(states, _pool(s, d), staged(_index(s, d), "index")).join(route, "opener")
     return df.select("opener", "text", replies.sentence(F.when(F.col("route") == "override", 0).otherwise(1), F.col("entropy"), F.lit("other")).alias("message"))
 
 
@@ -97,12 +97,12 @@ def validated_proposals(s: SparkSession, d: str) -> DataFrame:
 
 def vocabulary_candidates(s: SparkSession, d: str) -> DataFrame:
     phrases = intent.validated(views.proposals(s, d)).select("attribute", F.col("value").alias("phrase"))
-    found = intent.vocabulary_candidates(phrases, staged(voc.concepts(_index(s, d)), "concepts"))
+    found = intent.vocabulary_candidates(phrases, _concepts(s, d))
     return found.select("attribute", "phrase", F.col("rank").cast("long").alias("rank"), "concept", "label", F.round("score", 6).alias("score"), "support")
 
 
 def applied_proposals(s: SparkSession, d: str) -> DataFrame:
-    found = staged(voc.concepts(_index(s, d)), "concepts")
+    found = _concepts(s, d)
     return transactions.applied(transactions.resolved(intent.validated(views.proposals(s, d)), found))
 
 
@@ -110,14 +110,14 @@ def ambiguity_mixtures(s: SparkSession, d: str) -> DataFrame:
     names = ("span", "text", "attribute", "value", "confidence", "polarity")
     rows = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, r, strict=True)]) for r in SPANS])
     index = staged(_index(s, d), "index")
-    found = intent.mixtures(s.range(1).select(F.explode(rows).alias("r")).select("r.*"), index, cat.item_pairs(index))
+    found = intent.mixtures(s.range(1).select(F.explode(rows).alias("r")).select("r.*"), index, staged(cat.item_pairs(index), "item-pairs"))
     return found.groupBy("span").agg(F.count(F.lit(1)).alias("n_items"), F.round(F.sum("gain"), 4).alias("total"))
 
 
 def polarity_gains(s: SparkSession, d: str) -> DataFrame:
     index = staged(_index(s, d), "index")
     said = _texts(s, d).select("text", F.explode_outer(tx.pairs(F.col("text"))).alias("p")).where("p is not null").select("text", "p.*")
-    found = intent.matches(staged(said, "readings"), index, cat.item_pairs(index))
+    found = intent.matches(staged(said, "readings"), index, staged(cat.item_pairs(index), "item-pairs"))
     require, avoid = (F.round(F.sum(intent.gain(F.col("s"), F.lit(p))), 3).alias(p) for p in ("require", "avoid"))
     return found.groupBy("text", "attribute", "value").agg(F.count(F.lit(1)).alias("n_items"), require, avoid)
 
@@ -133,7 +133,6 @@ def shipped_curve(s: SparkSession, d: str) -> DataFrame:
 
 def stopping_bound(s: SparkSession, d: str) -> DataFrame:
     sessions, lists = _shipped(s, d)
-    lists = staged(lists, "lists")
     return ex.stopping_bound(sessions, lists, bf.results(sessions, lists))
 
 
@@ -160,7 +159,7 @@ def config_depths(s: SparkSession, d: str) -> DataFrame:
 def config_sweep(s: SparkSession, d: str) -> DataFrame:
     sessions, read, held = _conversations(s, d)
     index, pool = staged(_index(s, d), "index"), _pool(s, d)
-    heads = staged(bf.heads(held, read, pool, index, cat.item_pairs(index)), "heads")
+    heads = staged(bf.heads(held, read, pool, index, staged(cat.item_pairs(index), "item-pairs")), "heads")
     sizes = pool.groupBy("opener").agg(F.count(F.lit(1)).alias("n_pool"))
     sizes = read.where("turn = 1").select("sample_id", F.col("message").alias("opener")).join(sizes, "opener").select("sample_id", "n_pool")
     results = ex.sweep(sessions, read, dlg.stalls(read, held), heads, sizes, ex.configurations(s, CONFIGS))

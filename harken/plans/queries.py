@@ -42,7 +42,11 @@ def _post(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pool(spark: SparkSession, d: str) -> DataFrame:
-    return staged(ctg.pool(_post(spark, d), _index(spark, d)), "pool")
+    return staged(ctg.pool(staged(_post(spark, d), "posterior"), _index(spark, d)), "pool")
+
+
+def _concepts(spark: SparkSession, d: str) -> DataFrame:
+    return staged(voc.concepts(staged(_index(spark, d), "index")), "concepts")
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +62,7 @@ def _states(spark: SparkSession, d: str) -> DataFrame:
 def _results(spark: SparkSession, d: str) -> DataFrame:
     """Sessions scored on the first turn's list; an override session cannot convert before its override."""
     sessions = _sessions(spark, d).select("sample_id", "scenario_type", "parent_asin", dlg.initial_message().alias("opener"))
-    heads = ev.ranked(_states(spark, d), _pool(spark, d), _index(spark, d)).select("opener", "rank", "parent_asin")
+    heads = ev.ranked(staged(_states(spark, d), "states"), _pool(spark, d), staged(_index(spark, d), "index")).select("opener", "rank", "parent_asin")
     df = sessions.join(heads, ["opener", "parent_asin"], "left")
     hit = F.col("rank").isNotNull() & (F.col("scenario_type") != "intent_override")
     return df.select("sample_id", "scenario_type", hit.alias("hit"), F.when(hit, 1).alias("first_hit_turn"), F.when(hit, 1.0 / F.col("rank")).otherwise(0.0).alias("reciprocal_rank"))
@@ -76,10 +80,10 @@ def _shipped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     sessions, read, held = _conversations(spark, d)
     index = staged(_index(spark, d), "index")
     pool = _pool(spark, d)
-    heads = bf.heads(held, read, pool, index, cat.item_pairs(index))
+    heads = bf.heads(held, read, pool, index, staged(cat.item_pairs(index), "item-pairs"))
     sizes = pool.groupBy("opener").agg(F.count(F.lit(1)).alias("n_pool"))
     sizes = read.where("turn = 1").select("sample_id", F.col("message").alias("opener")).join(sizes, "opener").select("sample_id", "n_pool")
-    return sessions, bf.played(heads, bf.policy(read, dlg.stalls(read, held)), sizes)
+    return sessions, staged(bf.played(staged(heads, "heads"), bf.policy(read, dlg.stalls(read, held)), sizes), "lists")
 
 
 def token_sets(s: SparkSession, d: str) -> DataFrame:
@@ -155,18 +159,18 @@ def category_of_phrase(s: SparkSession, d: str) -> DataFrame:
 
 
 def concept_labels(s: SparkSession, d: str) -> DataFrame:
-    return voc.representatives(staged(voc.concepts(_index(s, d)), "concepts"))
+    return voc.representatives(_concepts(s, d))
 
 
 def canonical_phrases(s: SparkSession, d: str) -> DataFrame:
-    return voc.canonical(cat.item_pairs(_index(s, d)).select("attribute", F.col("value").alias("phrase")).distinct(), staged(voc.concepts(_index(s, d)), "concepts"))
+    return voc.canonical(cat.item_pairs(staged(_index(s, d), "index")).select("attribute", F.col("value").alias("phrase")).distinct(), _concepts(s, d))
 
 
 def concept_support(s: SparkSession, d: str) -> DataFrame:
-    states = _states(s, d)
+    states = staged(_states(s, d), "states")
     read = states.select("text").distinct().select("text", F.explode(tx.pairs(F.col("text"))).alias("p")).select("text", "p.*")
     asked = states.join(read.join(voc.with_concepts(read), ["attribute", "value"]), "text").select("opener", "attribute", "concept").distinct()
-    return voc.support(asked, staged(voc.concepts(_index(s, d)), "concepts"), _pool(s, d))
+    return voc.support(asked, _concepts(s, d), _pool(s, d))
 
 
 def session_samples(s: SparkSession, d: str) -> DataFrame:
@@ -245,11 +249,11 @@ def bm25_all_scores(s: SparkSession, d: str) -> DataFrame:
 
 
 def ranked_topk(s: SparkSession, d: str) -> DataFrame:
-    return ev.ranked(_states(s, d), _pool(s, d), _index(s, d)).select("opener", "text", F.col("rank").cast("long").alias("rank"), "parent_asin", F.round("p", 6).alias("p"))
+    return ev.ranked(staged(_states(s, d), "states"), _pool(s, d), staged(_index(s, d), "index")).select("opener", "text", F.col("rank").cast("long").alias("rank"), "parent_asin", F.round("p", 6).alias("p"))
 
 
 def belief_entropy(s: SparkSession, d: str) -> DataFrame:
-    return ev.entropy(_states(s, d), _pool(s, d), _index(s, d))
+    return ev.entropy(staged(_states(s, d), "states"), _pool(s, d), staged(_index(s, d), "index"))
 
 
 def session_results(s: SparkSession, d: str) -> DataFrame:

@@ -65,6 +65,7 @@ class Settings:
     erase: str = "demote"
     exclude_shipped: bool = True
     v_continue: float = 0.75
+    turn_cost: float = 0.0667
     stall_decay: float = 0.2
     stall_decay_clean: float = 0.8
     deadline: int = 3

@@ -29,6 +29,34 @@ def quality(text):
     }
 
 
+def kept_by_rules(text, stop_words):
+    """The verdict of the quality rules: the base, then word length, symbols, repeated lines, stop words."""
+    m, words = quality(text), re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n = max(1, len(words))
+    stop = sum(w.rstrip(".,;:!?").lower() in stop_words for w in words)
+    return not m["base_failed"] and 1.5 <= m["word_chars"] / n <= 25 and m["n_symbols"] / n <= 0.3 and m["n_dup_lines"] <= 0.5 * max(1, len(lines)) and stop / n >= 0.005
+
+
+def one_of_each_class(rows):
+    """rows: (id, text). The ids of one row of each class of texts 0.8 alike or equal, over all pairs: that of the least id."""
+    bags, parent = [shingle_counts(t) for _, t in rows], list(range(len(rows)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if rows[i][1] == rows[j][1] or jaccard(bags[i], bags[j]) >= 0.8:
+                parent[top(i)] = top(j)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        least[top(i)] = min(least.get(top(i), k), k)
+    return set(least.values())
+
+
 def secrets(text):
     t = text or ""
     found = []

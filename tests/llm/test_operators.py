@@ -485,21 +485,70 @@ def test_beta_quantiles():
         assert high[0] - 2e-5 <= low <= high[1] + 2e-5
 
 
-def test_pipeline(spark):
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def corpus(rng, n=400):
+    """Clean documents of four sources, copies of all degrees, rejected ones, and ones that quote an item."""
+    words = [w for w in BASE.split()] + ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 8))) for _ in range(600)]
+    text = lambda k: " ".join(rng.choice(words) if rng.random() < 0.9 else "the" for _ in range(k))
+    rows, items = [], [text(14) for _ in range(3)]
+    for _ in range(n):
+        t = text(rng.randint(30, 90))
+        kind = rng.random()
+        if kind < 0.25 and rows:
+            t = rng.choice(rows)[1] or t
+            if kind < 0.15:
+                parts = t.split()
+                for _ in range(rng.randint(1, 6)):
+                    parts[rng.randrange(len(parts))] = rng.choice(words)
+                t = " ".join(parts)
+        elif kind < 0.3:
+            t = rng.choice([None, "", "too short", "one two three four five " * 9, "#$%& " * 30, "zq " * 40])
+        elif kind < 0.4:
+            at = rng.randrange(len(t.split()))
+            t = " ".join([*t.split()[:at], rng.choice(items), *t.split()[at:]])
+        rows.append((len(rows), t, "en", rng.choice(["a", "a", "a", "b", "c", None]), 0))
+    return rows, items
+
+
+def test_pipeline_against_stages_one_by_one(spark, tmp_path):
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{DIR}/documents.parquet")
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
-    kept = {r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, DIR).collect()}
-    assert not any(brute.quality(texts[i])["base_failed"] for i in kept)
-    clean = {r.doc_id for r in corpus_pipeline.decontamination(spark, docs, DIR).collect()}
-    assert clean == {i for i, t in texts.items() if not brute.contamination(t, bench)[-1]}
-    out = corpus_pipeline.run(spark, DIR).collect()
-    assert {r.doc_id for r in out} <= kept & clean
+    rows, items = corpus(random.Random(12))
+    spark.createDataFrame(rows, COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = [(i, t, s) for i, t, _, s, _ in rows if brute.kept_by_rules(t, quality.STOP_WORDS)]
+    assert {r.doc_id for r in corpus_pipeline.quality_rules(spark, spark.createDataFrame(rows, COLUMNS), str(tmp_path)).collect()} == {i for i, *_ in left}
+    kept = brute.one_of_each_class([(i, t) for i, t, _ in left])
+    assert 0 < len(left) - len(kept) < len(left) / 2
+    bench = list(enumerate(items))
+    clean = [(i, t, s) for i, t, s in left if i in kept and not brute.contamination(t, bench)[-1]]
+    assert 0 < len(kept) - len(clean) < len(kept) / 2
+    copies = {i: n for i, (_, _, n, _) in brute.mixed_copies(clean, 7919, mixing.BLOCK_ROWS).items()}
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    found = {}
+    for r in out:
+        found[r.doc_id] = found.get(r.doc_id, 0) + 1
+    assert found == {i: n for i, n in copies.items() if n}
     assert sorted((r.shard, r.slot) for r in out) == sorted((p % 8, p // 8) for p in range(len(out)))
 
 
+def test_pipeline_stages_on_hard_tables(spark, tmp_path):
+    """Each stage on no rows, and on null and empty texts, null ids and sources, and repeated rows."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, BASE), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, None, None, None, None), (None, "", "en", None, 0), (2, "kept " + " ".join(f"the w{i}" for i in range(40)), "en", "a", 1), (2, "kept " + " ".join(f"the w{i}" for i in range(40)), "en", "a", 1), (3, BASE, "en", "b", 1)]
+    want = {"quality rules": 3, "near-duplicates": 4, "decontamination": 4}
+    for name, stage in corpus_pipeline.STAGES:
+        for n in (0, len(rows)):
+            df = spark.createDataFrame(rows[:n], COLUMNS)
+            got = stage(spark, df, str(tmp_path))
+            assert name == "sharding" or got.columns == df.columns
+            assert got.count() == (0 if not n else want.get(name, got.count()))
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_queries_against_sql(spark, name, tmp_path):
     """On the given tables, and on the hard rows, with items of one to twelve words that occur in them."""

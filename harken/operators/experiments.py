@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,6 +123,15 @@ def proposals(history: list[dict], space: dict[str, tuple[float, float]], batch:
     return out
 
 
+def search(evaluate: Callable[[list[dict]], list[float]], space: dict[str, tuple[float, float]], rounds: int = 4, batch: int = 8, seed: int = 0, history: list[dict] | None = None) -> list[dict]:
+    """Trials (config, objective), the best first. ``evaluate`` gives the objectives of a whole batch, as one sweep does; ``history`` resumes a study."""
+    held = list(history or [])
+    for _ in range(rounds):
+        configs = proposals(held, space, batch, seed)
+        held += [{"config": c, "objective": o} for c, o in zip(configs, evaluate(configs), strict=True)]
+    return sorted(held, key=lambda h: -h["objective"])
+
+
 def nearest_rank(values: DataFrame, keys: list[str], value: str, shares: dict[str, float], width: float = 1.0) -> DataFrame:
     """Per key, the element at int(share * n) of the sorted values, for each named share; no interpolation. Values are ordered in buckets of ``width``."""
     df = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))

@@ -21,10 +21,8 @@ class SessionSets:
     """Named sets of sessions under a folder. Fitting sees the training set alone; the others are for reports."""
 
     folder: str
-    fit: str = "generated_template_set/train.jsonl"
-    reports: dict[str, str] = field(
-        default_factory=lambda: {"public": "public_set.jsonl", "generated_template_test": "generated_template_set/test.jsonl", "freeform_test": "freeform_set/test.jsonl"}
-    )
+    fit: str = "template/train.jsonl"
+    reports: dict[str, str] = field(default_factory=lambda: {"public": "public.jsonl", "template_test": "template/test.jsonl", "freeform_test": "freeform/test.jsonl"})
 
     def fitting(self, spark: SparkSession, limit: int | None = None) -> DataFrame:
         self.guard(self.fit)
@@ -37,9 +35,9 @@ class SessionSets:
         return read_jsonl(spark, f"{self.folder}/{self.reports[which]}", SESSIONS)
 
     def split(self, spark: SparkSession, corpus: str, name: str) -> DataFrame:
-        if corpus not in ("freeform", "generated_template") or name not in ("train", "validation", "test"):
+        if corpus not in ("freeform", "template") or name not in ("train", "validation", "test"):
             raise KeyError(f"no split {name} of {corpus}")
-        return read_jsonl(spark, f"{self.folder}/{corpus}_set/{name}.jsonl", SESSIONS)
+        return read_jsonl(spark, f"{self.folder}/{corpus}/{name}.jsonl", SESSIONS)
 
     def guard(self, path: str) -> None:
         """Refuses a set for reports where something is fitted."""

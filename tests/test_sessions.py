@@ -175,7 +175,7 @@ def test_registry(spark, tmp_path):
         with pytest.raises(KeyError):
             Settings.parsed(bad)
     with pytest.raises(PermissionError):
-        SessionSets("f").guard("f/public_set.jsonl")
+        SessionSets("f").guard("f/public.jsonl")
     with pytest.raises(KeyError):
         SessionSets("f").report(spark, "train")
     (tmp_path / "a").write_text("1")
@@ -223,6 +223,8 @@ def test_resampling_and_percentiles(spark):
     assert {r.k: (r.p50, r.p95) for r in ex.nearest_rank(values, ["k"], "v", {"p50": 0.5, "p95": 0.95}).collect()} == {"a": (5.0, 9.0), "b": (7.5, 7.5)}
     tried = [{"config": {"x": 0.5}, "objective": 1.0}]
     assert ex.proposals(tried, {"x": (0, 1)}, 4, 0) == ex.proposals(tried, {"x": (0, 1)}, 4, 0) and all(0 <= c["x"] <= 1 for c in ex.proposals(tried, {"x": (0, 1)}, 4, 0))
+    found = ex.search(lambda configs: [-abs(c["x"] - 0.3) for c in configs], {"x": (0.0, 1.0)}, rounds=6, batch=8)
+    assert len(found) == 48 and abs(found[0]["config"]["x"] - 0.3) < 0.05
     with pytest.raises(KeyError):
         ex.configurations(spark, {"a": {"nothing": 1}})
     assert ex.objectives(spark.createDataFrame([("a", 0, 1.0), ("a", 1, 0.5)], "config string, level int, score double")).first().objective == 0.75

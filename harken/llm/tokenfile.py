@@ -19,6 +19,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import Any
@@ -38,8 +39,8 @@ from .common import bounded_batches, shared_path, strips, text_of, written
 SKIPPABLE, SEEK_FRAME, SEEK_FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Ids after which a frame is closed; a longer document has a frame of its own.
 FRAME_IDS = 65_536
-#: UTF-8 bytes of text that go to one file, on average.
-FILE_BYTES = 32 << 20
+#: UTF-8 bytes of text that go to one file, on average, and what a document counts beside its text: its row of the file's index is held until the end.
+FILE_BYTES, ROW_BYTES = 32 << 20, 32
 
 
 class Encoder:
@@ -113,13 +114,16 @@ class TokenWriter:
     def __init__(self, out: Any, dtype: np.dtype):
         self.out, self.dtype, self.held, self.held_ids = out, dtype, [], 0
         self.frames: list[tuple[int, int, int]] = []  # compressed size, size, checksum
-        self.index: list[tuple[int, int, int, int, int]] = []  # id, null, frame, offset, length
+        self.index = [array(t) for t in "qBIII"]  # id, null, frame, offset, length
         self.total = 0
         self.press = zstandard.ZstdCompressor(level=1, write_checksum=True, write_content_size=True)
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         n = len(ids) // self.dtype.itemsize
-        self.index.append((doc_id or 0, doc_id is None, len(self.frames), self.held_ids, n))
+        if n >= FRAME_IDS:
+            self.flush()
+        for column, value in zip(self.index, (doc_id or 0, doc_id is None, len(self.frames), self.held_ids, n), strict=True):
+            column.append(value)
         self.held.append(ids)
         self.held_ids += n
         self.total += n
@@ -136,8 +140,7 @@ class TokenWriter:
 
     def close(self) -> None:
         self.flush()
-        cols = list(zip(*self.index, strict=True)) or [()] * 5
-        body = struct.pack("<QB", len(self.index), self.dtype.itemsize) + b"".join(np.array(c, dtype=t).tobytes() for c, t in zip(cols, ("<i8", "u1", "<u4", "<u4", "<u4"), strict=True))
+        body = struct.pack("<QB", len(self.index[0]), self.dtype.itemsize) + b"".join(np.array(c, dtype=t).tobytes() for c, t in zip(self.index, ("<i8", "u1", "<u4", "<u4", "<u4"), strict=True))
         self.out.write(struct.pack("<II", SKIPPABLE, len(body)) + body)
         entries = [*self.frames, (len(body) + 8, 0, 0)]
         table = b"".join(struct.pack("<III", *e) for e in entries) + struct.pack("<IBI", len(entries), 0x80, SEEK_FOOTER)
@@ -190,7 +193,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | No
     spark = docs.sparkSession
     bounded_batches(spark)
     folder = folder or shared_path(spark, "token-files")
-    total = docs.agg(F.sum(F.octet_length(text_of(text_col)) + 1)).first()[0] or 0
+    total = docs.agg(F.sum(F.octet_length(text_of(text_col)) + ROW_BYTES)).first()[0] or 0
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     rows = rows.repartitionByRange(max(1, -(-total // file_bytes)), F.col("id"), F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
     rows = rows.select(F.spark_partition_id().cast("long").alias("part"), "id", "text")
@@ -213,7 +216,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | No
         if writer is not None:
             writer.close()
             out.close()
-            yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "n_docs": [len(writer.index)], "n_ids": [writer.total]})
+            yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "n_docs": [len(writer.index[0])], "n_ids": [writer.total]})
 
     return written(spark, rows.mapInArrow(write, "part long, path string, n_docs long, n_ids long"), "token-manifest")
 

@@ -8,6 +8,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from harken.llm import decontam, htmltext, mixing, neardup, quality, queries, secret_scan, sharding, tokencount, tokenfile, urlrep
@@ -160,8 +161,24 @@ def test_token_file_reads_one_frame_and_sees_damage():
     assert reader.document(7).tolist() == [7] * 30_000 and reader.decompressed == 1 and len(reader.frames) == 3
     broken = bytearray(data)
     broken[20] ^= 255
-    with pytest.raises(Exception):  # noqa: B017
+    with pytest.raises((ValueError, zstandard.ZstdError)):
         tokenfile.TokenReader(pa.BufferReader(bytes(broken))).document(0)
+    for at in (-9 - 12 * 4 + 8, -9 - 12 * 4 + 12 + 8):  # the checksums of the first two frames, in the table
+        broken = bytearray(data)
+        broken[at] ^= 1
+        with pytest.raises(ValueError, match="is damaged"):
+            tokenfile.TokenReader(pa.BufferReader(bytes(broken))).document(0 if at == -9 - 12 * 4 + 8 else 3)
+    assert reader.document(8).tolist() == [8] * 30_000
+
+
+def test_long_documents_have_frames_of_their_own():
+    sink = pa.BufferOutputStream()
+    writer = tokenfile.TokenWriter(sink, np.dtype("<u2"))
+    for i, n in enumerate((10, 70_000, 5, 0)):
+        writer.add(i, np.full(n, i, dtype="<u2").tobytes())
+    writer.close()
+    reader = tokenfile.TokenReader(pa.BufferReader(sink.getvalue()))
+    assert [len(reader.document(i)) for i in range(4)] == [10, 70_000, 5, 0] and reader.frame.tolist() == [0, 1, 2, 2]
 
 
 def test_near_duplicates(spark, empty):

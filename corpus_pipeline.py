@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
 documents. run() applies them one after another and keeps each result as a table in shared storage, so that a
 lost executor costs the current stage's tasks and no more.
+
+Edge cases: a null or empty text fails the base rule and goes; a stage that gets one all the same keeps it (near-duplicates: each null text is a class
+of its own; decontamination: no words, no hits; mixing: size 0, as often as its source's blocks; sharding: size 1). Null ids and sources are ordinary values.
+Repeated rows are one document to the near-duplicate stage and rows of their own to the others. No rows in, no rows out. Columns beside those of documents are not carried.
 """
 
 from __future__ import annotations

@@ -54,7 +54,7 @@ def override_modes(s: SparkSession, d: str) -> DataFrame:
     n = sessions.groupBy(F.col("conv").alias("sample_id")).agg(F.count(F.lit(1)).alias("n"))
     out = None
     for erase in ("demote", "delete", "keep"):
-        live = dlg.weights(dlg.constraints(read, erase), read, erase).join(n, "sample_id").groupBy("at_turn").agg(F.sum("n").alias("n_live"), F.round(F.sum(F.col("n") * F.col("weight")), 3).alias("weight"))
+        live = dlg.weights(dlg.constraints(read, erase), read, erase).join(n, "sample_id").groupBy("at_turn").agg(F.sum("n").alias("n_live"), F.round(F.sum(F.col("n") * F.col("weight")), 6).alias("weight"))
         live = live.select(F.lit(erase).alias("erase"), "at_turn", "n_live", "weight")
         out = live if out is None else out.unionByName(live)
     return out

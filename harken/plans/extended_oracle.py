@@ -27,7 +27,7 @@ def picked(words, at: str) -> str:
 
 WORD, OTHER = picked(MATERIALS, "l_partkey % 9"), picked(MATERIALS, "l_suppkey % 9")
 PROPOSED = f"""
-raw AS (SELECT l_orderkey AS session_id, (1 + l_linenumber % 3)::INT AS turn, l_linenumber::INT AS ord, 'I would like ' || {WORD} || ' or  ' || {OTHER} || ', please' AS message,
+raw AS (SELECT l_orderkey AS session_id, (1 + l_linenumber % 3)::INT AS turn, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_discount)::INT AS ord, 'I would like ' || {WORD} || ' or  ' || {OTHER} || ', please' AS message,
   {picked(('add', 'Replace', 'remove', 'confirm', 'no_preference', 'explode'), 'l_suppkey % 6')} AS op, {picked(('material', 'material', 'material', 'feature', 'shape'), 'l_partkey % 5')} AS attribute,
   CASE WHEN l_suppkey % 7 = 0 THEN '' WHEN l_suppkey % 7 = 1 THEN ' ' || {WORD} || '.' WHEN l_suppkey % 7 = 2 THEN {OTHER} ELSE {WORD} END AS value,
   CASE WHEN l_partkey % 11 = 0 THEN 'something else' WHEN l_partkey % 11 = 1 THEN '' ELSE upper({WORD}) END AS evidence,
@@ -62,7 +62,7 @@ lx AS (SELECT text, parent_asin, count(*) / max(n) * 0.9 / 3.2 AS s FROM wt JOIN
 CONFIG = ", ".join(f"({q(n)}, {c.get('v_continue', 0.75)}, {c.get('turn_cost', 0.0667)}, {c.get('stall_decay_clean', 0.8)}, {c.get('deadline', 3)}, {c.get('exclude_shipped', True)})" for n, c in CONFIGS.items())
 KNOWN = """,
 seen AS (SELECT sample_id, turn, list_position(own, pool_pos) AS rank FROM member JOIN convs v USING (c) JOIN lists USING (c) LEFT JOIN (SELECT opener, parent_asin AS item, pool_pos FROM pool) p ON p.opener = v.opener AND p.item = member.parent_asin WHERE turn > 0)"""
-LIVE = """SELECT '{0}' AS erase, at_turn, count(*) AS n_live, round(sum(weight), 3) AS weight FROM member JOIN (SELECT h.c, t::INT AS at_turn, pow(0.9, t - turn) * CASE WHEN turn <= 1 AND demoted_turn <= t THEN {1} ELSE 1.0 END AS weight
+LIVE = """SELECT '{0}' AS erase, at_turn, count(*) AS n_live, round(sum(weight), 6) AS weight FROM member JOIN (SELECT h.c, t::INT AS at_turn, pow(0.9, t - turn) * CASE WHEN turn <= 1 AND demoted_turn <= t THEN {1} ELSE 1.0 END AS weight
   FROM {2} h LEFT JOIN turned USING (c), range(1, 11) r(t) WHERE t >= turn AND NOT ('{0}' = 'delete' AND turn <= 1 AND coalesce(demoted_turn, 99) <= t)) USING (c) GROUP BY 2"""
 AGAIN = """,
 again AS (SELECT n.*, demoted_turn, coalesce(n.turn >= demoted_turn, false) AS late FROM numbered n LEFT JOIN turned USING (c)),

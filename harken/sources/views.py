@@ -93,7 +93,7 @@ def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("session_id"),
         (1 + F.col("l_linenumber") % 3).cast("int").alias("turn"),
-        F.col("l_linenumber").cast("int").alias("ord"),
+        F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_discount")).alias("ord"),
         F.concat(F.lit("I would like "), word, F.lit(" or  "), other, F.lit(", please")).alias("message"),
         pick(("add", "Replace", "remove", "confirm", "no_preference", "explode"), s % 6).alias("op"),
         pick(("material", "material", "material", "feature", "shape"), k % 5).alias("attribute"),

@@ -112,12 +112,17 @@ def heads(held: DataFrame, read: DataFrame, pool: DataFrame, index: DataFrame, i
         sums = sums.unionByName(lexical).groupBy("sample_id", "opener", "parent_asin").agg(*[F.sum(f"e{t}").alias(f"e{t}") for t in turns])
     known = sums.join(pool, ["opener", "parent_asin"])
     fill = openers.join(pool.where(F.col("pool_pos") < HEAD), "opener").select("sample_id", "parent_asin", "pool_pos", *[F.lit(0.0).alias(f"e{t}") for t in turns])
-    rows = known.select(*fill.columns).unionByName(fill).groupBy("sample_id", "parent_asin", "pool_pos").agg(*[F.max(f"e{t}").alias(f"e{t}") for t in turns])
-    rows = rows.select("sample_id", "parent_asin", "pool_pos", F.posexplode(F.array(*[F.round(f"e{t}", 9) for t in turns])).alias("turn", "e"))
-    order = Window.partitionBy("sample_id", "turn").orderBy(F.desc("e"), "pool_pos")
-    rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= HEAD)
-    head = F.transform(F.sort_array(F.collect_list(F.struct("rank", "pool_pos", "parent_asin"))), lambda x: F.struct(x["pool_pos"].alias("pool_pos"), x["parent_asin"].alias("parent_asin")))
-    return rows.groupBy("sample_id", (F.col("turn") + 1).alias("turn")).agg(head.alias("head"))
+    rows = known.select(*fill.columns).unionByName(fill).repartition("sample_id")  # one exchange for both groupings
+    rows = rows.groupBy("sample_id", "parent_asin", "pool_pos").agg(*[F.max(f"e{t}").alias(f"e{t}") for t in turns])
+    item = F.struct("pool_pos", "parent_asin", F.array(*[F.round(f"e{t}", 9) for t in turns]).alias("e"))
+    pools = rows.groupBy("sample_id").agg(F.collect_list(item).alias("items"))  # a pool's cap of items at most
+
+    def head(t: Column) -> Column:
+        ranked = F.sort_array(F.transform("items", lambda x: F.struct((-F.get(x["e"], t)).alias("e"), x["pool_pos"].alias("pool_pos"), x["parent_asin"].alias("parent_asin"))))
+        return F.transform(F.slice(ranked, 1, HEAD), lambda x: F.struct(x["pool_pos"].alias("pool_pos"), x["parent_asin"].alias("parent_asin")))
+
+    heads = F.transform(F.sequence(F.lit(0), F.lit(dlg.TURNS - 1)), head)
+    return pools.select("sample_id", F.posexplode(heads).alias("turn", "head")).withColumn("turn", F.col("turn") + 1)
 
 
 def depth_by_utility(stalls: Column, hope: Column, go_on: Column, cost: Column) -> Column:

@@ -186,11 +186,10 @@ def stressed_metrics(s: SparkSession, d: str) -> DataFrame:
 
 
 def ablated_metrics(s: SparkSession, d: str) -> DataFrame:
-    """The score without some evidence, and with full-text evidence, over the override sessions."""
+    """The score without the evidence of cards, and with full-text evidence, over all sessions."""
     index, out = staged(_index(s, d), "index"), None
-    some = _sessions(s, d).where("scenario_type = 'boundary'")
     for name in ("no_spec_phrase", "bm25"):
-        rows = sc.metrics(played(index, some, Settings(**ex.ABLATIONS[name]))[2]).where("scenario_type = 'all'").select(F.lit(name).alias("config"), "sample_count", "hit_rate", "mrr", "mttc", "score")
+        rows = sc.metrics(played(index, _sessions(s, d), Settings(**ex.ABLATIONS[name]))[2]).where("scenario_type = 'all'").select(F.lit(name).alias("config"), "sample_count", "hit_rate", "mrr", "mttc", "score")
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .divergence import MIN_DOCS, PRIOR, SCALE, TOP
 from .quality import BASE_RULES, METHOD_RULES, STOP_WORDS
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -53,4 +54,22 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN places USING (k) LEFT JOIN items USING (k)"""
 
 
-ORACLE = {"op1_quality_rules": quality_rules(), "op7_decontamination": decontamination()}
+def source_divergence() -> str:
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS row_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+words AS (SELECT row_id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM words GROUP BY lang, term HAVING count(DISTINCT row_id) >= {MIN_DOCS}),
+langs AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+counted AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM words w JOIN kept k ON w.lang = k.lang AND w.term = k.term GROUP BY ALL),
+grps AS (SELECT DISTINCT lang, source FROM docs),
+totals AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM grps g LEFT JOIN counted c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL),
+p AS (SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n, 1 + ({SCALE}::HUGEINT * (coalesce(c.n, 0) + {PRIOR})) // (t.total + {PRIOR} * l.v)::HUGEINT AS p, 1 + ({SCALE}::HUGEINT * (k.lang_n + {PRIOR})) // (l.lang_total + {PRIOR} * l.v)::HUGEINT AS q
+  FROM totals t JOIN langs l ON l.lang = t.lang JOIN kept k ON k.lang = t.lang LEFT JOIN counted c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM grps a JOIN grps b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= {TOP}"""
+
+
+ORACLE = {"op1_quality_rules": quality_rules(), "op7_decontamination": decontamination(), "op11_source_divergence": source_divergence()}

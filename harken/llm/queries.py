@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, mixing, neardup, oracle, quality, secret_scan, sharding, tokencount, tokenfile, urlrep
+from . import alignment, decontam, divergence, htmltext, mixing, neardup, oracle, quality, qualityrank, secret_scan, sharding, tokencount, tokenfile, urlrep
 from .common import table
 
 
@@ -67,5 +67,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrep.judge(pages, urlrep.outcomes_from_labels(pages, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_secret_scan, op4_sharding, op5_token_files, op6_near_duplicates, op7_decontamination, op8_html_text, op9_mixing, op10_url_filter)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return qualityrank.quality_scores(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_token_counts, op3_secret_scan, op4_sharding, op5_token_files, op6_near_duplicates, op7_decontamination, op8_html_text, op9_mixing, op10_url_filter,
+        op11_source_divergence, op12_token_alignment, op13_quality_classifier,
+    )
+}
 ORACLE = oracle.ORACLE

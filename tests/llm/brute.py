@@ -215,3 +215,96 @@ def shingle_counts(text):
 def jaccard(a, b):
     both = sum((a & b).values())
     return both / max(1, sum((a | b).values()))
+
+
+def terms(texts):
+    """Occurrences of each term, and texts with it."""
+    lower = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+    found = [re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (t or "").translate(lower)) for t in texts]
+    n, d = Counter(w for f in found for w in f), Counter(w for f in found for w in set(f))
+    return {w: (n[w], d[w]) for w in n}
+
+
+def divergence(rows, min_docs, top):
+    rows = [(t or "", k or "", s or "") for t, k, s in rows]
+    out = []
+    for lang in {k for _, k, _ in rows}:
+        texts = [t for t, k, _ in rows if k == lang]
+        kept = {w: n for w, (n, d) in terms(texts).items() if d >= min_docs}
+        sources = {s for _, k, s in rows if k == lang}
+        counts = {s: {w: n for w, (n, _) in terms([t for t, k, z in rows if (k, z) == (lang, s)]).items() if w in kept} for s in sources}
+
+        def share(n, total, v=len(kept)):
+            return 1 + 10**9 * (n + 5) // (total + 5 * v)
+
+        p = {s: {w: share(c.get(w, 0), sum(c.values())) for w in kept} for s, c in counts.items()}
+        q = {w: share(n, sum(kept.values())) for w, n in kept.items()}
+        for s in sources:
+            pairs = [(z, sum(abs(p[s][w] - p[z][w]) for w in kept)) for z in sources if z != s]
+            more = [(w, p[s][w] - q[w]) for w in kept if counts[s].get(w) and p[s][w] > q[w]]
+            for part, items, most in (("pair", pairs, len(pairs)), ("term", more, top)):
+                items.sort(key=lambda x: (-x[1], x[0].encode()))
+                out += [(lang, s, part, item, value, k + 1) for k, (item, value) in enumerate(items[:most])]
+    return sorted(out)
+
+
+def digest(text):
+    return hashlib.sha256(text.encode()).hexdigest() if text else ""
+
+
+def _bytes_of_byte_level():
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    free = iter(range(256, 1024))
+    return {chr(b) if b in plain else chr(next(free)): b for b in range(256)}
+
+
+def alignment(docs):
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, by walking along both token lists."""
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    first = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    first.encode_special_tokens = True
+    second = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    letters, rows, held = _bytes_of_byte_level(), [], Counter()
+
+    def spans(ids, spell):
+        out, at = [], 0
+        for k in ids:
+            out.append((at, at + len(spell(k)), k))
+            at = out[-1][1]
+        return out
+
+    def spell_a(k):
+        return bytes(letters[c] for c in first.id_to_token(k))
+
+    def spell_b(k):
+        piece = second.id_to_piece(k)
+        return bytes([int(piece[3:5], 16)]) if second.is_byte(k) else piece.replace("▁", " ").encode()
+
+    for i, text in docs:
+        text = text or ""
+        raw = (" " + text).encode()
+        a, b = first.encode(" " + text, add_special_tokens=False).ids, second.encode(text)
+        if not text or any(b"".join(map(f, ids)) != raw for f, ids in ((spell_a, a), (spell_b, b))):
+            rows.append((i, 0, 0, [], []))
+            continue
+        sa, sb = spans(a, spell_a), spans(b, spell_b)
+        links, at = [], 0
+        for lo, hi, k in sa:
+            while sb[at][1] <= lo:
+                at += 1
+            links += [(k, sb[j][2]) for j in range(at, next((j for j in range(at, len(sb)) if sb[j][0] >= hi), len(sb)))]
+        groups, shared, sides = [], {x[1] for x in sa} & {x[1] for x in sb}, [[[]], [[]]]
+        for side, parts in zip((sa, sb), sides, strict=True):
+            for _, end, k in side:
+                parts[-1].append(str(k))
+                parts += [[]] if end in shared else []
+        groups = [",".join(x) + "|" + ",".join(y) for x, y in zip(*sides, strict=True)][:-1]
+        rows.append((i, len(a), len(b), groups, links))
+        held.update(set(links))
+    most = Counter()
+    for (a, _), n in held.items():
+        most[a] = max(most[a], n)
+    return [(i, na, nb, len(g), len(x), sum(held[k] == most[k[0]] for k in x), sum(held[k] for k in x), digest(";".join(g))) for i, na, nb, g, x in rows]

@@ -572,7 +572,8 @@ def test_queries_against_sql(spark, name, tmp_path):
     import duckdb
 
     hard = str(tmp_path)
-    spark.createDataFrame([(i, t) for i, t, _ in CASES], "doc_id long, text string").coalesce(1).write.parquet(f"{hard}/documents.parquet")
+    rows = [(i, t, s) for i, t, s in CASES]
+    spark.createDataFrame([(i, t, k, s) for k in ("en", "EN", None) for i, t, s in rows * (11 if k == "en" else 1)] if "divergence" in name else [(i, t, "en", s) for i, t, s in rows], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{hard}/documents.parquet")
     items = [(1, BASE), (2, "lazy dog"), (3, ""), (4, None), (10, "w5 W1"), (11, "end"), (12, " ".join(BASE.split()[7:19]))]
     spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{hard}/benchmark.parquet")
     for folder, files in ((DIR, ""), (hard, "/*.parquet")):

@@ -1,17 +1,36 @@
-"""The weighted-field baseline: full-text retrieval over the catalog's fields, without state."""
+"""The weighted-field baseline: full-text retrieval over the catalog's fields, without state.
+
+Retrieval is exact without scoring every item. What a term adds to an item's score does not depend on the query, so each term has an upper bound, and its
+postings lie in levels of impact below that. The best items of a query's strongest terms are scored first: the tenth of them bounds the tenth best from below. With the
+query's terms in the order of their bounds, an item whose strongest term is the i-th reaches that only if what this term adds and the bounds of the terms after it do, so
+a term's levels that cannot suffice are not joined, and a term that every item has is not joined at all. What is left is scored whole.
+"""
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harken.operators import catalog as cat
+from harken.sources.stages import staged
 
 # The stop list, the fields and their weights, the terms of a query, the ranking function's constants.
 STOPWORDS = "a an and are as at be but by for from i in is it me my of on or please some that the this to want with would you looking".split()
 FIELDS = {"title": 6.0, "categories": 4.0, "features": 2.5, "details": 2.5, "store": 1.5, "description": 1.0}
 MOST_TERMS, K1, B, LEAST_IDF = 40, 1.2, 0.75, 1e-6
-MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+#: Strongest terms whose best items are scored first; levels of impact, two to a halving; what rounding may take off a sum.
+PROBES, LEVELS, SLACK = 4, 24, 1e-6
+
+
+@lru_cache(maxsize=1)
+def bare_letters() -> tuple[str, str]:
+    """Every letter of the basic plane that canonical decomposition splits into one letter and marks, and that letter, by Unicode's own tables."""
+    split = ((c, [x for x in unicodedata.normalize("NFD", c) if not unicodedata.category(x).startswith("M")]) for c in map(chr, range(0xC0, 0xD800)) if c.isalpha())
+    found = [(c, d[0]) for c, d in split if len(d) == 1 and d[0] != c]
+    return "".join(c for c, _ in found), "".join(d for _, d in found)
 
 
 def query_terms(text: Column) -> Column:
@@ -21,8 +40,9 @@ def query_terms(text: Column) -> Column:
 
 
 def field_tokens(text: Column) -> Column:
-    """Tokens of a field: lower case, Latin letters without their marks, runs of letters and digits of any script."""
-    return F.regexp_extract_all(F.translate(F.lower(text), MARKED, PLAIN), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    """Tokens of a field: lower case, letters without their marks, runs of letters and digits of any script."""
+    marked, plain = bare_letters()
+    return F.regexp_extract_all(F.regexp_replace(F.translate(F.lower(text), marked, plain), r"\p{M}+", ""), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
 def postings(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -36,15 +56,58 @@ def postings(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, df.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
 
 
-def search(queries: DataFrame, catalog: DataFrame, top: int = 10) -> DataFrame:
-    """(query) to (query, rank, parent_asin, score): the best items for the first distinct terms of each query, ties in the catalog's order."""
-    rows, sizes = postings(catalog)
-    want = queries.select("query", F.explode(F.slice(F.array_distinct(query_terms(F.col("query"))), 1, MOST_TERMS)).alias("term"))
-    used = rows.join(want.select("term").distinct(), "term", "left_semi")
-    idf = used.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(sizes))  # sizes is one row
+def impacts(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(term, parent_asin, cat_pos, part): what each term adds to an item's score, whatever the query."""
+    idf = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(sizes))  # sizes is one row
     idf = idf.select("term", "avg_len", F.greatest(F.lit(LEAST_IDF), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))
     w = F.col("weight")
     part = F.col("idf") * w * (K1 + 1) / (w + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scores = want.join(used.join(idf, "term"), "term").groupBy("query", "parent_asin", "cat_pos").agg(F.sum(part).alias("score"))
-    order = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "cat_pos")
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query", "rank", "parent_asin", "score")
+    return rows.join(idf, "term").select("term", "parent_asin", "cat_pos", part.alias("part"))
+
+
+def scored(pairs: DataFrame, bags: DataFrame, items: DataFrame) -> DataFrame:
+    """(bag, parent_asin) to (bag, parent_asin, cat_pos, score), whole scores: the item's parts of the bag's terms."""
+    df = pairs.join(items, "parent_asin").join(bags.select("bag", "terms"), "bag")
+    part = lambda t: F.coalesce(F.try_element_at("parts", t["term"]), F.lit(0.0))
+    return df.select("bag", "parent_asin", "cat_pos", F.aggregate("terms", F.lit(0.0), lambda acc, t: acc + part(t)).alias("score"))
+
+
+def candidates(bags: DataFrame, parts: DataFrame, bounds: DataFrame, items: DataFrame, top: int) -> DataFrame:
+    """(bag, parent_asin), distinct: items that may be among the ``top`` of a bag, all items that are among them included.
+
+    ``bags`` has terms in the order of their bounds, the largest first, as (most, term).
+    """
+    best = Window.partitionBy("term").orderBy(F.desc("part"), "cat_pos")
+    firsts = parts.withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= top).select("term", "parent_asin")
+    probes = bags.select("bag", F.explode(F.slice("terms", 1, PROBES)).alias("t")).select("bag", "t.term").join(firsts, "term").select("bag", "parent_asin").distinct()
+    tried = scored(probes, bags, items).groupBy("bag").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))  # PROBES * top at most
+    bags = bags.join(tried.select("bag", F.coalesce(F.get("s", F.lit(top - 1)), F.lit(0.0)).alias("least")), "bag", "left")
+
+    after = F.aggregate(F.slice("terms", F.col("i") + 2, F.size("terms")), F.lit(0.0), lambda acc, t: acc + t["most"])
+    asked = bags.select("bag", "terms", "least", F.posexplode("terms").alias("i", "t"))
+    asked = asked.select("bag", "t.term", "t.most", (F.coalesce("least", F.lit(0.0)) - after - SLACK).alias("need")).where(F.col("need") <= F.col("most"))
+    last = F.when(F.col("need") > 0, F.least(F.lit(LEVELS), F.floor(2 * F.log2(F.col("most") / F.col("need")) + SLACK))).otherwise(LEVELS).cast("int")
+    asked = asked.select("bag", "term", "need", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), last))).alias("level"))
+
+    level = F.least(F.lit(LEVELS), F.greatest(F.lit(0), F.floor(2 * F.log2(F.col("most") / F.col("part"))))).cast("int")
+    leveled = parts.join(bounds, "term").select("term", level.alias("level"), "parent_asin", "part")
+    return asked.join(leveled, ["term", "level"]).where(F.col("part") >= F.col("need")).select("bag", "parent_asin").distinct()
+
+
+def search(queries: DataFrame, catalog: DataFrame, top: int = 10) -> DataFrame:
+    """(query) to (query, rank, parent_asin, score): the best items for the first distinct terms of each query, ties in the catalog's order.
+
+    Queries of the same terms are one search. Terms that no item has do not count; a query without others has no rows.
+    """
+    rows, sizes = postings(catalog)
+    want = queries.select("query").distinct().select("query", F.explode(F.slice(F.array_distinct(query_terms(F.col("query"))), 1, MOST_TERMS)).alias("term"))
+    want = staged(want, "query-terms")
+    parts = staged(impacts(rows, sizes).join(want.select("term").distinct(), "term", "left_semi"), "impacts")
+    bounds = staged(parts.groupBy("term").agg(F.max("part").alias("most")), "bounds")
+    items = staged(parts.groupBy("parent_asin", "cat_pos").agg(F.map_from_entries(F.collect_list(F.struct("term", "part"))).alias("parts")), "parts")  # an item's own terms
+    known = want.join(bounds, "term").groupBy("query").agg(F.sort_array(F.collect_list(F.struct("most", "term")), asc=False).alias("terms"))
+    known = staged(known.withColumn("bag", F.array_join(F.transform("terms", lambda t: t["term"]), " ")), "queries")
+    bags = staged(known.select("bag", "terms").dropDuplicates(["bag"]), "bags")
+    order = Window.partitionBy("bag").orderBy(F.desc(F.round("score", 9)), "cat_pos")
+    found = scored(candidates(bags, parts, bounds, items, top), bags, items).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return known.select("query", "bag").join(found, "bag").select("query", "rank", "parent_asin", "score")

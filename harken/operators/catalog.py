@@ -60,9 +60,9 @@ def searchable() -> Column:
     return F.concat_ws(" ", "title", "features", pairs, "description", "categories", "store")
 
 
-def card() -> Column:
-    """The ordered strings of an item's intent card: at most two hard, then at most two soft ones."""
-    word = lambda pattern: F.lower(F.regexp_extract(searchable(), pattern, 1))
+def card(words: Column) -> Column:
+    """The ordered strings that an item's intent card is taken from; ``words`` is its searchable text."""
+    word = lambda pattern: F.lower(F.regexp_extract(words, pattern, 1))
     found = F.concat(said(F.col("features")), flattened_details())
     found = F.when(word(tx.MATERIAL) != "", F.concat(F.array(word(tx.MATERIAL)), found)).otherwise(found)
     color = F.array(F.concat(F.lit("color: "), word(tx.COLOR)))
@@ -75,7 +75,9 @@ def card() -> Column:
 
 def item_index(catalog: DataFrame) -> DataFrame:
     """Every feature that ranking needs, one row per item, of any catalog that prepared() takes."""
-    df = prepared(catalog).withColumn("strings", card())
+    # a generator of one row keeps what it makes from being written out again wherever it is named
+    df = prepared(catalog).select("*", F.explode(F.array(searchable())).alias("words"))
+    df = df.select("*", F.explode(F.array(card(F.col("words")))).alias("strings"))
     df = df.withColumn("hard", F.slice("strings", 1, 2)).withColumn("soft", F.when(F.size("strings") > 2, F.slice("strings", 3, 2)).otherwise(F.slice("strings", 1, 1)))
     features = said(F.col("features"))
     title, store = (F.coalesce(c, F.lit("")) for c in ("title", "store"))

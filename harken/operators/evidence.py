@@ -28,24 +28,81 @@ def attribute(pairs: DataFrame, item_pairs: DataFrame) -> DataFrame:
     return pairs.join(item_pairs, ["attribute", "value"])
 
 
+def rarest_first(sets: DataFrame, counts: DataFrame) -> DataFrame:
+    """``sets`` with the distinct tokens of ``words`` as strings in one order for all sets: the rarest by ``counts`` (token, n) first, so that few sets share a first token."""
+    key = [c for c in sets.columns if c != "words"]
+    each = sets.select(*key, F.explode("words").alias("token")).join(counts, "token", "left")
+    return each.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))), lambda x: x["token"]).alias("words"))
+
+
+def token_counts(sets: DataFrame) -> DataFrame:
+    return sets.select(F.explode("words").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def shared_tokens(left: DataFrame, right: DataFrame, also: tuple[str, ...], least: Column, left_prefix: Column, right_prefix: Column, sizes: Column) -> DataFrame:
+    """Columns of ``left`` (a, also, x) and ``right`` (b, also, y) and ``k``, for pairs whose token arrays x and y may share ``least`` tokens or more, by prefix filter.
+
+    Both arrays are in one order, so pairs that share enough share a token of both prefixes. ``sizes`` excludes lengths that cannot do, the place of the
+    token bounds how many can follow, and a pair is kept at its first shared token alone, so no pair is formed twice and none is deduplicated. What is left is counted exactly.
+    """
+    first = left.select("a", *also, "x", F.posexplode(F.slice("x", F.lit(1), left_prefix)).alias("i", "token"))
+    second = right.select("b", *also, "y", F.posexplode(F.slice("y", F.lit(1), right_prefix)).alias("j", "token"))
+    follow = F.least(F.size("x") - F.col("i"), F.size("y") - F.col("j"))
+    pairs = first.join(second, ["token", *also]).where(sizes & (follow >= least))
+    both = F.array_intersect("x", "y")
+    pairs = pairs.select("a", "b", *also, "x", "y", "token", both.alias("both")).where((F.get("both", F.lit(0)) == F.col("token")) & (F.size("both") >= least))
+    return pairs.select("a", "b", *also, F.size("x").alias("n"), F.size("y").alias("m"), F.size("both").alias("k"))
+
+
+def at_least(share: float, n: Column) -> Column:
+    """The least whole number that is ``share`` of n or more; rounding never excludes one."""
+    return F.greatest(F.lit(1), F.ceil(share * n - 1e-9).cast("int"))
+
+
+def token_sets(strings: DataFrame, name: str, *also: str) -> DataFrame:
+    """Distinct strings that have tokens, with them."""
+    return strings.select(F.col(name).alias("a"), *also).distinct().withColumn("words", tx.tokens(F.col("a"))).where(F.size("words") > 0)
+
+
+def overlap_pairs(texts: DataFrame, index: DataFrame, *also: str, floor: float = FLOOR) -> DataFrame:
+    """(a, b, n, m, k): the text, the item, the sizes of their token sets, and how many tokens they share."""
+    have = index.select("parent_asin", *also, tx.tokens(F.concat_ws(" ", F.array_join("spec", " "), "title")).alias("words"))
+    counts = token_counts(have)
+    left = rarest_first(token_sets(texts, "text", *also), counts).withColumnRenamed("words", "x")
+    right = rarest_first(have, counts).select(F.col("parent_asin").alias("b"), *also, F.col("words").alias("y"))
+    # an item's tokens have no bound of their own; the last of them cannot begin a match of two or more
+    need = at_least(floor, F.size("x"))
+    return shared_tokens(left, right, also, need, F.size("x") - need + 1, F.size("y"), F.lit(True))
+
+
 def overlap(texts: DataFrame, index: DataFrame, *also: str, floor: float = FLOOR) -> DataFrame:
     """(text, parent_asin, share): the share of the text's tokens that the item has, from the floor on."""
-    want = texts.withColumn("_t", tx.tokens(F.col("text"))).where(F.size("_t") > 0)
-    want = want.select("text", *also, F.size("_t").alias("n"), F.explode("_t").alias("token"))
-    have = index.select("parent_asin", *also, F.explode(tx.tokens(F.concat_ws(" ", F.array_join("spec", " "), "title"))).alias("token"))
-    df = want.join(have, ["token", *also]).groupBy("text", *also, "parent_asin").agg((F.count(F.lit(1)) / F.max("n")).alias("share"))
+    df = overlap_pairs(texts, index, *also, floor=floor).select(F.col("a").alias("text"), *also, F.col("b").alias("parent_asin"), (F.col("k") / F.col("n")).alias("share"))
     return df.where(F.col("share") >= floor)
 
 
+def similar_strings(texts: DataFrame, strings: DataFrame, *also: str, floor: float = FLOOR) -> DataFrame:
+    """(a, b, jaccard): texts and strings (both named ``text``) whose token sets have a Jaccard similarity from the floor on."""
+    have = token_sets(strings, "text", *also)
+    counts = token_counts(have)
+    left = rarest_first(token_sets(texts, "text", *also), counts).withColumnRenamed("words", "x")
+    right = rarest_first(have, counts).select(F.col("a").alias("b"), *also, F.col("words").alias("y"))
+    n, m = F.size("x"), F.size("y")
+    least = at_least(floor / (1 + floor), n + m)
+    alike = (m >= at_least(floor, n)) & (n >= at_least(floor, m))
+    df = shared_tokens(left, right, also, least, n - at_least(floor, n) + 1, m - at_least(floor, m) + 1, alike)
+    return df.select("a", "b", *also, (F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).alias("jaccard")).where(F.col("jaccard") >= floor)
+
+
 def softcard(texts: DataFrame, index: DataFrame, *also: str, floor: float = FLOOR) -> DataFrame:
-    """(text, parent_asin, best): the best Jaccard similarity with a card string, from the floor on, exact matches left out."""
-    want = texts.withColumn("_t", tx.tokens(F.col("text"))).where(F.size("_t") > 0)
-    want = want.select("text", *also, F.size("_t").alias("n"), F.explode("_t").alias("token"))
-    strings = index.select("parent_asin", *also, "card", F.posexplode("card").alias("at", "s"))
-    have = strings.select("parent_asin", *also, "at", F.size(tx.tokens(F.col("s"))).alias("m"), F.explode(tx.tokens(F.col("s"))).alias("token"))
-    shared = want.join(have, ["token", *also]).groupBy("text", *also, "parent_asin", "at").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"), F.max("m").alias("m"))
-    best = shared.groupBy("text", *also, "parent_asin").agg(F.max(F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).alias("best"))
-    return best.where(F.col("best") >= floor).join(exact(texts, index, *also), ["text", "parent_asin"], "left_anti")
+    """(text, parent_asin, best): the best Jaccard similarity with a card string, from the floor on, exact matches left out.
+
+    Texts meet distinct strings; items only those of their strings that are similar.
+    """
+    cards = index.select("parent_asin", *also, F.explode("card").alias("b")).distinct()
+    found = similar_strings(texts, cards.select(F.col("b").alias("text"), *also), *also, floor=floor).withColumnRenamed("a", "text")
+    best = found.join(cards, ["b", *also]).groupBy("text", *also, "parent_asin").agg(F.max("jaccard").alias("best"), F.max((F.col("b") == F.col("text")).cast("int")).alias("same"))
+    return best.where("same = 0").drop("same")
 
 
 def bm25_parts(docs: DataFrame, k1: float = K1, b: float = B) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harken.cli import played
-from harken.functions import stress
+from harken.functions import rewording
 from harken.functions import text as tx
 from harken.operators import baseline, intent, replies, transactions
 from harken.operators import belief as bf
@@ -16,7 +16,7 @@ from harken.operators import evidence as ev
 from harken.operators import experiments as ex
 from harken.operators import scoring as sc
 from harken.operators import vocabulary as voc
-from harken.plans.queries import Query, _concepts, _conversations, _index, _openers, _per_session, _pool, _sessions, _shipped, _states, _texts
+from harken.plans.queries import Query, _concepts, _conversations, _heads, _index, _item_pairs, _openers, _per_session, _pool, _pool_sizes, _sessions, _shipped, _states, _texts
 from harken.sources import views
 from harken.sources.registry import Settings
 from harken.sources.stages import staged, staged_path
@@ -73,7 +73,7 @@ def field_search(s: SparkSession, d: str) -> DataFrame:
 def reply_sentences(s: SparkSession, d: str) -> DataFrame:
     states = staged(_states(s, d), "states")
     route = dlg.parsed(states.select("opener").distinct(), "opener").select("opener", "route")
-    df = ev.entropy(states, _pool(s, d), staged(_index(s, d), "index")).join(route, "opener")
+    df = ev.entropy(states, _pool(s, d), _index(s, d)).join(route, "opener")
     return df.select("opener", "text", replies.sentence(F.when(F.col("route") == "override", 0).otherwise(1), F.col("entropy"), F.lit("other")).alias("message"))
 
 
@@ -109,15 +109,15 @@ def applied_proposals(s: SparkSession, d: str) -> DataFrame:
 def ambiguity_mixtures(s: SparkSession, d: str) -> DataFrame:
     names = ("span", "text", "attribute", "value", "confidence", "polarity")
     rows = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, r, strict=True)]) for r in SPANS])
-    index = staged(_index(s, d), "index")
-    found = intent.mixtures(s.range(1).select(F.explode(rows).alias("r")).select("r.*"), index, staged(cat.item_pairs(index), "item-pairs"))
+    index = _index(s, d)
+    found = intent.mixtures(s.range(1).select(F.explode(rows).alias("r")).select("r.*"), index, _item_pairs(s, d))
     return found.groupBy("span").agg(F.count(F.lit(1)).alias("n_items"), F.round(F.sum("gain"), 4).alias("total"))
 
 
 def polarity_gains(s: SparkSession, d: str) -> DataFrame:
-    index = staged(_index(s, d), "index")
+    index = _index(s, d)
     said = _texts(s, d).select("text", F.explode_outer(tx.pairs(F.col("text"))).alias("p")).where("p is not null").select("text", "p.*")
-    found = intent.matches(staged(said, "readings"), index, staged(cat.item_pairs(index), "item-pairs"))
+    found = intent.matches(staged(said, "readings"), index, _item_pairs(s, d))
     require, avoid = (F.round(F.sum(intent.gain(F.col("s"), F.lit(p))), 3).alias(p) for p in ("require", "avoid"))
     return found.groupBy("text", "attribute", "value").agg(F.count(F.lit(1)).alias("n_items"), require, avoid)
 
@@ -158,10 +158,7 @@ def config_depths(s: SparkSession, d: str) -> DataFrame:
 
 def config_sweep(s: SparkSession, d: str) -> DataFrame:
     sessions, read, held = _conversations(s, d)
-    index, pool = staged(_index(s, d), "index"), _pool(s, d)
-    heads = staged(bf.heads(held, read, pool, index, staged(cat.item_pairs(index), "item-pairs")), "heads")
-    sizes = pool.groupBy("opener").agg(F.count(F.lit(1)).alias("n_pool"))
-    sizes = read.where("turn = 1").select("sample_id", F.col("message").alias("opener")).join(sizes, "opener").select("sample_id", "n_pool")
+    heads, sizes = _heads(s, d), _pool_sizes(read, _pool(s, d))
     results = ex.sweep(sessions, read, dlg.stalls(read, held), heads, sizes, ex.configurations(s, CONFIGS))
     return sc.metrics(results.withColumn("scenario_type", F.col("config"))).where("scenario_type <> 'all'").withColumnRenamed("scenario_type", "config")
 
@@ -171,14 +168,14 @@ def stress_rewrite(s: SparkSession, d: str) -> DataFrame:
     said = staged(dlg.transcripts(once).select("message").distinct(), "messages").withColumn("said", F.col("message"))
     out = None
     for level in (1, 2, 3):
-        rows = stress.rewritten(said, level).select(F.lit(level).alias("level"), F.col("said").alias("message"), F.col("message").alias("reworded"))
+        rows = rewording.rewritten(said, level).select(F.lit(level).alias("level"), F.col("said").alias("message"), F.col("message").alias("reworded"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def stressed_metrics(s: SparkSession, d: str) -> DataFrame:
     """The score at each level of rewording, and their mean."""
-    index, out = staged(_index(s, d), "index"), None
+    index, out = _index(s, d), None
     for level in (0, 1):
         rows = sc.metrics(played(index, _sessions(s, d), Settings(), level)[2]).where("scenario_type = 'all'").select(F.lit("published").alias("config"), F.lit(level).alias("level"), "score")
         out = rows if out is None else out.unionByName(rows)
@@ -187,7 +184,7 @@ def stressed_metrics(s: SparkSession, d: str) -> DataFrame:
 
 def ablated_metrics(s: SparkSession, d: str) -> DataFrame:
     """The score without the evidence of cards, and with full-text evidence, over all sessions."""
-    index, out = staged(_index(s, d), "index"), None
+    index, out = _index(s, d), None
     for name in ("no_spec_phrase", "bm25"):
         rows = sc.metrics(played(index, _sessions(s, d), Settings(**ex.ABLATIONS[name]))[2]).where("scenario_type = 'all'").select(F.lit(name).alias("config"), "sample_count", "hit_rate", "mrr", "mttc", "score")
         out = rows if out is None else out.unionByName(rows)
@@ -196,7 +193,7 @@ def ablated_metrics(s: SparkSession, d: str) -> DataFrame:
 
 def paired_interval(s: SparkSession, d: str) -> DataFrame:
     """The interval of what leaving out proven items gains."""
-    index = staged(_index(s, d), "index")
+    index = _index(s, d)
     after = staged(played(index, _sessions(s, d), Settings())[2], "results")
     before = staged(played(index, _sessions(s, d), Settings(exclude_shipped=False))[2], "results")
     return ex.interval_row(s, ex.paired_bootstrap(before, after), ["low", "mean", "high"])
@@ -212,7 +209,7 @@ def jsonl_catalog(s: SparkSession, d: str) -> DataFrame:
 
 def jsonl_transcripts(s: SparkSession, d: str) -> DataFrame:
     """Sessions written as JSON lines with cards, behaviour and openers, read back, and what their customers say."""
-    path, index = staged_path(s, "sessions-jsonl"), staged(_index(s, d), "index")
+    path, index = staged_path(s, "sessions-jsonl"), _index(s, d)
     views.write_jsonl(views.labelled(s, d, index), path)
     return dlg.transcripts(dlg.labelled_sessions(views.read_jsonl(s, path, views.SESSIONS), index))
 

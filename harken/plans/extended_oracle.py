@@ -41,7 +41,8 @@ fit AS (SELECT *, count(*) OVER (PARTITION BY session_id, turn, g) AS n, max(con
 
 
 def field(text: str) -> str:
-    return f"regexp_extract_all(translate(lower(coalesce({text}, '')), {q(bl.MARKED)}, {q(bl.PLAIN)}), '[\\p{{L}}\\p{{N}}]+')"
+    marked, plain = bl.bare_letters()
+    return f"regexp_extract_all(regexp_replace(translate(lower(coalesce({text}, '')), {q(marked)}, {q(plain)}), '\\p{{M}}+', '', 'g'), '[\\p{{L}}\\p{{N}}]+')"
 
 
 FIELDS = {"title": "title", "categories": "array_to_string(categories, ' ')", "features": "array_to_string(features, ' ')", "details": "said", "store": "store"}

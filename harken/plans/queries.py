@@ -17,13 +17,21 @@ from harken.operators import experiments as ex
 from harken.operators import scoring as sc
 from harken.operators import vocabulary as voc
 from harken.sources import views
-from harken.sources.stages import staged
+from harken.sources.stages import kept, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
-    return cat.item_index(views.catalog(spark, d))
+    return kept(spark, d, "index", lambda: cat.item_index(views.catalog(spark, d)))
+
+
+def _item_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return kept(spark, d, "item-pairs", lambda: cat.item_pairs(_index(spark, d)))
+
+
+def _categories(spark: SparkSession, d: str) -> DataFrame:
+    return kept(spark, d, "categories", lambda: ctg.stats(_index(spark, d)))
 
 
 def _sessions(spark: SparkSession, d: str) -> DataFrame:
@@ -31,26 +39,24 @@ def _sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _openers(spark: SparkSession, d: str) -> DataFrame:
-    return _sessions(spark, d).select(dlg.initial_message().alias("opener")).distinct()
+    return kept(spark, d, "openers", lambda: _sessions(spark, d).select(dlg.initial_message().alias("opener")).distinct())
 
 
 def _post(spark: SparkSession, d: str) -> DataFrame:
     """What pools need of the posterior."""
-    index = staged(_index(spark, d), "index")
-    openers = dlg.sessions(views.samples(spark, d), index).select(dlg.initial_message().alias("opener")).distinct()
-    return ctg.heads(staged(openers, "openers"), staged(ctg.stats(index), "categories"))
+    return ctg.heads(_openers(spark, d), _categories(spark, d))
 
 
 def _pool(spark: SparkSession, d: str) -> DataFrame:
-    return staged(ctg.pool(staged(_post(spark, d), "posterior"), _index(spark, d)), "pool")
+    return kept(spark, d, "pool", lambda: ctg.pool(staged(_post(spark, d), "posterior"), _index(spark, d)))
 
 
 def _concepts(spark: SparkSession, d: str) -> DataFrame:
-    return staged(voc.concepts(staged(_index(spark, d), "index")), "concepts")
+    return kept(spark, d, "concepts", lambda: voc.concepts(_index(spark, d)))
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return _index(spark, d).select(F.explode("card").alias("text")).distinct()
+    return kept(spark, d, "texts", lambda: _index(spark, d).select(F.explode("card").alias("text")).distinct())
 
 
 def _states(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +68,7 @@ def _states(spark: SparkSession, d: str) -> DataFrame:
 def _results(spark: SparkSession, d: str) -> DataFrame:
     """Sessions scored on the first turn's list; an override session cannot convert before its override."""
     sessions = _sessions(spark, d).select("sample_id", "scenario_type", "parent_asin", dlg.initial_message().alias("opener"))
-    heads = ev.ranked(staged(_states(spark, d), "states"), _pool(spark, d), staged(_index(spark, d), "index")).select("opener", "rank", "parent_asin")
+    heads = ev.ranked(staged(_states(spark, d), "states"), _pool(spark, d), _index(spark, d)).select("opener", "rank", "parent_asin")
     df = sessions.join(heads, ["opener", "parent_asin"], "left")
     hit = F.col("rank").isNotNull() & (F.col("scenario_type") != "intent_override")
     return df.select("sample_id", "scenario_type", hit.alias("hit"), F.when(hit, 1).alias("first_hit_turn"), F.when(hit, 1.0 / F.col("rank")).otherwise(0.0).alias("reciprocal_rank"))
@@ -70,20 +76,26 @@ def _results(spark: SparkSession, d: str) -> DataFrame:
 
 def _conversations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sessions with their conversation, the turns of each conversation, and the constraints held in it."""
-    sessions = staged(bf.conversations(_sessions(spark, d)), "sessions")
+    sessions = kept(spark, d, "sessions", lambda: bf.conversations(_sessions(spark, d)))
     once = sessions.drop("sample_id", "parent_asin", "target_pos").withColumnRenamed("conv", "sample_id").dropDuplicates(["sample_id"])
-    read = staged(dlg.parsed(dlg.transcripts(once)), "turns")
-    return sessions, read, staged(dlg.constraints(read), "constraints")
+    read = kept(spark, d, "turns", lambda: dlg.parsed(dlg.transcripts(once)))
+    return sessions, read, kept(spark, d, "constraints", lambda: dlg.constraints(read))
+
+
+def _pool_sizes(read: DataFrame, pool: DataFrame) -> DataFrame:
+    sizes = pool.groupBy("opener").agg(F.count(F.lit(1)).alias("n_pool"))
+    return read.where("turn = 1").select("sample_id", F.col("message").alias("opener")).join(sizes, "opener").select("sample_id", "n_pool")
+
+
+def _heads(spark: SparkSession, d: str) -> DataFrame:
+    _, read, held = _conversations(spark, d)
+    return kept(spark, d, "heads", lambda: bf.heads(held, read, _pool(spark, d), _index(spark, d), _item_pairs(spark, d)))
 
 
 def _shipped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     sessions, read, held = _conversations(spark, d)
-    index = staged(_index(spark, d), "index")
-    pool = _pool(spark, d)
-    heads = bf.heads(held, read, pool, index, staged(cat.item_pairs(index), "item-pairs"))
-    sizes = pool.groupBy("opener").agg(F.count(F.lit(1)).alias("n_pool"))
-    sizes = read.where("turn = 1").select("sample_id", F.col("message").alias("opener")).join(sizes, "opener").select("sample_id", "n_pool")
-    return sessions, staged(bf.played(staged(heads, "heads"), bf.policy(read, dlg.stalls(read, held)), sizes), "lists")
+    make = lambda: bf.played(_heads(spark, d), bf.policy(read, dlg.stalls(read, held)), _pool_sizes(read, _pool(spark, d)))
+    return sessions, kept(spark, d, "lists", make)
 
 
 def token_sets(s: SparkSession, d: str) -> DataFrame:
@@ -121,7 +133,7 @@ def intent_card(s: SparkSession, d: str) -> DataFrame:
 
 
 def normalise_pairs(s: SparkSession, d: str) -> DataFrame:
-    return cat.item_pairs(_index(s, d))
+    return _item_pairs(s, d)
 
 
 def popularity_fallback(s: SparkSession, d: str) -> DataFrame:
@@ -129,19 +141,19 @@ def popularity_fallback(s: SparkSession, d: str) -> DataFrame:
 
 
 def category_stats(s: SparkSession, d: str) -> DataFrame:
-    return ctg.stats(_index(s, d)).select("category", "n_items", F.col("cat_idx").cast("long").alias("cat_idx"), F.round("log_prior", 6).alias("log_prior"), F.array_join(F.sort_array("stems"), " ").alias("stems"))
+    return _categories(s, d).select("category", "n_items", F.col("cat_idx").cast("long").alias("cat_idx"), F.round("log_prior", 6).alias("log_prior"), F.array_join(F.sort_array("stems"), " ").alias("stems"))
 
 
 def category_scores(s: SparkSession, d: str) -> DataFrame:
-    return ctg.scores(_openers(s, d), ctg.stats(_index(s, d))).select("opener", "category", F.round("score", 6).alias("score"))
+    return ctg.scores(_openers(s, d), _categories(s, d)).select("opener", "category", F.round("score", 6).alias("score"))
 
 
 def category_posterior(s: SparkSession, d: str) -> DataFrame:
-    return ctg.posterior(_openers(s, d), staged(ctg.stats(_index(s, d)), "categories")).select("opener", "category", F.round("p", 6).alias("p"))
+    return ctg.posterior(_openers(s, d), _categories(s, d)).select("opener", "category", F.round("p", 6).alias("p"))
 
 
 def category_pool(s: SparkSession, d: str) -> DataFrame:
-    return ctg.pool(_post(s, d), staged(_index(s, d), "index")).select("opener", "parent_asin", F.col("pool_pos").cast("long").alias("pool_pos"))
+    return ctg.pool(_post(s, d), _index(s, d)).select("opener", "parent_asin", F.col("pool_pos").cast("long").alias("pool_pos"))
 
 
 def best_category(s: SparkSession, d: str) -> DataFrame:
@@ -150,12 +162,12 @@ def best_category(s: SparkSession, d: str) -> DataFrame:
 
 def category_hypotheses(s: SparkSession, d: str) -> DataFrame:
     titles = _index(s, d).select(F.col("title").alias("phrase"))
-    return voc.category_hypotheses(titles, ctg.stats(_index(s, d))).select("phrase", F.col("rank").cast("long").alias("rank"), "category", F.round("p", 6).alias("p"))
+    return voc.category_hypotheses(titles, _categories(s, d)).select("phrase", F.col("rank").cast("long").alias("rank"), "category", F.round("p", 6).alias("p"))
 
 
 def category_of_phrase(s: SparkSession, d: str) -> DataFrame:
     titles = _index(s, d).select(F.col("title").alias("phrase"))
-    return voc.category_of_phrase(voc.category_hypotheses(titles, ctg.stats(_index(s, d))))
+    return voc.category_of_phrase(voc.category_hypotheses(titles, _categories(s, d)))
 
 
 def concept_labels(s: SparkSession, d: str) -> DataFrame:
@@ -163,7 +175,7 @@ def concept_labels(s: SparkSession, d: str) -> DataFrame:
 
 
 def canonical_phrases(s: SparkSession, d: str) -> DataFrame:
-    return voc.canonical(cat.item_pairs(staged(_index(s, d), "index")).select("attribute", F.col("value").alias("phrase")).distinct(), _concepts(s, d))
+    return voc.canonical(_item_pairs(s, d).select("attribute", F.col("value").alias("phrase")).distinct(), _concepts(s, d))
 
 
 def concept_support(s: SparkSession, d: str) -> DataFrame:
@@ -187,7 +199,7 @@ def _per_session(sessions: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def transcripts(s: SparkSession, d: str) -> DataFrame:
-    sessions = staged(bf.conversations(_sessions(s, d)), "sessions")
+    sessions, _, _ = _conversations(s, d)
     once = sessions.drop("sample_id").withColumnRenamed("conv", "sample_id").dropDuplicates(["sample_id"])
     return _per_session(sessions, dlg.transcripts(once))
 
@@ -227,7 +239,7 @@ def exact_matches(s: SparkSession, d: str) -> DataFrame:
 
 def attribute_matches(s: SparkSession, d: str) -> DataFrame:
     said = _texts(s, d).select(F.explode(tx.pairs(F.col("text"))).alias("p")).select("p.*").distinct()
-    return ev.attribute(said, cat.item_pairs(_index(s, d))).groupBy("attribute", "value").agg(F.count(F.lit(1)).alias("n_items"))
+    return ev.attribute(said, _item_pairs(s, d)).groupBy("attribute", "value").agg(F.count(F.lit(1)).alias("n_items"))
 
 
 def lexical_overlap(s: SparkSession, d: str) -> DataFrame:
@@ -249,11 +261,11 @@ def bm25_all_scores(s: SparkSession, d: str) -> DataFrame:
 
 
 def ranked_topk(s: SparkSession, d: str) -> DataFrame:
-    return ev.ranked(staged(_states(s, d), "states"), _pool(s, d), staged(_index(s, d), "index")).select("opener", "text", F.col("rank").cast("long").alias("rank"), "parent_asin", F.round("p", 6).alias("p"))
+    return ev.ranked(staged(_states(s, d), "states"), _pool(s, d), _index(s, d)).select("opener", "text", F.col("rank").cast("long").alias("rank"), "parent_asin", F.round("p", 6).alias("p"))
 
 
 def belief_entropy(s: SparkSession, d: str) -> DataFrame:
-    return ev.entropy(staged(_states(s, d), "states"), _pool(s, d), staged(_index(s, d), "index"))
+    return ev.entropy(staged(_states(s, d), "states"), _pool(s, d), _index(s, d))
 
 
 def session_results(s: SparkSession, d: str) -> DataFrame:

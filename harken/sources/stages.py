@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def staged_path(spark: SparkSession, name: str) -> str:
@@ -26,3 +29,26 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = staged_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Tables kept for an application, by application, input folder and name.
+_KEPT: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
+def kept(spark: SparkSession, folder: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``name`` of an input folder, made and staged at its first use in an application and read from there afterwards.
+
+    For what every query of a folder needs, such as its index. The input is taken not to change while the application runs; a stage that is gone is made again.
+    """
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key in _KEPT:
+        path, schema = _KEPT[key]
+        try:
+            return spark.read.schema(schema).parquet(path)
+        except AnalysisException:
+            del _KEPT[key]
+    df = make()
+    path = staged_path(spark, name)
+    df.write.parquet(path)
+    _KEPT[key] = (path, df.schema)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,8 @@ their class and id. A name made of such words alone (``comments``, ``cookie-bar`
 (``related-work``) cuts only what consists of links, or a short note outside the article. Every paragraph then passes points for its length and
 its commas to its parent, half as much to each level above; a container's points are discounted by its link density. The text is all
 that is left, in page order, of the best container's article, else of its main element, else of the page; lists of links go where no article
-says what belongs to it. Siblings of an article that score well, read like prose or are its headings go with it.
+says what belongs to it, unless they follow the text of the best container, as references do. Siblings of an article that score well, read like prose or are its
+headings go with it. A form that holds more text than all the rest of the page is its frame and stays; so does a titled header within a part that is named as a post.
 
 Every pass visits each node once, so time grows with the page's length, whatever its depth.
 
@@ -48,6 +49,9 @@ PLAIN_WORDS = frozenset(
     "section box list bar area block container wrapper wrap content inner outer panel module slot unit button buttons link links text left right top bottom site page global primary secondary main item items body thread message policy privacy col column row group holder zone region sticky fixed media icons count user users reader readers post posts article articles story stories".split()
 )
 HEADERS = frozenset("header masthead banner".split())
+#: Words of the class of a part that is an article by name.
+NAMED_ARTICLES = frozenset("article post story entry".split())
+TITLES = frozenset("h1 h2 h3".split())
 #: Words of the class of an article that make it no part of the main text.
 OTHER_ARTICLES = frozenset("ad ads advert advertisement related recommended comment comments reply replies respond".split())
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^<>"']|"[^"<]*"|'[^'<]*')*>|</?[a-zA-Z][^>]*(?:>|\Z)""", re.S)
@@ -61,6 +65,8 @@ SIBLING_SHARE = 0.2
 DENSE = 0.5
 #: Characters that a page must keep after a cut by words, those of a part that may take their place, and those of a short note.
 SOME_TEXT, REAL_TEXT, NOTE = 25, 140, 80
+#: Characters of a block from which it is text that a list of links may belong to.
+PROSE = 40
 KEEP, CUT, DOUBT = 0, 1, 2
 
 
@@ -158,13 +164,32 @@ def hidden(node: Node, attrs: dict[str, str]) -> bool:
     return "hidden" in node.attrs and re.search(r"\shidden[\s=/>]", node.attrs) is not None
 
 
+def names(attrs: dict[str, str]) -> list[set[str]]:
+    """The words of each name of class and id."""
+    each = f"{attrs.get('class', '')} {attrs.get('id', '')}".split()
+    return [set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())) for name in each]
+
+
+def heads_post(node: Node) -> bool:
+    """Whether it stands right in a part that is named as an article and has a title among its first elements."""
+    above = node.parent
+    if above is None or above.tag not in ("div", "section") or not any(w & NAMED_ARTICLES and not w & WORDS for w in names(attributes(above))):
+        return False
+    first, stack = 0, node.nodes()
+    while stack and first < 40:
+        n = stack.pop(0)
+        if n.tag in TITLES:
+            return True
+        first, stack = first + 1, stack + n.nodes()[:8]
+    return False
+
+
 def named(node: Node, attrs: dict[str, str]) -> int:
     """What the words of class and id say."""
     out = KEEP
-    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
-        parts = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
+    for parts in names(attrs):
         found = parts & WORDS
-        if not found or found <= HEADERS and (node.inside or parts & {"article", "post", "story"}):
+        if not found or found <= HEADERS and (node.inside or parts & {"article", "post", "story"} or heads_post(node)):
             continue
         sure = parts <= WORDS | PLAIN_WORDS and (node.tag != "article" or parts & OTHER_ARTICLES)
         out = CUT if sure else out or DOUBT
@@ -181,7 +206,7 @@ def judged(node: Node) -> int | None:
     if hidden(node, attrs):
         return None
     role = attrs.get("role", "").lower()
-    if node.tag in RARELY and not (node.tag == "header" and node.inside) or role in ROLES and not (role == "banner" and node.inside):
+    if node.tag in RARELY and not (node.tag == "header" and (node.inside or heads_post(node))) or role in ROLES and not (role == "banner" and node.inside):
         return CUT
     return named(node, attrs) if "class" in attrs or "id" in attrs else KEEP
 
@@ -209,6 +234,11 @@ def measure(root: Node) -> None:
             n.linked, n.links = n.chars, n.links + 1
 
 
+def framing(node: Node) -> bool:
+    """Whether it is a form, and no name says which: some pages are forms as a whole."""
+    return node.tag == "form" and named(node, attributes(node)) == KEEP
+
+
 def prune(root: Node) -> None:
     """Cuts what is no main text."""
     stack = [root]
@@ -240,6 +270,12 @@ def prune(root: Node) -> None:
     plain = lambda n: n.chars - n.linked
     cut = outermost(root)
     left = plain(root) - sum(map(plain, cut))
+    largest = max(cut, key=plain, default=root)
+    while largest.mark == CUT and framing(largest) and plain(largest) >= REAL_TEXT and plain(largest) > left:
+        largest.mark = KEEP
+        cut = outermost(root)
+        left = plain(root) - sum(map(plain, cut))
+        largest = max(cut, key=plain, default=root)
     queue = [(-plain(n), i, n) for i, n in enumerate(cut)]
     heapq.heapify(queue)
     while left < SOME_TEXT and queue and -queue[0][0] >= REAL_TEXT:  # its name misleads: it holds the text
@@ -314,6 +350,21 @@ def blocks(roots: list[Node | str]) -> list[str]:
     return out
 
 
+def prose(n: Node | str) -> bool:
+    return not isinstance(n, str) and n.tag in BLOCKS and n.density() <= DENSE and n.chars >= PROSE
+
+
+def belongs(n: Node, k: Node, before: bool, after: bool) -> bool:
+    """Whether a dense part k of n goes with the text beside it: a list that follows text, or a paragraph with words between its links.
+
+    In the page itself, where menus follow the text too, it must stand between text.
+    """
+    if not before or n.tag in ("html", "body") and not after:
+        return False
+    said = " ".join(x for x in k.kids if isinstance(x, str))
+    return k.tag in ("ul", "ol", "dl") or k.tag == "p" and re.search(r"[^\W\d_]{2,}", said) is not None
+
+
 def main_parts(root: Node) -> list[Node | str]:
     """The best container's article, main element or page, and the siblings that go with it, in page order."""
     prune(root)
@@ -325,11 +376,20 @@ def main_parts(root: Node) -> list[Node | str]:
     scope = articles[-1] if articles else next((n for n in line if n.tag == "main"), root)
     if not articles:
         holds = {id(n) for n in line}
+        whole: set[int] = set()
+        near = holds | {id(n) for n in walk(best)}  # the best container, what it holds and what holds it
         stack = [scope]
         while stack:
             n = stack.pop()
-            n.kids = [k for k in n.kids if isinstance(k, str) or id(k) in holds or not (k.tag in BLOCKS and k.links > 1 and k.density() > DENSE)]
-            stack += n.nodes()
+            at = [i for i, k in enumerate(n.kids) if prose(k)] if id(n) in near else []
+            kept = []
+            for i, k in enumerate(n.kids):
+                dense = not isinstance(k, str) and id(k) not in holds and k.tag in BLOCKS and k.links > 1 and k.density() > DENSE
+                if not dense or at and belongs(n, k, at[0] < i, i < at[-1]):
+                    kept.append(k)
+                    whole |= {id(x) for x in walk(k)} if dense else set()
+            n.kids = kept
+            stack += [k for k in n.nodes() if id(k) not in whole]
     if scope.parent is None:
         return [scope]
     top, before, parts = best.points * (1 - best.density()), True, []

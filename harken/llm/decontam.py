@@ -95,6 +95,12 @@ def _checked(side: DataFrame, most: int) -> DataFrame:
     return F.broadcast(side) if side.limit(most + 1).count() <= most else side
 
 
+def _small(found: DataFrame, most: int) -> DataFrame:
+    """``found`` as the side to broadcast if it has at most ``most`` rows with forty places or items each on average, so that a text with many copies is no hot key."""
+    n, held = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("places") + F.size("items")), F.lit(0))).first()
+    return F.broadcast(found) if n <= most and held <= 40 * most else found
+
+
 def hits(texts: DataFrame, benchmark: DataFrame, item_col: str = "item_id", broadcast: int = BROADCAST) -> DataFrame:
     """From rows (k1, k2, t): one row per distinct text with hits: k1, k2, places of hit words, ascending, and items, sorted."""
     spark, key = texts.sparkSession, ["k1", "k2"]
@@ -106,7 +112,9 @@ def hits(texts: DataFrame, benchmark: DataFrame, item_col: str = "item_id", broa
     met = own.join(_checked(prints, broadcast), "fp").groupBy(*key).agg(F.collect_set("fp").alias("met"))
     met = written(spark, met, "benchmark-candidates")
 
-    found = _fingerprinted(_hashed(texts.join(met, key), *key, "met"), lengths)
+    # of equal texts one is looked at again: they meet before they are shuffled, where the candidates can be broadcast
+    again = texts.join(_checked(met, broadcast), key).groupBy(*key).agg(F.first("t").alias("t"), F.first("met").alias("met"))
+    found = _fingerprinted(_hashed(again, *key, "met"), lengths)
     nothing = F.array().cast("array<struct<i:int,m:int,said:string>>")
     spans = []
     for m in lengths:
@@ -125,7 +133,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     t, key = text_of(text_col), ["k1", "k2"]
     k1, k2 = F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(1), t).alias("k2")
     found = hits(docs.select(k1, k2, t.alias("t")), benchmark, item_col, broadcast)
-    df = docs.select(nested(docs).alias("row"), k1, k2, F.regexp_count(t, F.lit(RAW_WORD)).cast("long").alias("n")).join(found, key, "left")
+    df = docs.select(nested(docs).alias("row"), k1, k2, F.regexp_count(t, F.lit(RAW_WORD)).cast("long").alias("n")).join(_small(found, broadcast), key, "left")
     places = F.coalesce("places", F.array().cast("array<int>"))
     items = F.coalesce("items", F.array().cast("array<string>"))
     return restore(df, docs, "row", {"n_words": F.col("n"), "hit_words": places, "items": items, "contaminated": F.col("places").isNotNull()})

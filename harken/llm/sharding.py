@@ -21,6 +21,8 @@ from .common import text_of, written
 #: Rows are numbered inside hash buckets, at least BUCKETS and then as many as hold about BUCKET_ROWS each; the table of the buckets'
 #: counts is broadcast, and has never more than MOST_BUCKETS rows.
 BUCKETS, BUCKET_ROWS, MOST_BUCKETS = 4096, 100_000, 1 << 20
+#: Numbers of equal rows that are made at once.
+RUN = 100_000
 ROUNDS = 6
 #: Steps of cycle walking. Fewer than sqrt(n) of the a * b positions lie outside, so the odds of 64 in a row
 #: are below n ** -32; should it happen, the query fails rather than give a wrong place.
@@ -72,7 +74,12 @@ def numbered(rows: DataFrame, cols: list[str]) -> DataFrame:
     )
     inside = Window.partitionBy("_bucket").orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0)
     out = kinds.withColumn("_at", F.sum("_n").over(inside) - F.col("_n")).join(F.broadcast(offsets), "_bucket")
-    return out.select(*cols, "n_rows", F.explode(F.sequence(F.col("_offset") + F.col("_at"), F.col("_offset") + F.col("_at") + F.col("_n") - 1)).alias("row_number"))
+    # the numbers of equal rows in runs, which many tasks share where there are more than one
+    out = out.select(*cols, "n_rows", (F.col("_offset") + F.col("_at")).alias("_from"), "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / RUN))).alias("_run"))
+    out = out.withColumns({"_from": F.col("_from") + F.col("_run") * RUN, "_n": F.least(F.lit(RUN), F.col("_n") - F.col("_run") * RUN)})
+    if kinds.where(F.col("_n") > RUN).limit(1).count():
+        out = out.repartition("_from")
+    return out.select(*cols, "n_rows", F.explode(F.sequence(F.col("_from"), F.col("_from") + F.col("_n") - 1)).alias("row_number"))
 
 
 def shard(docs: DataFrame, shards: int = 8, seed: int = 20240131, key: str = "doc_id", text_col: str = "text") -> DataFrame:

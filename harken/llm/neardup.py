@@ -435,7 +435,7 @@ def _linked(spots: DataFrame, texts: DataFrame, weights: Weights, threshold: flo
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Tables in shared storage: of rows, id, key, h1, h2; of keys, key, label (the class), least (id and hashes of the class's first row), n_links."""
+    """Tables in shared storage: of rows, id, key, h1, h2; of keys, key, label (the class), least (id and hashes of the class's first row), n_joins."""
     spark = docs.sparkSession
     bounded_batches(spark)
     weights = Weights(weights_of(*sketch(docs, text_col)))
@@ -457,20 +457,20 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> t
     rest = written(spark, _linked(_blocks(met, classes), texts, weights, threshold), "links")
     joined = components(spark, rest.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("joined"))
 
-    ends = stars.unionByName(rest).select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
+    ends = stars.unionByName(rest).select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_joins"))
     table = nodes.select("key", "least").join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     table = table.join(written(spark, joined, "joined-classes"), "label", "left").withColumn("label", F.coalesce("joined", "label"))
-    table = written(spark, table.join(ends, "key", "left").select("key", "label", "least", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes")
+    table = written(spark, table.join(ends, "key", "left").select("key", "label", "least", F.coalesce("n_joins", F.lit(0)).cast("long").alias("n_joins")), "classes")
     first = written(spark, table.groupBy("label").agg(F.min("least").alias("first")), "firsts")
-    return signed.select("id", "key", "h1", "h2"), written(spark, table.join(first, "label").select("key", "label", F.col("first").alias("least"), "n_links"), "classes")
+    return signed.select("id", "key", "h1", "h2"), written(spark, table.join(first, "label").select("key", "label", F.col("first").alias("least"), "n_joins"), "classes")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs``: id, key, class_id (the least id of the class) and n_links (links of its text that were needed to join its class)."""
+    """One row per row of ``docs``: id, key, class_id (the least id of the class) and n_joins (links of its text that were needed to join its class)."""
     rows, table = _classes(docs, id_col, text_col, threshold)
-    out = rows.join(table.select("key", F.col("least.id").alias("first"), "n_links"), "key", "left")
+    out = rows.join(table.select("key", F.col("least.id").alias("first"), "n_joins"), "key", "left")
     alone = F.col("key").isNull()
-    return out.select(F.col("id").alias(id_col), "key", F.when(alone, F.col("id")).otherwise(F.col("first")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select(F.col("id").alias(id_col), "key", F.when(alone, F.col("id")).otherwise(F.col("first")).alias("class_id"), F.coalesce("n_joins", F.lit(0)).cast("long").alias("n_joins"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -36,7 +36,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_joins")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,8 +31,8 @@ from .chunks import chunked
 from .common import bounded_batches, strips, written
 from .tokenfile import Encoder
 
-#: Pairs that are broadcast at most.
-HEAD = 1_000_000
+#: Pairs that are broadcast at most; characters that a worker aligns at once, which is what bounds its memory.
+HEAD, CHARS = 1_000_000, 1 << 21
 #: The pieces' sign for a blank.
 BLANK = "▁"
 
@@ -220,7 +220,7 @@ def aligned(docs: DataFrame, path_a: str | None = None, path_b: str | None = Non
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = aligner(path_a, path_b)
-        for batch in batches:
+        for batch in (b.slice(lo, hi - lo) for b in batches for lo, hi in strips(b.column(1).to_pylist(), CHARS)):
             got = by.align(batch.column(1), products)
             said = got.texts()
             offsets, pairs, times = got.distinct()

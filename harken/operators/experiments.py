@@ -16,7 +16,7 @@ from harken.operators.scoring import MISS
 #: Kinds of results that resampling takes to the driver: at most (10 turns * 10 ranks + a miss) of one run, squared for pairs.
 KINDS = 20_000
 # What each named ablation turns off.
-ABLATIONS = {"no_spec_phrase": {"exact": False, "attribute": False}, "no_soft_card": {"card_gain": 0.0}, "no_lexical": {"lexical": False}, "no_exclude": {"exclude_shipped": False}, "bm25": {"bm25_gain": 2.0}}
+ABLATIONS = {"no_spec_phrase": {"exact": False, "attribute": False}, "no_soft_card": {"soft_card_gain": 0.0}, "no_lexical": {"lexical": False}, "no_exclude": {"exclude_shipped": False}, "bm25": {"bm25_gain": 2.0}}
 POLICY = {"v_continue": bf.CONTINUE, "turn_cost": bf.TURN_COST, "stall_decay": bf.HOPE_BLIND, "stall_decay_clean": bf.HOPE_CLEAR, "deadline": bf.DEADLINE, "exclude_shipped": True}
 
 

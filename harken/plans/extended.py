@@ -176,17 +176,18 @@ def stress_rewrite(s: SparkSession, d: str) -> DataFrame:
 def stressed_metrics(s: SparkSession, d: str) -> DataFrame:
     """The score at each level of rewording, and their mean."""
     index, out = _index(s, d), None
-    for level in (0, 1):
+    for level in sorted(rewording.LEVELS.values()):
         rows = sc.metrics(played(index, _sessions(s, d), Settings(), level)[2]).where("scenario_type = 'all'").select(F.lit("published").alias("config"), F.lit(level).alias("level"), "score")
         out = rows if out is None else out.unionByName(rows)
-    return out
+    levels = staged(out, "level-scores")
+    return levels.unionByName(ex.objectives(levels).select("config", F.lit(None).cast("int").alias("level"), F.col("objective").alias("score")))
 
 
 def ablated_metrics(s: SparkSession, d: str) -> DataFrame:
-    """The score without the evidence of cards, and with full-text evidence, over all sessions."""
+    """The score as published and under every named ablation, over all sessions."""
     index, out = _index(s, d), None
-    for name in ("no_spec_phrase", "bm25"):
-        rows = sc.metrics(played(index, _sessions(s, d), Settings(**ex.ABLATIONS[name]))[2]).where("scenario_type = 'all'").select(F.lit(name).alias("config"), "sample_count", "hit_rate", "mrr", "mttc", "score")
+    for name, change in {"published": {}, **ex.ABLATIONS}.items():
+        rows = sc.metrics(played(index, _sessions(s, d), Settings(**change))[2]).where("scenario_type = 'all'").select(F.lit(name).alias("config"), "sample_count", "hit_rate", "mrr", "mttc", "score")
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -114,56 +114,155 @@ def test_tiers_against_one_by_one(spark, dialogues):
     assert got == {s: set(one_by_one(turns, readings)) for s, turns in sessions.items() if one_by_one(turns, readings)}
 
 
+def streamed(spark, folder, parts, silence=30 * 60 * 1000, name="held"):
+    """The rows that a stream over ``parts`` (files, one a batch) gives; the query is stopped and started again after each of them."""
+    import time
+
+    from harken.streaming.sessions import held_constraints
+
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    for part in parts:
+        if part is None:
+            time.sleep(silence / 1000 + 0.3)
+        else:
+            part.coalesce(1).write.mode("append").parquet(f"file://{folder}/in")
+        stream = spark.readStream.schema("sample_id string, turn int, message string").parquet(f"file://{folder}/in")
+        query = held_constraints(stream, silence).writeStream.format("parquet").option("path", f"file://{folder}/out").outputMode("append").option("checkpointLocation", f"file://{folder}/check").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.parquet(f"file://{folder}/out")
+
+
+COLS = ["sample_id", "turn", "part", "reading", "text", "attribute", "value", "tier"]
+
+
 def test_streamed_sessions_hold_what_batches_hold(spark, dialogues, tmp_path):
-    """Messages arrive in three files, turns out of order."""
+    """Keys are strings, messages arrive in three files, turns out of order, and the query starts again from its checkpoint after each."""
     from harken.operators import dialogue as dlg
     from harken.operators import intent
-    from harken.streaming.sessions import held_constraints
 
-    for k in range(3):
-        dialogues.where(F.pmod(F.xxhash64("sample_id", "turn"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
-    stream = spark.readStream.schema(dialogues.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
-    query = held_constraints(stream).writeStream.format("memory").queryName("held").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/check").trigger(availableNow=True).start()
-    query.awaitTermination()
-    cols = ["sample_id", "turn", "part", "reading", "text", "attribute", "value", "tier"]
-    want = intent.tiered_constraints(dlg.parsed(dialogues)).select(*cols).collect()
-    assert sorted(map(tuple, spark.table("held").select(*cols).collect())) == sorted(map(tuple, want))
-
-
-def test_transactions():
-    from harken.operators.transactions import Session
-
-    def p(op, value="cotton", canonical="cotton", attribute="material", group="", alternatives=(), **more):
-        return {"op": op, "attribute": attribute, "value": value, "own_value": value, "evidence": value, "polarity": "require", "strength": "hard", "confidence": 0.9, "group": group, "canonical": canonical, "resolved": canonical, "alternatives": list(alternatives)} | more
-
-    option = lambda v, c: {"text": v, "attribute": "material", "value": v, "confidence": c}
-    s = Session()
-    s.apply(1, [p("add"), p("add", "poly", None, alternatives=[option("polyester", 0.5), option("spandex", 0.4)]), p("add", "poly", None, alternatives=[option("polyester", 0.5), option("spandex", 0.4)])])
-    assert [c["value"] for c in s.live()] == ["cotton"] and len(s.open) == 1 and s.open[0]["alive"]
-    s.apply(2, [p("add", "polyester", "polyester")])  # settles the span
-    assert not s.open[0]["alive"] and len(s.live()) == 2
-    s.apply(3, [p("replace", "wool", "wool")])
-    assert [(c["value"], c["demoted"]) for c in s.live()] == [("cotton", True), ("polyester", True), ("wool", False)]
-    s.apply(4, [p("replace", "unknown", None)])  # what resolves to nothing changes nothing
-    assert len(s.live()) == 3 and len(s.open) == 1
-    s.apply(5, [p("add", "a", "silk", group="g"), p("add", "b", "rayon", group="g", confidence=0.3)])
-    assert [round(o["confidence"], 2) for o in s.open[1]["alternatives"]] == [0.75, 0.25] and len(s.live()) == 3
-    s.apply(6, [p("confirm", "wool", None, confidence=1.0), p("no_preference", "", None)])
-    assert s.live()[2]["confidence"] == 1.0 and s.live()[2]["tier"] == "canonical+confirmed"
-    hard = Session("delete")
-    hard.apply(1, [p("add"), p("remove")])
-    assert not hard.live() and hard.held[0]["ended_turn"] == 1
-
-
-def test_rewording():
-    from harken.functions.stress import FRAMES, reworded
-
-    assert reworded("I'm looking for Men's Shoes, but I'm still exploring.", 0) == "I'm looking for Men's Shoes, but I'm still exploring." and reworded("other words", 3) == "other words" and reworded(None, 2) is None
-    for level in (1, 2, 3):
-        for m in ("I'm looking for Shoes. A key requirement is: Material: alloy.", "For that, what matters is: Color: red; 100% cotton.", "I don't have a preference for size; please use your judgment."):
-            assert reworded(m, level) == reworded(m, level) != m
-    assert reworded("For that, what matters is: Color: red; 100% cotton.", 1) in {f.format(payload="Color: red; 100% cotton") for f in FRAMES["reply"]}
-    assert "100%" not in reworded("For that, what matters is: Color: red; 100% cotton.", 2)
+    said = dialogues.select(F.concat(F.lit("s-"), F.col("sample_id")).alias("sample_id"), F.col("turn").cast("int").alias("turn"), "message")
+    got = streamed(spark, tmp_path, [said.where(F.pmod(F.xxhash64("sample_id", "turn"), F.lit(3)) == k) for k in range(3)])
+    want = intent.tiered_constraints(dlg.parsed(said)).select(*COLS).collect()
+    assert sorted(map(tuple, got.select(*COLS).collect())) == sorted(map(tuple, want))
+
+
+def test_silent_sessions_end(spark, tmp_path):
+    """A session without its last turns, and one with a gap, end by their timer: what waits is taken in, the state goes, and a message that comes later begins anew."""
+    rows = [("a", 1, "I'm looking for Shoes. A key requirement is: cotton."), ("a", 2, "For that, what matters is: black."), ("b", 1, "I'm looking for Hats."), ("b", 3, "For that, what matters is: wool; red.")]
+    df = spark.createDataFrame(rows, "sample_id string, turn int, message string")
+    other = spark.createDataFrame([("c", 1, "For that, what matters is: silk.")], df.schema)
+    again = spark.createDataFrame([("a", 1, "For that, what matters is: cotton.")], df.schema)
+    got = streamed(spark, tmp_path, [df, None, other, None, again], silence=1000)
+    found = sorted((r.sample_id, r.turn, r.text) for r in got.where("reading = 0").collect())
+    assert found == [("a", 1, "cotton"), ("a", 1, "cotton"), ("a", 2, "black"), ("b", 3, "red"), ("b", 3, "wool"), ("c", 1, "silk")]
+
+
+def proposal(session, turn, ord_, op, value="cotton", canonical=True, attribute="material", group="", alternatives=(), **more):
+    named = value if canonical is True else canonical
+    row = {"session_id": session, "turn": turn, "ord": ord_, "op": op, "attribute": attribute, "value": value, "evidence": value, "polarity": "require", "strength": "hard", "confidence": 0.9, "group": group, "canonical": named, "resolved": named, "own_value": value, "alternatives": [(v, attribute, v, c) for v, c in alternatives]} | more
+    return tuple(row[c] for c in RESOLVED)
+
+
+RESOLVED = ["session_id", "turn", "ord", "op", "attribute", "value", "evidence", "polarity", "strength", "confidence", "group", "canonical", "resolved", "own_value", "alternatives"]
+RESOLVED_SCHEMA = "session_id string, turn int, ord int, op string, attribute string, value string, evidence string, polarity string, strength string, confidence double, `group` string, canonical string, resolved string, own_value string, alternatives array<struct<text:string,attribute:string,value:string,confidence:double>>"
+
+
+def one_after_another(rows, erase):
+    """What a session holds, told by going through its proposals: (value, turn, demoted, alive, ended_turn, confidence, tier) and (evidence, turn, alive, ended_turn)."""
+    held, open_ = [], []
+
+    def over(turn, attribute, value=None):
+        for s in open_:
+            if s["end"] is None and any(o[1] == attribute and value in (None, o[2]) for o in s["options"]):
+                s["end"] = turn
+
+    def doubt(turn, evidence, options):
+        if options and not any(s["end"] is None and (s["text"].lower(), [o[1:3] for o in s["options"]]) == (evidence.lower(), [o[1:3] for o in options]) for s in open_):
+            open_.append({"text": evidence, "options": options, "turn": turn, "end": None})
+
+    rows = [dict(zip(RESOLVED, r, strict=True)) for r in rows]
+    for turn in sorted({r["turn"] for r in rows}):
+        now = sorted((r for r in rows if r["turn"] == turn), key=lambda r: r["ord"])
+        groups = {}
+        for r in now:
+            if r["group"]:
+                groups.setdefault(r["group"], []).append(r)
+        unsure = {g: rs for g, rs in groups.items() if len(rs) > 1}
+        for rs in unsure.values():
+            doubt(turn, rs[0]["evidence"], [o for r in rs for o in ([(r["canonical"], r["attribute"], r["resolved"], r["confidence"])] if r["canonical"] else []) + r["alternatives"]][:6])
+        for r in now:
+            if r["group"] in unsure:
+                continue
+            live = [h for h in held if h["alive"]]
+            meant = [h for h in live if h["attribute"] == r["attribute"] and (r["value"] in (h["value"], h["text"], h["source"]) or r["own_value"] == h["value"])]
+            gone = meant if r["op"] == "remove" else [h for h in live if h["attribute"] == r["attribute"] and h["turn"] < turn] if r["op"] == "replace" and r["canonical"] else []
+            for h in gone:
+                h["demoted"], h["alive"], h["end"] = erase == "demote", erase == "demote", turn
+            if r["op"] == "confirm":
+                for h in meant:
+                    h["confidence"] = max(h["confidence"], r["confidence"])
+                    if r["canonical"]:
+                        h["source"], h["text"], h["tier"] = r["evidence"], r["canonical"], "canonical"
+                    elif "confirmed" not in h["tier"]:
+                        h["tier"] += "+confirmed"
+            elif r["op"] == "remove" or r["op"] == "replace" and r["canonical"]:
+                over(turn, r["attribute"])
+            if r["op"] in ("add", "replace") and not r["canonical"]:
+                doubt(turn, r["evidence"], r["alternatives"])
+            elif r["op"] in ("add", "replace") and not any(h["alive"] and h["polarity"] == r["polarity"] and (h["text"] == r["canonical"] or (h["attribute"], h["value"]) == (r["attribute"], r["resolved"])) for h in held):
+                held.append({"attribute": r["attribute"], "value": r["resolved"], "text": r["canonical"], "source": r["evidence"], "polarity": r["polarity"], "turn": turn, "confidence": r["confidence"], "tier": "canonical", "demoted": False, "alive": True, "end": None})
+                over(turn, r["attribute"], r["resolved"])
+    facts = sorted((h["value"], h["turn"], h["demoted"], h["alive"], h["end"], h["confidence"], h["tier"]) for h in held)
+    return facts, sorted((s["text"], s["turn"], s["end"] is None, s["end"]) for s in open_)
+
+
+def test_proposals_as_a_history(spark):
+    """Random sessions, and one told by hand, against going through them one proposal after another."""
+    from harken.operators import transactions
+
+    hand = [
+        proposal("hand", 1, 1, "add"), proposal("hand", 1, 2, "add", "poly", None, alternatives=[("polyester", 0.5), ("spandex", 0.4)]), proposal("hand", 1, 3, "add", "poly", None, alternatives=[("polyester", 0.5), ("spandex", 0.4)]),
+        proposal("hand", 2, 1, "add", "polyester"), proposal("hand", 3, 1, "replace", "wool"), proposal("hand", 4, 1, "replace", "unknown", None), proposal("hand", 5, 1, "add", "silk", group="g"),
+        proposal("hand", 5, 2, "add", "rayon", group="g", confidence=0.3), proposal("hand", 6, 1, "confirm", "wool", None, confidence=1.0), proposal("hand", 6, 2, "no_preference", "", None),
+    ]
+    r = __import__("random").Random(4)
+    sessions = {"hand": hand}
+    for k in range(120):
+        rows, values = [], ["cotton", "wool", "silk", "red"]
+        for turn in range(1, r.randrange(2, 6)):
+            for ord_ in range(1, r.randrange(1, 6)):
+                op, value = r.choice(["add", "add", "add", "replace", "remove", "confirm", "no_preference"]), r.choice(values)
+                known = r.random() < 0.75
+                rows.append(proposal(f"r{k}", turn, ord_, op, value, True if known else None, group=r.choice(["", "", "", "g"]), alternatives=() if known else tuple((v, 0.4) for v in r.sample(values, 2)), polarity=r.choice(["require", "require", "avoid"]), confidence=r.choice([0.6, 0.8, 1.0])))
+        sessions[f"r{k}"] = rows
+    df = spark.createDataFrame([x for rows in sessions.values() for x in rows], RESOLVED_SCHEMA)
+    for erase in ("demote", "delete"):
+        got = {}
+        for x in transactions.applied(df, erase).collect():
+            facts, spans = got.setdefault(x.session_id, ([], []))
+            if x.kind == "span":
+                spans.append((x.text, x.turn, x.alive, x.ended_turn))
+            else:
+                facts.append((x.value, x.turn, x.demoted, x.alive, x.ended_turn, x.confidence, x.tier))
+        for name, rows in sessions.items():
+            facts, spans = got.get(name, ([], []))
+            assert (sorted(facts, key=str), sorted(spans, key=str)) == tuple(sorted(x, key=str) for x in one_after_another(rows, erase)), (erase, rows)
+    of = {x.session_id: x for x in transactions.flags(df).collect()}
+    assert (of["hand"].override_seen, of["hand"].route, of["hand"].asked) == (True, "override", ["material"])
+    mixture = transactions.applied(df.where("session_id = 'hand'")).where("kind = 'span' and turn = 5").first().alternatives
+    assert [round(o.confidence, 2) for o in mixture] == [0.75, 0.25]
+
+
+def test_rewording(spark):
+    from harken.functions.rewording import SENTENCES, reworded
+
+    said = ["I'm looking for Men's Shoes, but I'm still exploring.", "I'm looking for Shoes. A key requirement is: Material: alloy.", "For that, what matters is: Color: red; 100% cotton.", "I don't have a preference for size; please use your judgment.", "other words", None]
+    df = spark.createDataFrame([(x,) for x in said], "m string").select("m", *[reworded(F.col("m"), k).alias(f"l{k}") for k in range(4)])
+    rows = {r.m: r for r in df.collect()}
+    assert all(r.l0 == m for m, r in rows.items()) and rows["other words"].l3 == "other words" and rows[None].l2 is None
+    assert all(r[f"l{k}"] != m for m, r in rows.items() if m not in ("other words", None) for k in (1, 2, 3))
+    assert rows[said[2]].l1 in {f.replace("#", "Color: red; 100% cotton") for f in SENTENCES["reply"]}
+    assert "100%" not in rows[said[2]].l2 and "cotton" in rows[said[2]].l2 and rows[said[0]].l1 != rows[said[1]].l1
 
 
 def test_registry(spark, tmp_path):

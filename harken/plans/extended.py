@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harken.cli import played
 from harken.functions import rewording
 from harken.functions import text as tx
-from harken.operators import baseline, intent, replies, transactions
+from harken.operators import baseline, fusion, intent, replies, transactions
 from harken.operators import belief as bf
 from harken.operators import catalog as cat
 from harken.operators import dialogue as dlg
@@ -19,7 +21,7 @@ from harken.operators import vocabulary as voc
 from harken.plans.queries import Query, _concepts, _conversations, _heads, _index, _item_pairs, _openers, _per_session, _pool, _pool_sizes, _sessions, _shipped, _states, _texts
 from harken.sources import views
 from harken.sources.registry import Settings
-from harken.sources.stages import staged, staged_path
+from harken.sources.stages import kept, staged, staged_path
 
 #: Spans that may mean several things: span, text, attribute, value, confidence, polarity.
 SPANS = (
@@ -101,9 +103,12 @@ def vocabulary_candidates(s: SparkSession, d: str) -> DataFrame:
     return found.select("attribute", "phrase", F.col("rank").cast("long").alias("rank"), "concept", "label", F.round("score", 6).alias("score"), "support")
 
 
+def _resolved(s: SparkSession, d: str) -> DataFrame:
+    return kept(s, d, "resolved", lambda: transactions.resolved(staged(intent.validated(views.proposals(s, d)), "proposals"), _concepts(s, d)))
+
+
 def applied_proposals(s: SparkSession, d: str) -> DataFrame:
-    found = _concepts(s, d)
-    return transactions.applied(transactions.resolved(intent.validated(views.proposals(s, d)), found))
+    return transactions.applied(_resolved(s, d))
 
 
 def ambiguity_mixtures(s: SparkSession, d: str) -> DataFrame:
@@ -114,6 +119,17 @@ def ambiguity_mixtures(s: SparkSession, d: str) -> DataFrame:
     return found.groupBy("span").agg(F.count(F.lit(1)).alias("n_items"), F.round(F.sum("gain"), 4).alias("total"))
 
 
+def fused_lists(s: SparkSession, d: str) -> DataFrame:
+    """The lists of the third turn of every session that something was proposed in: what is to be required, to be avoided, and uncertain."""
+    held, spans = fusion.statements(staged(intent.validated(views.proposals(s, d)), "proposals"))
+    held, spans = staged(held, "statements"), staged(spans, "spans")
+    told = held.select("session_id").unionByName(spans.select("session_id")).distinct()
+    openers = staged(_sessions(s, d).select(F.col("sample_id").alias("session_id"), dlg.initial_message().alias("opener")).join(told, "session_id"), "session-openers")
+    pool = _pool(s, d)
+    found = staged(fusion.fused(held, spans, openers, pool, _index(s, d), _item_pairs(s, d), 3), "evidence")
+    return fusion.lists(found, openers, pool).select("session_id", F.col("rank").cast("long").alias("rank"), "parent_asin", F.round("e", 5).alias("evidence"))
+
+
 def polarity_gains(s: SparkSession, d: str) -> DataFrame:
     index = _index(s, d)
     said = _texts(s, d).select("text", F.explode_outer(tx.pairs(F.col("text"))).alias("p")).where("p is not null").select("text", "p.*")
@@ -183,21 +199,28 @@ def stressed_metrics(s: SparkSession, d: str) -> DataFrame:
     return levels.unionByName(ex.objectives(levels).select("config", F.lit(None).cast("int").alias("level"), F.col("objective").alias("score")))
 
 
+def _scored(s: SparkSession, d: str, settings: Settings) -> DataFrame:
+    """Results of all sessions under settings; what the settings leave alone is not made again."""
+    sessions, read, held = _conversations(s, d)
+    policy, usual = {k: getattr(settings, k) for k in ex.POLICY}, asdict(Settings())
+    same = all(v == usual[k] for k, v in asdict(settings).items() if k not in ex.POLICY)
+    heads = _heads(s, d) if same else staged(bf.heads(held, read, _pool(s, d), _index(s, d), _item_pairs(s, d), settings), "heads")
+    plan = bf.policy(read, dlg.stalls(read, held), F.broadcast(ex.configurations(s, {"set": policy}))).drop("config")
+    return staged(bf.results(sessions, staged(bf.played(heads, plan, _pool_sizes(read, _pool(s, d))), "lists")), "results")
+
+
 def ablated_metrics(s: SparkSession, d: str) -> DataFrame:
     """The score as published and under every named ablation, over all sessions."""
-    index, out = _index(s, d), None
+    out = None
     for name, change in {"published": {}, **ex.ABLATIONS}.items():
-        rows = sc.metrics(played(index, _sessions(s, d), Settings(**change))[2]).where("scenario_type = 'all'").select(F.lit(name).alias("config"), "sample_count", "hit_rate", "mrr", "mttc", "score")
+        rows = sc.metrics(_scored(s, d, Settings(**change))).where("scenario_type = 'all'").select(F.lit(name).alias("config"), "sample_count", "hit_rate", "mrr", "mttc", "score")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def paired_interval(s: SparkSession, d: str) -> DataFrame:
     """The interval of what leaving out proven items gains."""
-    index = _index(s, d)
-    after = staged(played(index, _sessions(s, d), Settings())[2], "results")
-    before = staged(played(index, _sessions(s, d), Settings(exclude_shipped=False))[2], "results")
-    return ex.interval_row(s, ex.paired_bootstrap(before, after), ["low", "mean", "high"])
+    return ex.interval_row(s, ex.paired_bootstrap(_scored(s, d, Settings(exclude_shipped=False)), _scored(s, d, Settings())), ["low", "mean", "high"])
 
 
 def jsonl_catalog(s: SparkSession, d: str) -> DataFrame:
@@ -219,7 +242,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         prose_readings, tiered_constraints, slot_ages, override_modes, baseline_terms, field_search, reply_sentences, rendered_templates, state_json, validated_proposals,
-        vocabulary_candidates, applied_proposals, ambiguity_mixtures, polarity_gains, known_curve, shipped_curve, stopping_bound, latency_percentiles, token_usage, freeform_coverage,
+        vocabulary_candidates, applied_proposals, ambiguity_mixtures, fused_lists, polarity_gains, known_curve, shipped_curve, stopping_bound, latency_percentiles, token_usage, freeform_coverage,
         config_depths, config_sweep, stress_rewrite, stressed_metrics, ablated_metrics, paired_interval, jsonl_catalog, jsonl_transcripts,
     )
 }

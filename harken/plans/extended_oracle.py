@@ -91,6 +91,24 @@ found AS (SELECT span, text, attribute, value, confidence, polarity, parent_asin
 mass AS (SELECT span, sum(confidence) AS m FROM (SELECT DISTINCT span, text, attribute, value, confidence FROM found) GROUP BY 1),
 mixed AS (SELECT span, parent_asin, sum(confidence * (CASE WHEN polarity = 'avoid' THEN greatest(0.02, exp(-3.2 * s)) - 1 ELSE greatest(0.02, exp(3.2 * (s - 1))) - exp(-3.2) END)) AS lift, max(CASE WHEN polarity = 'avoid' THEN 1.0 ELSE exp(-3.2) END) AS none FROM found GROUP BY 1, 2)""",
         "SELECT span, count(*) AS n_items, round(sum(ln(greatest(1e-12, none + lift / m)) - ln(none)), 4) AS total FROM mixed JOIN mass USING (span) GROUP BY 1"),
+    "fused_lists": over(BELIEF + "," + PROPOSED + """,
+prop AS (SELECT *, g <> '' AND count(*) OVER (PARTITION BY session_id, turn, g) > 1 AS unsure FROM fit WHERE confidence >= 0.55 OR g <> '' AND n > 1 AND best >= 0.55),
+cons AS (SELECT session_id, value AS text, attribute, value, polarity, min(turn) AS turn, max(confidence) AS confidence, min(strength) AS strength FROM prop WHERE NOT unsure AND op IN ('add', 'replace') AND value <> '' GROUP BY 1, 2, 3, 4, 5),
+alts AS (SELECT session_id, turn, g, value AS text, attribute, value, pol AS polarity, max(confidence) AS confidence FROM (SELECT *, arg_min(polarity, ord) OVER (PARTITION BY session_id, turn, g) AS pol FROM prop WHERE unsure) WHERE value <> '' GROUP BY 1, 2, 3, 4, 5, 6, 7),
+ended AS (SELECT DISTINCT a.session_id, a.turn, a.g FROM alts a JOIN cons c USING (session_id, attribute, value) WHERE c.turn > a.turn),
+open_spans AS (SELECT * FROM alts ANTI JOIN ended USING (session_id, turn, g)),
+mine AS (SELECT sample_id AS session_id, opener FROM opened WHERE sample_id IN (SELECT session_id FROM cons UNION ALL SELECT session_id FROM open_spans)),
+asked AS (SELECT DISTINCT text, attribute, value FROM (SELECT text, attribute, value FROM cons UNION ALL SELECT text, attribute, value FROM open_spans))""" + MATCHED + """,
+xx AS (SELECT DISTINCT unnest(card) AS text, parent_asin FROM items),
+found AS (SELECT text, attribute, value, parent_asin, max(s) AS s, max(soft) AS soft FROM (SELECT a.*, parent_asin, 1.5 / 3.2 AS s, 1.5 / 3.2 AS soft FROM asked a JOIN pair_i USING (attribute, value) UNION ALL SELECT a.*, parent_asin, s, s FROM asked a JOIN lx USING (text) UNION ALL SELECT a.*, parent_asin, 1.0, NULL FROM asked a JOIN xx USING (text)) GROUP BY ALL),
+sure AS (SELECT session_id, parent_asin, pool_pos, pow(0.9, 3 - turn) * CASE WHEN strength = 'soft' THEN 0.7 ELSE 1 END * confidence * CASE WHEN polarity = 'avoid' THEN ln(greatest(0.02, exp(-3.2 * s))) ELSE ln(greatest(0.02, exp(3.2 * (s - 1)))) + 3.2 END AS e
+  FROM cons JOIN mine USING (session_id) JOIN found USING (text, attribute, value) JOIN pool USING (opener, parent_asin)),
+meant AS (SELECT session_id, turn, g, text, attribute, value, confidence, polarity, parent_asin, pool_pos, soft FROM open_spans JOIN mine USING (session_id) JOIN found USING (text, attribute, value) JOIN pool USING (opener, parent_asin) WHERE soft IS NOT NULL),
+mass AS (SELECT session_id, turn, g, sum(confidence) AS m FROM (SELECT DISTINCT session_id, turn, g, text, attribute, value, confidence FROM meant) GROUP BY 1, 2, 3),
+lifted AS (SELECT session_id, turn, g, parent_asin, pool_pos, sum(confidence * (CASE WHEN polarity = 'avoid' THEN greatest(0.02, exp(-3.2 * soft)) - 1 ELSE greatest(0.02, exp(3.2 * (soft - 1))) - exp(-3.2) END)) AS lift, max(CASE WHEN polarity = 'avoid' THEN 1.0 ELSE exp(-3.2) END) AS none FROM meant GROUP BY 1, 2, 3, 4, 5),
+told_e AS (SELECT session_id, parent_asin, pool_pos, e FROM sure UNION ALL SELECT session_id, parent_asin, pool_pos, pow(0.9, 3 - turn) * 0.7 * (ln(greatest(1e-12, none + lift / m)) - ln(none)) FROM lifted JOIN mass USING (session_id, turn, g)),
+every AS (SELECT session_id, parent_asin, p.pool_pos, round(coalesce(sum(e), 0), 9) AS e FROM mine JOIN pool p USING (opener) LEFT JOIN told_e t USING (session_id, parent_asin) GROUP BY 1, 2, 3)""",
+        "SELECT session_id, rank, parent_asin, round(e, 5) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY e DESC, pool_pos) AS rank FROM every) WHERE rank <= 10"),
     "polarity_gains": over(CATALOG + f", asked AS (SELECT text, split_part(p, '=', 1) AS attribute, substr(p, position('=' IN p) + 1) AS value FROM (SELECT text, unnest({ordered('ps')}) AS p FROM (SELECT text, {pairs_of('trim(text)')} AS ps FROM card_texts)))" + MATCHED + """,
 xx AS (SELECT DISTINCT unnest(card) AS text, parent_asin FROM items),
 found AS (SELECT text, attribute, value, parent_asin, max(s) AS s FROM (SELECT a.*, parent_asin, 1.5 / 3.2 AS s FROM asked a JOIN pair_i USING (attribute, value) UNION ALL SELECT a.*, parent_asin, s FROM asked a JOIN lx USING (text) UNION ALL SELECT a.*, parent_asin, 1.0 FROM asked a JOIN xx USING (text)) GROUP BY ALL)""",

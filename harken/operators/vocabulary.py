@@ -71,12 +71,34 @@ def canonical(phrases: DataFrame, found: DataFrame) -> DataFrame:
     return df.select("attribute", "phrase", F.coalesce("literal", F.when(~F.col("key").isin(*AMBIGUOUS), F.col("meant"))).alias("label"))
 
 
+def bitmaps(members: DataFrame, *key: str) -> DataFrame:
+    """(key, item) to (key, bucket, bits): item numbers as bits, 32,768 to a bucket, combined before they are shuffled."""
+    at = members.select(*key, F.bitmap_bucket_number("item").alias("bucket"), F.bitmap_bit_position("item").alias("bit"))
+    return at.groupBy(*key, "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def joint_support(asked: DataFrame, found: DataFrame, pool: DataFrame, *key: str) -> DataFrame:
+    """(opener, key, attribute, concept) to (opener, key, n_items): items of the opener's pool that have every concept of the key's rows.
+
+    Sets of items are bitmaps in buckets of item numbers; a conjunction is their AND, bucket by bucket, and a bucket that one of them lacks is empty. A row
+    of the shuffle is a bucket, never an item of a pool. ``found`` is concepts(), whose cat_pos numbers the items.
+    """
+    items = found.select("parent_asin", F.col("cat_pos").alias("item")).distinct()
+    pools = bitmaps(pool.join(items, "parent_asin").select("opener", "item"), "opener")
+    sets = bitmaps(found.select("attribute", "concept", F.col("cat_pos").alias("item")), "attribute", "concept")
+    asked = asked.select("opener", *key, F.col("attribute").alias("a"), F.col("concept").alias("c")).distinct()
+    keys = asked.groupBy("opener", *key).agg((F.count(F.lit(1)) + 1).alias("n"))
+    rows = asked.join(sets, (F.col("a") == F.col("attribute")) & (F.col("c") == F.col("concept"))).select("opener", *key, "bucket", "bits")
+    rows = rows.unionByName(keys.select("opener", *key).join(pools, "opener").select("opener", *key, "bucket", "bits"))
+    both = rows.groupBy("opener", *key, "bucket").agg(F.bitmap_and_agg("bits").alias("bits"), F.count(F.lit(1)).alias("of"))
+    both = both.join(keys, ["opener", *key]).where(F.col("of") == F.col("n")).groupBy("opener", *key).agg(F.sum(F.bitmap_count("bits")).alias("n_items"))
+    return keys.drop("n").join(both, ["opener", *key], "left").withColumn("n_items", F.coalesce("n_items", F.lit(0)))
+
+
 def support(asked: DataFrame, found: DataFrame, pool: DataFrame) -> DataFrame:
     """(opener, attribute, concept) to the number of items of the opener's pool that have the concept."""
-    items = found.select("attribute", "concept", "parent_asin").distinct()
-    hits = asked.join(items, ["attribute", "concept"]).join(pool.select("opener", "parent_asin"), ["opener", "parent_asin"])
-    n = hits.groupBy("opener", "attribute", "concept").agg(F.count(F.lit(1)).alias("n_items"))
-    return asked.join(n, ["opener", "attribute", "concept"], "left").withColumn("n_items", F.coalesce("n_items", F.lit(0)))
+    named = asked.select("opener", "attribute", "concept", F.col("attribute").alias("of_a"), F.col("concept").alias("of_c"))
+    return joint_support(named, found, pool, "of_a", "of_c").select("opener", F.col("of_a").alias("attribute"), F.col("of_c").alias("concept"), "n_items")
 
 
 def category_hypotheses(phrases: DataFrame, categories: DataFrame, temperature: float = ctg.TEMPERATURE) -> DataFrame:

@@ -104,7 +104,15 @@ def vocabulary_candidates(s: SparkSession, d: str) -> DataFrame:
 
 
 def _resolved(s: SparkSession, d: str) -> DataFrame:
-    return kept(s, d, "resolved", lambda: transactions.resolved(staged(intent.validated(views.proposals(s, d)), "proposals"), _concepts(s, d)))
+    """Proposals with what they mean, meanings that the session's pool supports first."""
+    found = _concepts(s, d)
+
+    def supports(asked: DataFrame) -> DataFrame:
+        openers = _sessions(s, d).select(F.col("sample_id").alias("session_id"), dlg.initial_message().alias("opener"))
+        asked = staged(asked.join(openers, "session_id"), "asked-concepts")
+        return asked.join(voc.support(asked.drop("session_id").distinct(), found, _pool(s, d)), ["opener", "attribute", "concept"]).drop("opener")
+
+    return kept(s, d, "resolved", lambda: transactions.resolved(staged(intent.validated(views.proposals(s, d)), "proposals"), found, supports))
 
 
 def applied_proposals(s: SparkSession, d: str) -> DataFrame:

@@ -348,3 +348,20 @@ def test_sweep_of_the_published_policy_is_the_played_score(spark):
     swept = extended.QUERIES["config_sweep"](spark, folder).where("config = 'published'").first()
     played = queries.QUERIES["played_metrics"](spark, folder).where("scenario_type = 'all'").first()
     assert (swept.sample_count, swept.hit_rate, swept.mrr, swept.mttc) == (played.sample_count, played.hit_rate, played.mrr, played.mttc)
+
+
+def test_joint_support_by_bitmaps(spark):
+    """Counts of conjunctions against plain sets, over items in several buckets, with a concept that no item of the pool has."""
+    from harken.operators import vocabulary as voc
+
+    r = __import__("random").Random(6)
+    items = [f"p{i}" for i in range(300)]
+    number = {x: i * 997 for i, x in enumerate(items)}  # nine buckets
+    has = {c: set(r.sample(items, n)) for c, n in (("cotton", 150), ("black", 90), ("wool", 40), ("none", 0))}
+    pools = {"o1": set(items[:200]), "o2": set(r.sample(items, 60))}
+    found = spark.createDataFrame([("feature", c, c, x, number[x]) for c, xs in has.items() for x in xs] + [("other", "any", "any", x, number[x]) for x in items], "attribute string, concept string, label string, parent_asin string, cat_pos long")
+    pool = spark.createDataFrame([(o, x, i) for o, xs in pools.items() for i, x in enumerate(sorted(xs))], "opener string, parent_asin string, pool_pos long")
+    sets = {"a": ["cotton"], "b": ["cotton", "black"], "c": ["cotton", "black", "wool"], "d": ["cotton", "none"]}
+    asked = spark.createDataFrame([(o, k, "feature", c) for o in pools for k, cs in sets.items() for c in cs], "opener string, k string, attribute string, concept string")
+    got = {(x.opener, x.k): x.n_items for x in voc.joint_support(asked, found, pool, "k").collect()}
+    assert got == {(o, k): len(xs.intersection(*[has[c] for c in cs])) for o, xs in pools.items() for k, cs in sets.items()}

@@ -232,9 +232,9 @@ def paired_interval(s: SparkSession, d: str) -> DataFrame:
 
 
 def jsonl_catalog(s: SparkSession, d: str) -> DataFrame:
-    """The catalog written as JSON lines, read back, indexed."""
+    """The catalog written as JSON lines, a file for each range of its order, read back in the order of files, indexed."""
     path, items = staged_path(s, "catalog-jsonl"), views.catalog(s, d)
-    views.write_jsonl(items.orderBy("cat_pos").coalesce(1).withColumn("details", F.map_from_entries("details")).drop("cat_pos"), path)
+    views.write_jsonl(items.orderBy("cat_pos").withColumn("details", F.map_from_entries("details")).drop("cat_pos"), path)
     index = cat.item_index(views.read_catalog(s, path))
     return index.select("parent_asin", F.array_join("hard", " | ").alias("hard"), F.array_join("soft", " | ").alias("soft"), F.array_join("spec", " | ").alias("spec"), "lexical_text", "category", (F.col("cat_pos") + 1).alias("place"))
 

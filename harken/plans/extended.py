@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from harken.cli import played
 from harken.functions import rewording
 from harken.functions import text as tx
-from harken.operators import baseline, fusion, intent, replies, transactions
+from harken.operators import baseline, fusion, intent, replies, routing, transactions
 from harken.operators import belief as bf
 from harken.operators import catalog as cat
 from harken.operators import dialogue as dlg
@@ -138,6 +138,13 @@ def fused_lists(s: SparkSession, d: str) -> DataFrame:
     return fusion.lists(found, openers, pool).select("session_id", F.col("rank").cast("long").alias("rank"), "parent_asin", F.round("e", 5).alias("evidence"))
 
 
+def routed_turns(s: SparkSession, d: str) -> DataFrame:
+    """What decisions make of every session, turn by turn."""
+    df = routing.processed(routing.decided(views.decisions(s, d).withColumn("n_operations", F.size("texts"))))
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return df.select("session_id", long("turn"), "kind", "route", "category", "attribute", "normalized", "restored", "session_route", "override_seen", long("n_restored"), long("n_understood"))
+
+
 def polarity_gains(s: SparkSession, d: str) -> DataFrame:
     index = _index(s, d)
     said = _texts(s, d).select("text", F.explode_outer(tx.pairs(F.col("text"))).alias("p")).where("p is not null").select("text", "p.*")
@@ -250,7 +257,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         prose_readings, tiered_constraints, slot_ages, override_modes, baseline_terms, field_search, reply_sentences, rendered_templates, state_json, validated_proposals,
-        vocabulary_candidates, applied_proposals, ambiguity_mixtures, fused_lists, polarity_gains, known_curve, shipped_curve, stopping_bound, latency_percentiles, token_usage, freeform_coverage,
+        vocabulary_candidates, applied_proposals, ambiguity_mixtures, fused_lists, routed_turns, polarity_gains, known_curve, shipped_curve, stopping_bound, latency_percentiles, token_usage, freeform_coverage,
         config_depths, config_sweep, stress_rewrite, stressed_metrics, ablated_metrics, paired_interval, jsonl_catalog, jsonl_transcripts,
     )
 }

@@ -109,6 +109,17 @@ lifted AS (SELECT session_id, turn, g, parent_asin, pool_pos, sum(confidence * (
 told_e AS (SELECT session_id, parent_asin, pool_pos, e FROM sure UNION ALL SELECT session_id, parent_asin, pool_pos, pow(0.9, 3 - turn) * 0.7 * (ln(greatest(1e-12, none + lift / m)) - ln(none)) FROM lifted JOIN mass USING (session_id, turn, g)),
 every AS (SELECT session_id, parent_asin, p.pool_pos, round(coalesce(sum(e), 0), 9) AS e FROM mine JOIN pool p USING (opener) LEFT JOIN told_e t USING (session_id, parent_asin) GROUP BY 1, 2, 3)""",
         "SELECT session_id, rank, parent_asin, round(e, 5) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY e DESC, pool_pos) AS rank FROM every) WHERE rank <= 10"),
+    "routed_turns": f"""WITH raw AS (SELECT l_orderkey AS session_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_discount) AS turn, 'Looking for ' || {WORD} || ' things; what about  it?' AS message,
+  {picked(('buying', 'browsing', 'override_open', 'reply', 'override', 'no_preference', 'null_ask', 'unknown', 'unknown'), 'l_partkey % 9')} AS kind, {picked(('deterministic', 'hybrid', '', ''), 'l_suppkey % 4')} AS way,
+  CASE WHEN l_suppkey % 3 = 0 THEN {OTHER} WHEN l_suppkey % 3 = 1 THEN upper({WORD}) ELSE '' END AS named, {picked(('material', 'color', '', ''), 'l_partkey % 4')} AS attribute, CASE WHEN l_partkey % 5 = 0 THEN 'it is ' || {WORD} END AS norm,
+  CASE WHEN l_suppkey % 2 <> 0 THEN CAST([] AS VARCHAR[]) WHEN {WORD} = {OTHER} THEN [{WORD}] ELSE [{WORD}, {OTHER}] END AS texts, l_suppkey % 2 = 0 AS acts FROM lineitem),
+cut AS (SELECT *, CASE WHEN contains(lower(message), lower(named)) THEN named ELSE '' END AS category, CASE WHEN way <> '' THEN way WHEN kind <> 'unknown' OR acts THEN 'hybrid' ELSE 'deterministic' END AS route, array_to_string(texts, '; ') AS blob FROM raw),
+told AS (SELECT *, CASE WHEN kind = 'buying' AND category <> '' AND len(texts) > 0 THEN 'I''m looking for ' || category || '. A key requirement is: ' || texts[1] || '.' WHEN kind = 'browsing' AND category <> '' THEN 'I''m looking for ' || category || ', but I''m still exploring.'
+  WHEN kind = 'override_open' AND category <> '' AND len(texts) > 0 THEN 'I''m looking for ' || category || '. ' || blob WHEN kind = 'reply' AND len(texts) > 0 THEN 'For that, what matters is: ' || blob || '.' WHEN kind = 'override' AND len(texts) > 0 THEN 'Actually, ignore my earlier preference. What I need is: ' || blob || '.'
+  WHEN kind = 'no_preference' AND attribute <> '' THEN 'I don''t have an additional preference for ' || attribute || '.' WHEN kind = 'null_ask' THEN 'Those options are not quite right yet. Ask me about one specific attribute.' END AS restored FROM cut)
+SELECT session_id, turn, kind, route, category, attribute, coalesce(norm, message) AS normalized, restored,
+  coalesce(last_value(CASE WHEN kind IN ('buying', 'browsing') THEN kind WHEN kind IN ('override', 'override_open') THEN 'override' END IGNORE NULLS) OVER w, 'browsing') AS session_route, max(kind = 'override') OVER w AS override_seen,
+  count(restored) OVER w AS n_restored, count(CASE WHEN kind <> 'unknown' THEN 1 END) OVER w AS n_understood FROM told WINDOW w AS (PARTITION BY session_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     "polarity_gains": over(CATALOG + f", asked AS (SELECT text, split_part(p, '=', 1) AS attribute, substr(p, position('=' IN p) + 1) AS value FROM (SELECT text, unnest({ordered('ps')}) AS p FROM (SELECT text, {pairs_of('trim(text)')} AS ps FROM card_texts)))" + MATCHED + """,
 xx AS (SELECT DISTINCT unnest(card) AS text, parent_asin FROM items),
 found AS (SELECT text, attribute, value, parent_asin, max(s) AS s FROM (SELECT a.*, parent_asin, 1.5 / 3.2 AS s FROM asked a JOIN pair_i USING (attribute, value) UNION ALL SELECT a.*, parent_asin, s FROM asked a JOIN lx USING (text) UNION ALL SELECT a.*, parent_asin, 1.0 FROM asked a JOIN xx USING (text)) GROUP BY ALL)""",

@@ -106,6 +106,25 @@ def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions made of order lines, a line a turn: known and unknown kinds, routes and attributes, categories that the message holds and others."""
+    k, s = F.col("l_partkey"), F.col("l_suppkey")
+    word, other = pick(MATERIALS, k % 9), pick(MATERIALS, s % 9)
+    line = table(spark, sf_dir, "lineitem")
+    once = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_discount")
+    return line.select(
+        F.col("l_orderkey").alias("session_id"),
+        F.row_number().over(once).alias("turn"),
+        F.concat(F.lit("Looking for "), word, F.lit(" things; what about  it?")).alias("message"),
+        pick(("buying", "Browsing", "override_open", "reply", "override", "no_preference", "null_ask", "unknown", "chat"), k % 9).alias("kind"),
+        pick(("deterministic", " Hybrid", "", "model"), s % 4).alias("route"),
+        F.when(s % 3 == 0, other).when(s % 3 == 1, F.concat(F.upper(word), F.lit(" "))).alias("category"),
+        pick(("material", "Color.", "shape", ""), k % 4).alias("attribute"),
+        F.when(k % 5 == 0, F.concat(F.lit("it is "), word)).alias("normalized"),
+        F.when(s % 2 == 0, F.array(word, other)).otherwise(F.array().cast("array<string>")).alias("texts"),
+    )
+
+
 def labelled(spark: SparkSession, sf_dir: str, index: DataFrame) -> DataFrame:
     """The samples as rows of a set of sessions that states cards and behaviour, a third with a free-form opener."""
     df = samples(spark, sf_dir).join(index.select(F.col("cat_pos").alias("target_pos"), "parent_asin", "title", "hard", "soft"), "target_pos")

@@ -135,7 +135,7 @@ def policy(read: DataFrame, stalls: DataFrame, configs: DataFrame | None = None)
     """(sample_id, turn, stalls, depth, all_ranked, proven): how long each turn's list is, and whether surviving it proves it wrong.
 
     Silence before a known override, all that is left at the last turn, else by utility; blind turns (no sentence read so far) lose hope fast.
-    ``configs`` has a row of settings per named configuration; the result is then for each, with its name.
+    ``configs`` has a row of settings per named configuration, as experiments.configurations() makes them, a few that are broadcast; the result is then for each, with its name.
     """
     upto = Window.partitionBy("sample_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     df = read.select("sample_id", "turn", "kind", "category", "route").join(stalls.select("sample_id", "turn", "stalls"), ["sample_id", "turn"])
@@ -144,7 +144,7 @@ def policy(read: DataFrame, stalls: DataFrame, configs: DataFrame | None = None)
     df = df.withColumn("known", F.count("category").over(upto) > 0)
     df = df.withColumn("blind", (F.sum((F.col("kind") != "other").cast("int")).over(upto) == 0) & (F.col("turn") >= 2))
     if configs is not None:
-        df = df.crossJoin(configs)
+        df = df.crossJoin(F.broadcast(configs))
     setting = lambda name, value: F.col(name) if configs is not None else F.lit(value)
     silent = (F.col("route") == "override") & ~F.col("seen") & (F.col("turn") < setting("deadline", DEADLINE))
     last = F.col("turn") >= dlg.TURNS

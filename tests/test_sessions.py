@@ -365,3 +365,22 @@ def test_joint_support_by_bitmaps(spark):
     asked = spark.createDataFrame([(o, k, "feature", c) for o in pools for k, cs in sets.items() for c in cs], "opener string, k string, attribute string, concept string")
     got = {(x.opener, x.k): x.n_items for x in voc.joint_support(asked, found, pool, "k").collect()}
     assert got == {(o, k): len(xs.intersection(*[has[c] for c in cs])) for o, xs in pools.items() for k, cs in sets.items()}
+
+
+def test_runs_are_published_once(spark, tmp_path):
+    """A job whose task fails leaves nothing to read; its repetition publishes all rows, a further one none."""
+    from harken.sources.runs import read_runs, write_run
+
+    path, schema = f"file://{tmp_path}/runs", "id long, word string"
+    rows = spark.range(0, 100, 1, 4).select("id", F.concat(F.lit("w"), F.col("id")).alias("word"))
+    write_run(rows.where("id < 3"), path, "first")
+    failing = rows.withColumn("word", F.when(F.col("id") == 99, F.raise_error(F.lit("lost"))).otherwise(F.col("word")))
+    with pytest.raises(Exception, match="lost"):
+        write_run(failing, path, "second")
+    assert read_runs(spark, path, schema).count() == 3
+    for _ in range(2):
+        write_run(rows, path, "second")
+        got = read_runs(spark, path, schema).collect()
+        assert sorted((r.run, r.id, r.word) for r in got) == sorted([("first", i, f"w{i}") for i in range(3)] + [("second", i, f"w{i}") for i in range(100)])
+    with pytest.raises(Exception, match="appended"):
+        write_run(rows, path, "../x")

@@ -95,10 +95,13 @@ def joint_support(asked: DataFrame, found: DataFrame, pool: DataFrame, *key: str
     return keys.drop("n").join(both, ["opener", *key], "left").withColumn("n_items", F.coalesce("n_items", F.lit(0)))
 
 
-def support(asked: DataFrame, found: DataFrame, pool: DataFrame) -> DataFrame:
-    """(opener, attribute, concept) to the number of items of the opener's pool that have the concept."""
-    named = asked.select("opener", "attribute", "concept", F.col("attribute").alias("of_a"), F.col("concept").alias("of_c"))
-    return joint_support(named, found, pool, "of_a", "of_c").select("opener", F.col("of_a").alias("attribute"), F.col("of_c").alias("concept"), "n_items")
+def support(asked: DataFrame, found: DataFrame, pools: ctg.Pools) -> DataFrame:
+    """(opener, attribute, concept) to the number of items of the opener's pool that have the concept, counted once for all openers of a pool."""
+    named = asked.join(pools.of, "opener").select("opener", "pool", "attribute", "concept")
+    once = named.select(F.col("pool").alias("opener"), "attribute", "concept", F.col("attribute").alias("of_a"), F.col("concept").alias("of_c")).distinct()
+    counts = joint_support(once, found, pools.items.select(F.col("pool").alias("opener"), "parent_asin"), "of_a", "of_c")
+    counts = counts.select(F.col("opener").alias("pool"), F.col("of_a").alias("attribute"), F.col("of_c").alias("concept"), "n_items")
+    return named.join(counts, ["pool", "attribute", "concept"]).select("opener", "attribute", "concept", "n_items")
 
 
 def category_hypotheses(phrases: DataFrame, categories: DataFrame, temperature: float = ctg.TEMPERATURE) -> DataFrame:

@@ -165,3 +165,19 @@ def test_preferences_are_learned():
     s = model.scores(x[2000:], 0.3)
     assert np.corrcoef(np.argsort(np.argsort(s)), np.argsort(np.argsort(strength[2000:])))[0, 1] > 0.95
     assert abs((s < 0.3).mean() - (~good).mean()) < 0.05  # the threshold cuts as many as are bad
+
+
+def test_every_labelled_row_teaches(spark):
+    """Each row of both labels is in a preference, and the cut is the quantile of all rows, not of some."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(23_000, len(qualityrank.MEASURES)))
+    good = rng.random(len(x)) < 0.9  # more than 20,000 good ones
+    known = spark.createDataFrame([(i, bool(g), r) for i, (g, r) in enumerate(zip(good, x.tolist(), strict=True))], "_id long, _good boolean, measures array<double>")
+    met = qualityrank.preferences(known, int(good.sum()), int((~good).sum()), 30_000)
+    assert met.count() >= 30_000
+    for label, want in (("good", good), ("bad", ~good)):
+        assert {r[0] for r in met.select(f"{label}").distinct().selectExpr(f"{label}[0]").collect()} == set(x[want, 0].tolist())
+    model = qualityrank.Ranking(x.mean(axis=0), x.std(axis=0), np.linspace(-1, 1, 2 * x.shape[1]), 0.0)
+    s = np.sort(model.strengths(x))
+    n = int((~good).sum())
+    assert qualityrank.strength_at(known.select("measures"), model, n) == (s[n - 1] + s[n]) / 2

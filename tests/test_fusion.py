@@ -61,3 +61,11 @@ def test_no_row_of_a_session_and_an_item(spark, monkeypatch):
     n = extended.fused_lists(spark, DIR).count()
     sessions = staged["said"].select("session_id").distinct().count()
     assert n <= 10 * sessions and staged["said"].count() < 10 * sessions < queries._pool(spark, DIR).items.count() * sessions
+
+
+def test_proposals_are_numbered_before_their_words_are_made(spark):
+    """Words made of an order line are not shuffled with it."""
+    from harken.sources import views
+
+    plan = views.proposals(spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "I would like" in plan.split("Window ")[0] and "I would like" not in plan.split("Window ")[1]

@@ -5,6 +5,7 @@ import random
 import pyarrow as pa
 
 from harken.operators import baseline
+from harken.operators import evidence as ev
 
 DIR = "/root/testdata/sf0.001"
 
@@ -45,3 +46,23 @@ def test_many_blocks_find_what_one_finds(spark, monkeypatch):
     monkeypatch.setattr(baseline, "ITEMS", 30)
     monkeypatch.setattr(baseline, "BAGS", 40)
     assert sorted(map(tuple, extended.field_search(spark, DIR).collect())) == one
+
+
+def test_documents_in_blocks(spark, monkeypatch):
+    """Strengths of one block are those of many, strengths cut at 1 tie by doc_id, and the report takes no row of a document and a term through a shuffle by term."""
+    from harken.plans import queries
+
+    one = [sorted(map(tuple, q(spark, DIR).collect())) for q in (queries.bm25_scores, queries.bm25_all_scores)]
+    monkeypatch.setattr(ev, "DOCS", 100)
+    monkeypatch.setattr(ev, "QUERIES", 15)
+    assert [sorted(map(tuple, q(spark, DIR).collect())) for q in (queries.bm25_scores, queries.bm25_all_scores)] == one
+    docs = spark.createDataFrame([(i, "cotton " * (2 + i % 3)) for i in range(40)] + [(i, "boots") for i in range(40, 400)] + [(400, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "cotton"), (2, "unknown"), (3, None)], "query_id long, text string")
+    assert [(r.query_id, r.rank, r.doc_id, r.strength) for r in ev.bm25_top(docs, asked).orderBy("rank").collect()] == [(1, i + 1, i, 1.0) for i in range(10)]
+
+
+def test_no_row_of_a_document_and_a_query_is_shuffled(spark):
+    from harken.plans import queries
+
+    plan = queries.bm25_all_scores(spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and plan.index("FlatMapCoGroupsInArrow") < plan.index("Exchange")

@@ -45,3 +45,13 @@ def test_lists_leave_out_what_was_proven_wrong():
     assert [x for x, _ in lists[:3]] == [list(range(10)), [10, 11], []]
     assert lists[3][0] == [10, 11] and lists[4][0] == list(range(10))  # what leaves nothing is not left out
     assert np.array_equal(lists[9][1], list(range(10)))
+
+
+def test_sessions_are_counted_before_turns_are_spread(spark):
+    """No join or window comes after rows are spread over turns, so that only sums are shuffled from there."""
+    from harken.plans import extended
+
+    for query, spread in ((extended.slot_ages, 1), (extended.override_modes, 3)):
+        plan = query(spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+        after = [part for part in plan.split("Aggregate [at_turn")[1:]] or [part for part in plan.split("Aggregate [attribute")[1:]]
+        assert len(after) >= spread and all("Join" not in part.split("Generate explode(sequence")[0] for part in after[:spread])

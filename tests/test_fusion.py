@@ -69,3 +69,9 @@ def test_proposals_are_numbered_before_their_words_are_made(spark):
 
     plan = views.proposals(spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert "I would like" in plan.split("Window ")[0] and "I would like" not in plan.split("Window ")[1]
+
+
+def test_messages_are_not_carried_once_proposals_are_validated(spark):
+    from harken.plans import extended
+
+    assert "message" not in extended._resolved(spark, DIR).columns

@@ -1,11 +1,18 @@
 """What queries of item strings and proposals do once, and not for every item or line again."""
 
+import contextlib
+import io
 import random
+import re
+
+from pyspark.sql import functions as F
 
 from harken.operators import catalog as cat
 from harken.operators import evidence as ev
+from harken.operators import intent
 from harken.plans import extended
 from harken.plans import queries as q
+from harken.sources import views
 
 DIR = "/root/testdata/sf0.001"
 
@@ -42,3 +49,23 @@ def test_overlap_forms_only_what_texts_ask_for(spark):
     assert got == {(t, k): round(share(t, ws), 9) for t in texts for k, ws in items.items() if share(t, ws) >= ev.FLOOR}
     plan = optimized(ev.overlap_pairs(asked.where("text = 'unheard'"), index))
     assert "LeftOuter" not in plan.split("AS y#")[1]  # an item's tokens that no text has are not kept
+
+
+def test_proposals_are_read_once_for_candidates(spark):
+    """Phrases are staged: lines are numbered, cleaned and judged once."""
+    phrases = intent.validated(views.proposals(spark, DIR)).select("attribute", F.col("value").alias("phrase"))
+    assert "l_orderkey" in optimized(phrases)
+    assert "l_orderkey" not in optimized(extended.vocabulary_candidates(spark, DIR))
+
+
+def test_validation_is_compiled(spark):
+    """The JVM compiles no method of more than 8,000 bytes; such a one took most of the time of validation."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the plan has no code before it runs
+    try:
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            intent.validated(views.proposals(spark, DIR)).select("attribute", "value").explain(mode="codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", out.getvalue())]
+    assert sizes and max(sizes) < 8000
